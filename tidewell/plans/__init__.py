@@ -1,0 +1,24 @@
+"""Registered queries over the given tables, each beside its SQL."""
+
+from __future__ import annotations
+
+import importlib
+
+from tidewell.plans import registry
+
+MODULES = ("window_queries",)
+
+
+def _load():
+    for name in MODULES:
+        importlib.import_module(f"tidewell.plans.{name}")
+
+
+def queries():
+    _load()
+    return dict(registry.QUERIES)
+
+
+def oracle_sql():
+    _load()
+    return dict(registry.ORACLE)

@@ -27,15 +27,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# Exact decimals such as x.xxxx5 would round by the last bit of a sum, which
+# differs between engines; a border off the decimal grid avoids those ties.
+HALF = 0.50037
+
+
 def q(col: Column | str, digits: int = 6) -> Column:
     """Rounded double without negative zero, for comparison across engines."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c.cast("double"), digits) + F.lit(0.0)
+    return F.floor(c.cast("double") * float(10**digits) + HALF) / float(10**digits)
 
 
 def sq(expr: str, digits: int = 6) -> str:
     """The SQL twin of ``q``."""
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
+    return f"(floor(CAST({expr} AS DOUBLE) * 1e{digits} + {HALF}) / 1e{digits})"
 
 
 def day(col: Column | str) -> Column:
