@@ -18,25 +18,23 @@ def to_time(value: Column, fmt: str | None = None) -> Column:
     return F.try_to_timestamp(value, F.lit(fmt)) if fmt else F.try_to_timestamp(value)
 
 
+def _first_number(text: Column) -> Column:
+    """First signed decimal in a text, brackets, quotes, percent signs and commas read as blanks."""
+    found = F.regexp_extract(F.regexp_replace(text, r"[{}()\[\]\"'%,]", " "), NUMBER, 1)
+    return F.nullif(found, F.lit("")).try_cast("double")
+
+
 def extract_number(text: Column) -> Column:
-    """First number in messy text.
+    """A number from messy text.
 
-    JSON is tried first (a number, the first number of a list, the first
-    numeric value of an object); otherwise the noise is stripped and the first
-    signed decimal, exponent included, is taken.  ``12,5%`` reads as 12.5.
+    Lists and objects in JSON give their first element that holds a number;
+    any other text gives its first signed decimal, exponent included.
     """
     text = F.trim(text)
-    as_map = F.from_json(text, "map<string,string>")
-    as_list = F.from_json(text, "array<string>")
-    numbers = F.filter(F.transform(F.coalesce(F.map_values(as_map), as_list), lambda s: s.try_cast("double")), lambda v: v.isNotNull())
-    comma = F.regexp_replace(text, r"(\d),(\d{1,2})(?!\d)", "$1.$2")
-    plain = F.regexp_replace(comma, r"[\s,%$€£°]", "")
-    found = F.regexp_extract(plain, NUMBER, 1)
-    return F.coalesce(
-        text.try_cast("double"),
-        F.when(text.rlike(r"^[\[{]"), F.try_element_at(numbers, F.lit(1))),
-        F.nullif(found, F.lit("")).try_cast("double"),
-    )
+    items = F.coalesce(F.map_values(F.from_json(text, "map<string,string>")), F.from_json(text, "array<string>"))
+    numbers = F.filter(F.transform(items, lambda s: F.coalesce(s.try_cast("double"), _first_number(s))), lambda v: v.isNotNull())
+    from_json = F.when(text.rlike(r"^[\[{]"), F.try_element_at(numbers, F.lit(1)))
+    return F.coalesce(text.try_cast("double"), from_json, _first_number(text))
 
 
 def safe_ratio(a: Column, b: Column, default: float | None = 0.0) -> Column:
