@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def gram_sums(df: DataFrame, by: Sequence[str], xs: Sequence[Column], y: Column, weight: Column | None = None) -> DataFrame:
@@ -38,7 +39,7 @@ def gram_sums(df: DataFrame, by: Sequence[str], xs: Sequence[Column], y: Column,
     return agg.select(*by, "n", "sum_w", "yy", xtx.alias("xtx"), xty.alias("xty"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(xtx: pd.Series, xty: pd.Series, penalty: pd.Series) -> pd.Series:
     """Scaled pseudo-inverse solve of each row's normal equations."""
     if len(xtx) == 0:

@@ -6,7 +6,7 @@ import importlib
 
 from tidewell.plans import registry
 
-MODULES = ("window_queries", "clean_queries", "summary_queries")
+MODULES = ("window_queries", "clean_queries", "summary_queries", "shape_queries")
 
 
 def _load():
