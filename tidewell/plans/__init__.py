@@ -6,7 +6,10 @@ import importlib
 
 from tidewell.plans import registry
 
-MODULES = ("window_queries", "clean_queries", "summary_queries", "shape_queries")
+MODULES = (
+    "window_queries", "clean_queries", "summary_queries", "shape_queries",
+    "uncertainty_queries", "model_queries", "source_queries",
+)
 
 
 def _load():
