@@ -11,7 +11,7 @@ def total(a: Column) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return total(a) / F.size(a)
+    return total(a) / F.nullif(F.size(a), F.lit(0))
 
 
 def std(a: Column, ddof: int = 0) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 NUMBER = r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
@@ -43,5 +43,18 @@ def safe_ratio(a: Column, b: Column, default: float | None = 0.0) -> Column:
     return out if default is None else F.coalesce(out, F.lit(default))
 
 
+def correlation(a: Column | str, b: Column | str, frame: WindowSpec | None = None) -> Column:
+    """Correlation of complete pairs, NULL where one side does not vary.
+
+    The built-in one divides by zero there, which is an error in ANSI mode.
+    """
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    if frame is not None:
+        parts = [p.over(frame) for p in parts]
+    return parts[0] / F.nullif(parts[1], F.lit(0.0)) / F.nullif(parts[2], F.lit(0.0))
+
+
 def finite_or(value: Column, default: float) -> Column:
     return F.coalesce(F.when(~F.isnan(value), value), F.lit(default))

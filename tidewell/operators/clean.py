@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions.calendar import cycle
-from tidewell.functions.numbers import to_number, to_time
+from tidewell.functions.numbers import safe_ratio, to_number, to_time
 from tidewell.operators.quantiles import column_medians
 from tidewell.panel import BY, over
 
@@ -104,7 +104,7 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     columns = list(columns or df.columns)
     counted = df.agg(F.count(F.lit(1)).alias("total"), *[F.count(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), (F.col("total") - F.col(f"_{i}")).alias("nulls"), "total") for i, c in enumerate(columns)])
-    return counted.select(F.inline(rows)).withColumn("null_frac", F.col("nulls") / F.col("total"))
+    return counted.select(F.inline(rows)).withColumn("null_frac", safe_ratio(F.col("nulls"), F.col("total")))
 
 
 def drop_sparse(df: DataFrame, limit: float = 0.5, columns: Sequence[str] | None = None) -> DataFrame:
@@ -189,7 +189,7 @@ def numeric_ratio(df: DataFrame, columns: Sequence[str], needed: int = 0) -> Dat
     for i, c in enumerate(columns):
         bonus = 0.25 if any(k in c.lower() for k in TARGET_KEYWORDS) else 0.0
         rows.append(F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("numeric"), "total", F.lit(bonus).alias("_b")))
-    out = counted.select(F.inline(F.array(*rows))).withColumn("ratio", F.col("numeric") / F.col("total"))
+    out = counted.select(F.inline(F.array(*rows))).withColumn("ratio", safe_ratio(F.col("numeric"), F.col("total")))
     long_enough = F.when(F.col("total") >= needed, 0.05).otherwise(0.0)
     return out.withColumn("score", F.col("ratio") + F.col("_b") + long_enough).drop("_b").orderBy(F.desc("score"), "column")
 

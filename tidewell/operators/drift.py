@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.distribution import kolmogorov_tail, student_tail
 from tidewell.functions.draws import uniform
+from tidewell.functions.numbers import safe_ratio
 from tidewell.operators import quantiles as qt
 
 
@@ -19,7 +20,7 @@ def ks_statistic(df: DataFrame, value: str, is_ref: Column, by: Sequence[str] =
     tagged = df.select(*by, value, is_ref.alias("_r"))
     sums = {"a": F.col("_r").cast("bigint"), "b": (~F.col("_r")).cast("bigint")}
     c = qt.cumulative_counts(tagged, value, sums, by)
-    gap = F.abs(F.col("a_cum") / F.col("a_total") - F.col("b_cum") / F.col("b_total"))
+    gap = F.abs(safe_ratio(F.col("a_cum"), F.col("a_total"), None) - safe_ratio(F.col("b_cum"), F.col("b_total"), None))
     out = c.groupBy(*by).agg(F.max(gap).alias("ks"), F.max("a_total").alias("n_ref"), F.max("b_total").alias("n_new"))
     return out.withColumn("ks_p", kolmogorov_tail(F.col("ks"), F.col("n_ref").cast("double"), F.col("n_new").cast("double")))
 
@@ -31,9 +32,10 @@ def t_test(df: DataFrame, value: str, is_ref: Column, by: Sequence[str] = ()) ->
         F.count(a).alias("na"), F.count(b).alias("nb"), F.avg(a).alias("ma"), F.avg(b).alias("mb"),
         F.var_samp(a).alias("va"), F.var_samp(b).alias("vb"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"),
     )
-    dof = F.col("na") + F.col("nb") - 2
+    dof = F.when((F.col("na") > 1) & (F.col("nb") > 1), F.col("na") + F.col("nb") - 2)
     pooled = ((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / dof
-    t = (F.col("ma") - F.col("mb")) / F.sqrt(pooled * (1 / F.col("na") + 1 / F.col("nb")))
+    spread = F.sqrt(pooled * (1 / F.nullif(F.col("na"), F.lit(0)) + 1 / F.nullif(F.col("nb"), F.lit(0))))
+    t = safe_ratio(F.col("ma") - F.col("mb"), spread, None)
     return m.withColumn("t", t).withColumn("t_p", student_tail(F.col("t"), dof.cast("double")))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.numbers import correlation
 from tidewell.operators import longseries
 from tidewell.operators import summary as sm
 from tidewell.panel import BY
@@ -26,7 +27,7 @@ def snapshot(df: DataFrame, y="y", yhat: str | None = None, by: Sequence[str] =
     rows = longseries.windowed(df, {"_prev": prev}, reach=1, tie=tie)
     stats = rows.groupBy(*by).agg(
         F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), F.min(y).alias("min"), F.max(y).alias("max"),
-        F.avg(F.col(y).isNull().cast("double")).alias("missing_rate"), F.corr(y, "_prev").alias("autocorrelation"), F.regr_slope(y, "t").alias("trend"),
+        F.avg(F.col(y).isNull().cast("double")).alias("missing_rate"), correlation(y, "_prev").alias("autocorrelation"), F.regr_slope(y, "t").alias("trend"),
     )
     names = ["mean", "std", "min", "max", "missing_rate", "autocorrelation", "trend"]
     if yhat:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import arrays
+from tidewell.functions.numbers import correlation
 from tidewell.operators import quantiles as qt
 from tidewell.panel import BY, over, with_position
 
@@ -76,7 +77,7 @@ def profile(sequences: DataFrame, names: Sequence[str]) -> DataFrame:
 def target_link(sequences: DataFrame, names: Sequence[str]) -> DataFrame:
     """|correlation| of every position and feature with the target."""
     c = cells(sequences, names, ["target"])
-    return c.groupBy("pos", "feature").agg(F.abs(F.corr("value", "target")).alias("abs_r"))
+    return c.groupBy("pos", "feature").agg(F.abs(correlation("value", "target")).alias("abs_r"))
 
 
 def complexity(sequences: DataFrame, width: int, features: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.distribution import normal_quantile
+from tidewell.functions.numbers import correlation, safe_ratio
 from tidewell.operators import quantiles as qt
 from tidewell.panel import BY, over, with_position
 
@@ -82,7 +83,7 @@ def data_stats(df: DataFrame, y="y", by=BY) -> DataFrame:
     return pos.groupBy(*by).agg(
         F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), F.min(y).alias("min"), F.max(y).alias("max"),
         F.avg(F.col(y).isNull().cast("int")).alias("missing_rate"),
-        F.corr(y, "_prev").alias("autocorrelation"), F.regr_slope(y, "t").alias("trend"),
+        correlation(y, "_prev").alias("autocorrelation"), F.regr_slope(y, "t").alias("trend"),
     )
 
 
@@ -105,7 +106,7 @@ def skill(metrics: DataFrame, reference: str, by: Sequence[str] = ()) -> DataFra
     ref = metrics.where(F.col("model") == reference).select(*by, F.col("rmse").alias("_r"), F.col("mae").alias("_m"))
     joined = metrics.join(ref, list(by)) if by else metrics.join(ref)
     return joined.withColumns(
-        {"skill": 1 - F.col("rmse") / F.col("_r"), "improvement_pct": 100 * (F.col("_m") - F.col("mae")) / F.col("_m")}
+        {"skill": 1 - safe_ratio(F.col("rmse"), F.col("_r"), None), "improvement_pct": 100 * safe_ratio(F.col("_m") - F.col("mae"), F.col("_m"), None)}
     ).drop("_r", "_m")
 
 
@@ -140,14 +141,14 @@ def error_by_season(df: DataFrame, t="t", period: int = 12, y="y", yhat="yhat")
 
 def target_correlation(df: DataFrame, features: Sequence[str], y="y", by: Sequence[str] = ()) -> DataFrame:
     """(by..., feature, r) strongest first, one pass."""
-    one = df.groupBy(*by).agg(*[F.corr(c, y).alias(c) for c in features])
+    one = df.groupBy(*by).agg(*[correlation(c, y).alias(c) for c in features])
     return one.unpivot(list(by), list(features), "feature", "r").orderBy(F.desc(F.abs("r")), "feature")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r) for every column pair, one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[correlation(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     rows = []
     for i, (a, b) in enumerate(pairs):
         rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.distribution import bias_corrected_kurtosis, bias_corrected_skew
-from tidewell.functions.numbers import finite_or, safe_ratio
+from tidewell.functions.numbers import correlation, finite_or, safe_ratio
 from tidewell.panel import BY, over
 
 START = Window.unboundedPreceding
@@ -139,7 +139,7 @@ def with_autocorrelation(df: DataFrame, y="y", ks=(1, 12, 24), window=36, by=BY,
     cols = {"_a": F.lag(y, 1).over(w)} | {f"_b{k}": F.lag(y, 1 + k).over(w) for k in ks}
     out = df.withColumns(cols).withColumns(
         {
-            f"autocorr_lag_{k}": finite_or(F.corr("_a", f"_b{k}").over(w.rowsBetween(-(window - 1 - k), 0)), 0.0)
+            f"autocorr_lag_{k}": finite_or(correlation("_a", f"_b{k}", w.rowsBetween(-(window - 1 - k), 0)), 0.0)
             for k in ks
         }
     )
