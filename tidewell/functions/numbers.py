@@ -10,8 +10,7 @@ NUMBER = r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
 
 def to_number(value: Column) -> Column:
     """Double or NULL, never an error; NaN counts as missing."""
-    v = value.try_cast("double")
-    return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
+    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
 
 
 def to_time(value: Column, fmt: str | None = None) -> Column:

@@ -25,26 +25,19 @@ HALO = "is_halo"
 
 def exact_mean(value: Column, scale: int = 2) -> Column:
     """Mean through a decimal sum: the result does not depend on row order."""
-    return F.sum(value.cast(f"decimal(18,{scale})")).cast("double") / F.count(value)
+    return F.sum(value.cast(f"decimal(18,{scale})")).cast("double") / F.nullif(F.count(value), F.lit(0))
 
 
 def null_nan(value: Column) -> Column:
     """Spark aggregates skip NULL but not NaN."""
-    v = value.cast("double")
-    return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
+    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
 
 
 def to_panel(df: DataFrame, key: Column, ts: Column, value: Column, grain: str, scale: int = 2) -> DataFrame:
     """Mean per series and calendar step; partial sums are combined map-side."""
-    return (
-        df.select(
-            key.cast("string").alias("series_id"),
-            F.date_trunc(grain, ts).alias("ts"),
-            null_nan(value).alias("_v"),
-        )
-        .groupBy("series_id", "ts")
-        .agg(exact_mean(F.col("_v"), scale).alias("y"))
-    )
+    v = null_nan(value)
+    means = df.groupBy(key.alias("_key"), F.date_trunc(grain, ts).alias("ts")).agg(exact_mean(v, scale).alias("y"))
+    return means.select(F.col("_key").cast("string").alias("series_id"), "ts", "y")
 
 
 def over(by: Sequence[str] = BY, order: Sequence[str] = ("ts",)) -> WindowSpec:

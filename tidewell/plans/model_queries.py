@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import agents, forecast, gram, models, regimes, relate, splits
@@ -11,7 +13,7 @@ from tidewell.panel import with_position
 from tidewell.plans import panels as P
 from tidewell.plans.clean_queries import SEASONAL_SQL
 from tidewell.plans.registry import day, q, query, sday, sq, table
-from tidewell.plans.uncertainty_queries import LAG_FEATURES, lag_frame
+from tidewell.plans.uncertainty_queries import LAG_FEATURES, fold_sql, lag_frame
 from tidewell.plans.window_queries import WSQL
 from tidewell.session import scratch_path
 
@@ -23,12 +25,22 @@ def parts(spark, sf, panel=P.monthly):
     return df.where(F.col("ts") < TRAIN_END), df.where(F.col("ts") >= TRAIN_END)
 
 
-@query("mlp1_preprocessing")
+PREP_SQL = (
+    "WITH st AS (SELECT avg(l_quantity) qa, stddev_samp(l_quantity) qs, avg(l_extendedprice) pa, stddev_samp(l_extendedprice) ps FROM lineitem), "
+    "rk AS (SELECT l_returnflag AS f, row_number() OVER (ORDER BY count(*) DESC, l_returnflag) - 1 AS i FROM lineitem GROUP BY 1) "
+    f"SELECT l_orderkey, l_linenumber, {sq('(l_quantity - qa) / qs')} AS quantity, {sq('(l_extendedprice - pa) / ps')} AS price, "
+    + ", ".join(f"(i = {k})::INT::DOUBLE AS flag_{k}" for k in range(3))
+    + " FROM lineitem JOIN rk ON l_returnflag = f, st"
+)
+
+
+@query("mlp1_preprocessing", PREP_SQL)
 def _(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
     out = models.preprocessing(["l_quantity", "l_extendedprice"], ["l_returnflag"]).fit(li).transform(li)
     names = ["quantity", "price", "flag_0", "flag_1", "flag_2"]
-    return models.vector_column(out, "features", names).select("l_orderkey", "l_linenumber", *names)
+    named = models.vector_column(out, "features", names)
+    return named.select("l_orderkey", "l_linenumber", q("quantity").alias("quantity"), q("price").alias("price"), *names[2:])
 
 
 NUM = ("l_quantity", "l_extendedprice")
@@ -84,6 +96,21 @@ def _(spark, sf):
     return models.evaluate_models({n: models.on_features(e, LAG_FEATURES).fit(train) for n, e in fits.items()}, test, LAG_FEATURES)
 
 
+RIDGE = 1e10
+
+
+@query(
+    "mlp3_ridge_closed_form",
+    f"{P.ctes('monthly')}, {OLS_SQL}, s AS (SELECT regr_sxy(y, x) / (regr_sxx(y, x) + {RIDGE}) AS b, avg(y) AS my, avg(x) AS mx FROM k) SELECT {sq('b')} AS slope, {sq('my - b * mx', 2)} AS intercept FROM s",
+)
+def _(spark, sf):
+    df = P.monthly(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL").withColumn("g", F.lit(1))
+    centred = df.withColumn("mx", F.avg("lag_1").over(Window.partitionBy("g"))).withColumn("x", F.col("lag_1") - F.col("mx"))
+    m = gram.fit_linear(centred, ["g"], ["x"], l2=RIDGE).join(centred.groupBy("g").agg(F.first("mx").alias("mx")), "g")
+    slope = F.col("beta")[1]
+    return m.select(q(slope).alias("slope"), q(F.col("beta")[0] - slope * F.col("mx"), 2).alias("intercept"))
+
+
 @query("mlp4_tree_models")
 def _(spark, sf):
     train, test = parts(spark, sf)
@@ -103,13 +130,7 @@ def _(spark, sf):
     return models.search(df, LAG_FEATURES, "boosted", models.random_grid({"rounds": (3, 5), "depth": (2, 3), "step": (0.05, 0.1)}, 3), k=2)
 
 
-FOLD_SQL = (
-    f"{P.ctes('monthly')}, f AS (SELECT series_id, ts, y, lag(y) OVER w AS x FROM monthly {WSQL}), "
-    "p AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS t, count(*) OVER (PARTITION BY series_id) AS n FROM f WHERE x IS NOT NULL), "
-    "fo AS (SELECT p.*, CAST(k AS BIGINT) AS fold, n // 6 AS s, n - (6 - k) * (n // 6) AS a FROM p, range(1, 6) r(k)), "
-    "co AS (SELECT fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS c FROM fo WHERE t < a GROUP BY 1), "
-    "pr AS (SELECT series_id, ts, fo.fold, y, c + b * x AS yhat FROM fo JOIN co ON fo.fold = co.fold WHERE t >= a AND t < a + s)"
-)
+FOLD_SQL = fold_sql()
 
 
 def linear_folds(spark, sf):
@@ -142,10 +163,17 @@ def stacked(spark, sf, k=3):
     return models.repair_oof(models.oof_matrix(preds, [*BASES, "absent"]), [*BASES, "absent"])
 
 
-@query("mlp9_repaired_oof")
+@query(
+    "mlp9_repaired_oof",
+    f"{P.ctes('wide')}, fc AS (SELECT series_id, ts, y, lag(y, 1) OVER w AS a, lag(y, 12) OVER w AS b FROM wide {WSQL}), "
+    "m AS (SELECT median(a) AS ma, median(b) AS mb FROM fc WHERE a IS NOT NULL OR b IS NOT NULL) "
+    f"SELECT series_id, {sday('ts')} AS d, {sq('coalesce(a, ma)', 3)} AS one, {sq('coalesce(b, mb)', 3)} AS twelve FROM fc, m WHERE a IS NOT NULL OR b IS NOT NULL",
+)
 def _(spark, sf):
-    oof, _ = stacked(spark, sf, 2)
-    return oof.withColumn("d", day("ts")).drop("ts")
+    cols = win.lags(ks=(1, 12, 500))
+    base = P.wide(spark, sf).withColumns({"one": cols["lag_1"], "twelve": cols["lag_12"], "never": cols["lag_500"]})
+    fixed, _kept = models.repair_oof(base, ["one", "twelve", "never"])
+    return fixed.select("series_id", day("ts").alias("d"), q("one", 3).alias("one"), q("twelve", 3).alias("twelve"))
 
 
 @query("mlp10_stacked_model")
@@ -162,7 +190,8 @@ def _(spark, sf):
     train, test = parts(spark, sf)
     path = scratch_path(spark, "best-model")
     board, name, _ = models.best_on_holdout(train, test, LAG_FEATURES, {"linear": models.linear(), "forest": models.forest(10, 3)}, path=path)
-    return splits.leaderboard(board, "rmse").withColumn("best", F.lit(name))
+    saved = models.evaluate_models({name: PipelineModel.load(path)}, test, LAG_FEATURES).select(F.col("rmse").alias("saved_rmse"))
+    return splits.leaderboard(board, "rmse").withColumn("best", F.lit(name)).join(saved)
 
 
 @query("mlp12_feature_selection")
@@ -229,6 +258,17 @@ def _(spark, sf):
     return p.select("series_id", F.col("hour").cast("bigint").alias("hour"), q("profile").alias("profile"))
 
 
+@query(
+    "mlp15_dependence_of_linear_model",
+    f"{P.ctes('monthly')}, {OLS_SQL}, b AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS c FROM k), g AS (SELECT unnest([100000, 200000, 300000])::DOUBLE AS value) SELECT value, {sq('c + b * value', 2)} AS mean_prediction FROM b, g",
+)
+def _(spark, sf):
+    df = P.monthly(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL")
+    model = models.on_features(models.linear(), ["lag_1"]).fit(df)
+    p = models.partial_dependence(model, df, "lag_1", [100000.0, 200000.0, 300000.0])
+    return p.select("value", q("mean_prediction", 2).alias("mean_prediction"))
+
+
 @query("mlp17_recursive_forest")
 def _(spark, sf):
     names = [f"lag_{k}" for k in range(1, 4)]
@@ -267,11 +307,32 @@ def _(spark, sf):
     return both.unionByName(forecast.trend_season_forecast(m, 12, multiplicative=True).withColumn("mode", F.lit("multiplicative")))
 
 
+@query(
+    "mlp19_trend_only",
+    f"{P.ctes('wide')}, p AS (SELECT *, row_number() OVER w - 1 AS t FROM wide {WSQL}), m AS (SELECT series_id, regr_slope(y, t) AS b, regr_intercept(y, t) AS c, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 5) "
+    f"SELECT series_id, CAST(k AS BIGINT) AS step, {sq('c + b * (n + k - 1)', 2)} AS yhat FROM m, range(1, 7) r(k)",
+)
+def _(spark, sf):
+    f = forecast.trend_season_forecast(P.wide(spark, sf), 6, orders=()).where("n > 5")
+    return f.select("series_id", F.col("step").cast("bigint").alias("step"), q("yhat", 2).alias("yhat"))
+
+
 @query("mlp20_forecast_chain")
 def _(spark, sf):
     return forecast.forecast_chain(P.wide(spark, sf), 6)
 
 
+@query(
+    "mlp20_chain_without_season",
+    f"{P.ctes('wide')}, {OLS_SQL.replace('monthly', 'wide')}, co AS (SELECT series_id, regr_slope(y, x) AS phi, regr_intercept(y, x) AS c, max_by(y, ts) AS l, count(*) + 1 AS n FROM k GROUP BY 1), "
+    "nv AS (SELECT series_id, avg(y) AS m FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS i FROM wide) WHERE i <= 12 GROUP BY 1) "
+    f"SELECT nv.series_id, CAST(h AS BIGINT) AS step, {sq('CASE WHEN n >= 25 THEN c * (1 - pow(phi, h)) / (1 - phi) + pow(phi, h) * l ELSE m END', 2)} AS yhat, CASE WHEN n >= 25 THEN 'ar1' ELSE 'naive' END AS method FROM nv LEFT JOIN co ON nv.series_id = co.series_id, range(1, 5) r(h)",
+)
+def _(spark, sf):
+    f = forecast.forecast_chain(P.wide(spark, sf), 4, least_rows=(10**9, 25))
+    return f.select("series_id", F.col("step").cast("bigint").alias("step"), q("yhat", 2).alias("yhat"), "method")
+
+
 @query("mlp21_ensemble_mean", f"{P.ctes('wide')}, {P.forecasts_sql('wide')} SELECT series_id, {sday('ts')} AS d, {sq('avg(yhat)', 3)} AS ensemble, count(*) AS members FROM ml GROUP BY series_id, ts")
 def _(spark, sf):
     e = forecast.ensemble_mean(P.forecasts(P.wide(spark, sf)), ["series_id", "ts"])
@@ -326,11 +387,35 @@ def _(spark, sf):
     return agent.load(spark, path).predict(m).select("series_id", q("mu", 3).alias("mu"), "mode")
 
 
-@query("mlp26_evaluate_models")
+TWO_SQL = (
+    f"{P.ctes('monthly')}, f AS (SELECT series_id, ts, y, lag(y, 1) OVER w AS a, lag(y, 2) OVER w AS b FROM monthly {WSQL}), k AS (SELECT * FROM f WHERE b IS NOT NULL), "
+    f"c AS (SELECT regr_slope(y, a) AS sa, regr_intercept(y, a) AS ia, regr_slope(y, b) AS sb, regr_intercept(y, b) AS ib FROM k WHERE ts < TIMESTAMP '{TRAIN_END}'), "
+    "pr AS (SELECT 'one' AS model, y, ia + sa * a AS yhat FROM k, c WHERE ts >= TIMESTAMP '" + TRAIN_END + "' UNION ALL SELECT 'two', y, ib + sb * {two} FROM k, c WHERE ts >= TIMESTAMP '" + TRAIN_END + "'), "
+    "e AS (SELECT model, count(*) AS n, avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) * (y - yhat))) AS rmse FROM pr GROUP BY 1)"
+)
+
+
+def two_fits(train):
+    return {n: models.on_features(models.linear(), [f]).fit(train) for n, f in (("one", "lag_1"), ("two", "lag_2"))}
+
+
+def two_parts(spark, sf):
+    df = P.monthly(spark, sf).withColumns(win.lags(ks=(1, 2))).na.drop(subset=["lag_1", "lag_2"])
+    return df.where(F.col("ts") < TRAIN_END), df.where(F.col("ts") >= TRAIN_END)
+
+
+@query("mlp26_evaluate_models", TWO_SQL.replace("{two}", "b") + f" SELECT model, n, {sq('mae', 2)} AS mae, {sq('rmse', 2)} AS rmse FROM e")
 def _(spark, sf):
-    train, test = parts(spark, sf)
-    fits = {"linear": models.on_features(models.linear(), LAG_FEATURES).fit(train), "short": models.on_features(models.linear(), ["lag_1"]).fit(train)}
-    return models.evaluate_models(fits, test.drop("lag_2"), LAG_FEATURES)
+    train, test = two_parts(spark, sf)
+    m = models.evaluate_models(two_fits(train), test, ["lag_1", "lag_2"])
+    return m.select("model", "n", q("mae", 2).alias("mae"), q("rmse", 2).alias("rmse"))
+
+
+@query("mlp26_missing_column", TWO_SQL.replace("{two}", "0") + f" SELECT model, n, {sq('mae', 2)} AS mae, {sq('rmse', 2)} AS rmse FROM e")
+def _(spark, sf):
+    train, test = two_parts(spark, sf)
+    m = models.evaluate_models(two_fits(train), test.drop("lag_2"), ["lag_1", "lag_2"])
+    return m.select("model", "n", q("mae", 2).alias("mae"), q("rmse", 2).alias("rmse"))
 
 
 @query("reg3_smoothed_boosting")

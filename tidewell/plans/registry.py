@@ -49,3 +49,35 @@ def day(col: Column | str) -> Column:
 
 def sday(expr: str) -> str:
     return f"strftime({expr}, '%Y-%m-%d')"
+
+
+# --- SQL twins of the distribution functions, for oracles ---------------------------
+
+
+def _poly_sql(coefficients, x: str) -> str:
+    out = repr(coefficients[0]) + "::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c!r}::DOUBLE))"
+    return out
+
+
+def normal_cdf_sql(x: str) -> str:
+    """``x`` must be a plain column name."""
+    from tidewell.functions import distribution as d
+
+    z = f"abs({x})"
+    far = f"(exp(-{z} * {z} / 2) / sqrt(2 * pi()) / ({z} + 1 / ({z} + 2 / ({z} + 3 / ({z} + 4 / ({z} + 0.65))))))"
+    near = f"(exp(-{z} * {z} / 2) * {_poly_sql(d.TAIL_NUM, z)} / {_poly_sql(d.TAIL_DEN, z)})"
+    tail = f"(CASE WHEN {z} > 37 THEN 0 WHEN {z} < 7.07106781186547 THEN {near} ELSE {far} END)"
+    return f"(CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+def normal_quantile_sql(p: str) -> str:
+    """``p`` must be a plain column name."""
+    from tidewell.functions import distribution as d
+
+    e = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    tail = f"({_poly_sql(d.INV_C, e)} / {_poly_sql(d.INV_D, e)})"
+    c = f"({p} - 0.5)"
+    centre = f"({c} * {_poly_sql(d.INV_A, f'({c} * {c})')} / {_poly_sql(d.INV_B, f'({c} * {c})')})"
+    return f"(CASE WHEN {p} < 0.02425 THEN {tail} WHEN {p} > 1 - 0.02425 THEN -{tail} ELSE {centre} END)"

@@ -165,11 +165,25 @@ def template_literals(spark, sf):
     return {"mean": [r["mean"] for r in t], "median": [r["median"] for r in t]}
 
 
-@query("dst3_warping_to_templates")
+INF = "'Infinity'::DOUBLE"
+TEMPLATE_SQL = (
+    f"{P.ctes('monthly').replace('WITH', 'WITH RECURSIVE')}, {WIN_SQL.format('monthly')}, {ZN_SQL}, "
+    "tp AS (SELECT pos, avg(z) AS mean, median(z) AS median FROM zn GROUP BY 1), "
+    "tc AS (SELECT 'mean' AS template, pos, mean AS m FROM tp UNION ALL SELECT 'median', pos, median FROM tp), "
+    "tl AS (SELECT template, list(m ORDER BY pos) AS b FROM tc GROUP BY 1), "
+    "a AS (SELECT series_id, start, list(z ORDER BY pos) AS a FROM zn GROUP BY 1, 2), "
+    f"dp AS (SELECT series_id, start, template, a, b, 0 AS i, list_concat([0.0::DOUBLE], list_transform(range(12), lambda k: {INF})) AS r FROM a, tl UNION ALL "
+    f"SELECT series_id, start, template, a, b, i + 1, list_reduce(list_concat([[{INF}]], list_transform(range(1, 13), lambda j: [j::DOUBLE])), "
+    f"lambda cur, j: list_concat(cur, [CASE WHEN abs(i + 1 - j[1]) <= 3 THEN pow(a[i + 1] - b[j[1]::INT], 2) + least(r[j[1]::INT + 1], r[j[1]::INT], cur[len(cur)]) ELSE {INF} END])) FROM dp WHERE i < 12), "
+    "wd AS (SELECT series_id, start, template, sqrt(r[13]) AS distance FROM dp WHERE i = 12)"
+)
+
+
+@query("dst3_warping_to_templates", f"{TEMPLATE_SQL} SELECT series_id, start, template, {sq('distance', 5)} AS distance FROM wd")
 def _(spark, sf):
     w = windows_of(P.monthly(spark, sf), normalise=True)
     d = distances.to_centroids(w, "window", template_literals(spark, sf), distances.dtw_to(3), ["series_id", "start"], label="template")
-    return d.select("series_id", "start", "template", q("distance", 5).alias("distance"))
+    return d.select("series_id", F.col("start").cast("bigint").alias("start"), "template", q("distance", 5).alias("distance"))
 
 
 def _dtw_sql():
@@ -191,11 +205,20 @@ def _(spark, sf):
     return w.select("series_id", F.col("start").cast("bigint").alias("start"), q("dtw_prev", 5).alias("dtw_prev"))
 
 
-@query("dst4_pruned_warping")
+PRUNE_SQL = (
+    f"{TEMPLATE_SQL}, ev AS (SELECT template, pos, min(m) OVER w AS lo, max(m) OVER w AS hi FROM tc WINDOW w AS (PARTITION BY template ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), "
+    "lb AS (SELECT series_id, start, template, sqrt(sum(pow(greatest(z - hi, lo - z, 0), 2))) AS bound FROM zn JOIN ev USING (pos) GROUP BY 1, 2, 3), "
+    "li AS (SELECT template, quantile_cont(bound, 0.8) AS lim FROM lb GROUP BY 1) "
+    f"SELECT lb.series_id, lb.start, lb.template AS centroid, {sq('bound', 5)} AS bound, {sq('CASE WHEN bound <= lim THEN distance ELSE bound END', 5)} AS distance, (bound <= lim)::INT AS exact "
+    "FROM lb JOIN li USING (template) JOIN wd ON wd.series_id = lb.series_id AND wd.start = lb.start AND wd.template = lb.template"
+)
+
+
+@query("dst4_pruned_warping", PRUNE_SQL)
 def _(spark, sf):
     w = windows_of(P.monthly(spark, sf), normalise=True)
     d = distances.pruned_dtw(w, "window", template_literals(spark, sf), ["series_id", "start"], 3, keep=0.8)
-    return d.select("series_id", "start", "centroid", q("bound", 5).alias("bound"), q("distance", 5).alias("distance"), F.col("exact").cast("int").alias("exact"))
+    return d.select("series_id", F.col("start").cast("bigint").alias("start"), "centroid", q("bound", 5).alias("bound"), q("distance", 5).alias("distance"), F.col("exact").cast("int").alias("exact"))
 
 
 # --- clustering ---------------------------------------------------------------

@@ -8,7 +8,7 @@ from tidewell.operators import splits
 from tidewell.operators import summary as sm
 from tidewell.operators import windows as win
 from tidewell.plans import panels as P
-from tidewell.plans.registry import day, q, query, sday, sq, table
+from tidewell.plans.registry import day, normal_quantile_sql, q, query, sday, sq, table
 from tidewell.plans.window_queries import WSQL
 
 STATS = ("mean", "median", "std", "min", "max")
@@ -256,7 +256,17 @@ def _(spark, sf):
     return h.select("series_id", "bin", "n", q("density", 8).alias("density"))
 
 
-@query("agg22_normal_plot")
+PLOT_SQL = (
+    "WITH v AS (SELECT event_type AS series_id, value AS y, count(*) AS c FROM events GROUP BY 1, 2), "
+    "k AS (SELECT series_id, y, CAST(sum(c) OVER w - c + 1 AS BIGINT) AS first_rank, CAST(sum(c) OVER w AS BIGINT) AS last_rank, CAST(sum(c) OVER (PARTITION BY series_id) AS DOUBLE) AS n FROM v "
+    "WINDOW w AS (PARTITION BY series_id ORDER BY y ROWS UNBOUNDED PRECEDING)), "
+    "m AS (SELECT *, "
+    + ", ".join(f"CASE WHEN {r} = n THEN pow(0.5, 1.0 / n) WHEN {r} = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE ({r} - 0.3175) / (n + 0.365) END AS {o}" for r, o in (("first_rank", "pa"), ("last_rank", "pb")))
+    + f" FROM k) SELECT series_id, y, first_rank, last_rank, {sq(normal_quantile_sql('pa'))} AS low, {sq(normal_quantile_sql('pb'))} AS high FROM m"
+)
+
+
+@query("agg22_normal_plot", PLOT_SQL)
 def _(spark, sf):
     p = sm.normal_plot(P.raw(spark, sf), "y", ["series_id"])
     return p.select("series_id", "y", "first_rank", "last_rank", q("low").alias("low"), q("high").alias("high"))

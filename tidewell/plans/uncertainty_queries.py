@@ -11,7 +11,7 @@ from tidewell.operators import summary as sm
 from tidewell.operators import windows as win
 from tidewell.panel import with_position
 from tidewell.plans import panels as P
-from tidewell.plans.registry import day, q, query, sday, sq, table
+from tidewell.plans.registry import day, normal_cdf_sql, q, query, sday, sq, table
 from tidewell.plans.window_queries import WSQL
 
 CUT = "2000-06-01"
@@ -55,14 +55,28 @@ def lag_frame(panel):
     return panel.withColumns(cols).na.drop(subset=["y", *LAG_FEATURES])
 
 
-@query("unc3_cross_validated_interval")
+def fold_sql(panel: str = "monthly") -> str:
+    """Expanding folds of the one-lag linear model: predictions ``pr``."""
+    return (
+        f"{P.ctes(panel)}, f AS (SELECT series_id, ts, y, lag(y) OVER w AS x FROM {panel} {WSQL}), "
+        "p AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS t, count(*) OVER (PARTITION BY series_id) AS n FROM f WHERE x IS NOT NULL), "
+        "fo AS (SELECT p.*, CAST(k AS BIGINT) AS fold, n // 6 AS s, n - (6 - k) * (n // 6) AS a FROM p, range(1, 6) r(k)), "
+        "co AS (SELECT fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS c FROM fo WHERE t < a GROUP BY 1), "
+        "pr AS (SELECT series_id, ts, fo.fold, y, c + b * x AS yhat FROM fo JOIN co ON fo.fold = co.fold WHERE t >= a AND t < a + s)"
+    )
+
+
+@query(
+    "unc3_cross_validated_interval",
+    f"{fold_sql()}, qq AS (SELECT quantile_cont(abs(y - yhat), 0.9) AS q FROM pr), fin AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS c FROM p) "
+    f"SELECT series_id, {sday('ts')} AS d, {sq('c + b * x - q', 2)} AS lo, {sq('c + b * x + q', 2)} AS hi FROM p, fin, qq",
+)
 def _(spark, sf):
-    df = lag_frame(P.monthly(spark, sf))
-    folds = models.linear_fold_predictions(df, LAG_FEATURES, {"ridge": 1.0})
-    limit = intervals.split_conformal(folds, 0.1)
-    final = gram.fit_linear(df.withColumn("g", F.lit(1)), ["g"], LAG_FEATURES)
-    scored = gram.predict_linear(df.withColumn("g", F.lit(1)), final, ["g"], LAG_FEATURES)
-    return sm.interval_summary(intervals.band(intervals.with_limits(scored, limit, ())), [])
+    df = P.monthly(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL").withColumn("g", F.lit(1))
+    limit = intervals.split_conformal(models.linear_fold_predictions(df, ["lag_1"], {"linear": 0.0}), 0.1)
+    scored = gram.predict_linear(df, gram.fit_linear(df, ["g"], ["lag_1"]), ["g"], ["lag_1"])
+    out = intervals.band(intervals.with_limits(scored, limit, ()))
+    return out.select("series_id", day("ts").alias("d"), q("lo", 2).alias("lo"), q("hi", 2).alias("hi"))
 
 
 @query("unc4_quantile_regression")
@@ -225,11 +239,17 @@ def _(spark, sf):
     return s.select(q("sharpness", 3).alias("sharpness"), q("coverage_90").alias("coverage_90"), q("nll", 4).alias("nll"))
 
 
-@query("unc15_gaussian_crps")
+@query(
+    "unc15_gaussian_crps",
+    f"{P.ctes('wide')}, g AS (SELECT ts, y, avg(y) OVER w AS mu, var_samp(y) OVER w AS var FROM wide WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)), "
+    "z AS (SELECT year(ts) AS yr, sqrt(var) AS sd, (y - mu) / sqrt(var) AS z FROM g WHERE mu IS NOT NULL AND var > 1e6) "
+    f"SELECT yr, {sq('avg(sd * (z * (2 * ' + normal_cdf_sql('z') + ' - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi())))', 2)} AS crps FROM z GROUP BY 1",
+)
 def _(spark, sf):
     w = Window.partitionBy("series_id").orderBy("ts").rowsBetween(-12, -1)
     df = P.wide(spark, sf).withColumns({"mu": F.avg("y").over(w), "var": F.var_samp("y").over(w)}).where("var > 1e6")
-    return intervals.gaussian_scores(df.withColumn("yr", F.year("ts")), ["yr"]).select("yr", "crps", "nll")
+    s = intervals.gaussian_scores(df.withColumn("yr", F.year("ts").cast("bigint")), ["yr"])
+    return s.select("yr", q("crps", 2).alias("crps"))
 
 
 @query("unc16_posterior_draws")
@@ -281,10 +301,24 @@ def _(spark, sf):
     return d.select("series_id", q("mean_shift").alias("mean_shift"), q("std_shift").alias("std_shift"))
 
 
-@query("drf3_drift_score")
+def _simpson(limit: str) -> str:
+    weight = "CASE WHEN i = 0 OR i = 400 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    return f"(SELECT sum({weight} * pow(greatest(cos({limit} / 400 * i), 0), dof - 1)) * ({limit} / 400) / 3 FROM range(0, 401) x(i))"
+
+
+SCORE_SQL = (
+    f"{T_SQL}, j AS (SELECT tt.series_id, ks, t, ks * sqrt(n_ref * n_new / (n_ref + n_new)::DOUBLE) AS lam, (na + nb - 2)::DOUBLE AS dof, least(abs(ma - mb) / sa, 1) AS ms, least(abs(sa - sb) / sa, 1) AS ss FROM tt JOIN ks USING (series_id)), "
+    "l AS (SELECT *, least(atan(abs(t) / sqrt(dof)), 12 / sqrt(dof)) AS up, least(pi() / 2, 12 / sqrt(dof)) AS full_up FROM j), "
+    f"pv AS (SELECT *, CASE WHEN dof > 1e4 THEN 2 * {normal_cdf_sql('tn')} ELSE greatest(1 - {_simpson('up')} / {_simpson('full_up')}, 0) END AS t_p, "
+    "CASE WHEN lam < 0.2 THEN 1 ELSE least(greatest(2 * (SELECT sum((CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) y(k)), 0), 1) END AS ks_p FROM (SELECT *, -abs(t) AS tn FROM l)) "
+    f"SELECT series_id, {sq('ks_p', 5)} AS ks_p, {sq('t_p', 5)} AS t_p, {sq('((1 - ks_p) + (1 - t_p) + ms + ss) / 4', 5)} AS drift_score, (((1 - ks_p) + (1 - t_p) + ms + ss) / 4 > 0.05)::INT AS flag, (ks_p < 0.05 OR t_p < 0.05)::INT AS differs FROM pv"
+)
+
+
+@query("drf3_drift_score", SCORE_SQL)
 def _(spark, sf):
     d = drift.drift_score(P.raw(spark, sf), "y", is_ref(), ["series_id"])
-    return d.select("series_id", "ks", "ks_p", "t", "t_p", "drift_score", "flag", "differs")
+    return d.select("series_id", q("ks_p", 5).alias("ks_p"), q("t_p", 5).alias("t_p"), q("drift_score", 5).alias("drift_score"), "flag", "differs")
 
 
 @query("drf4_isolation_drift")
