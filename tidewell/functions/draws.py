@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,13 +18,22 @@ def uniform(seed: int, keys: Sequence[str | Column]) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(STEPS)) + 0.5) / float(STEPS)
 
 
-def gaussian(seed: int, keys: Sequence[str | Column]) -> Column:
-    return normal_quantile(uniform(seed, keys))
+def portable_uniform(seed: int, keys: Sequence[str | Column]) -> Column:
+    """The same from MD5 of the joined keys: slower, but any engine can repeat it."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def poisson_one(seed: int, keys: Sequence[str | Column]) -> Column:
+Draw = Callable[[int, Sequence[str | Column]], Column]
+
+
+def gaussian(seed: int, keys: Sequence[str | Column], draw: Draw = uniform) -> Column:
+    return normal_quantile(draw(seed, keys))
+
+
+def poisson_one(seed: int, keys: Sequence[str | Column], draw: Draw = uniform) -> Column:
     """Poisson(1) count by inverse distribution function: a bootstrap weight."""
-    u = uniform(seed, keys)
+    u = draw(seed, keys)
     out, cum = F.lit(0), 0.0
     for k in range(0, 12):
         cum += math.exp(-1) / math.factorial(k)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import distribution as dist
-from tidewell.functions.draws import poisson_one
+from tidewell.functions.draws import Draw, poisson_one, uniform
 from tidewell.operators import gram
 from tidewell.operators import quantiles as qt
 from tidewell.operators import summary as sm
@@ -118,10 +118,10 @@ def calibration_curve(draws: DataFrame, point: Sequence[str], levels: Sequence[f
     return level_flags(draws, point, levels, y).groupBy("level").agg(F.avg("inside").alias("coverage"))
 
 
-def calibration_band(draws: DataFrame, point: Sequence[str], levels: Sequence[float], n_boot: int = 200, seed: int = 42, y="y") -> DataFrame:
+def calibration_band(draws: DataFrame, point: Sequence[str], levels: Sequence[float], n_boot: int = 200, seed: int = 42, y="y", draw: Draw = uniform) -> DataFrame:
     """Bootstrap 95 % band of the calibration curve: Poisson weights per point and draw."""
     flags = level_flags(draws, point, levels, y).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    weighted = flags.withColumn("w", poisson_one(seed, [*point, "b"]))
+    weighted = flags.withColumn("w", poisson_one(seed, [*point, "b"], draw))
     curves = weighted.groupBy("level", "b").agg((F.sum(F.col("w") * F.col("inside")) / F.nullif(F.sum("w"), F.lit(0))).alias("coverage"))
     return curves.groupBy("level").agg(F.percentile("coverage", F.lit(0.025)).alias("lower"), F.percentile("coverage", F.lit(0.975)).alias("upper"))
 
@@ -140,9 +140,9 @@ def gaussian_scores(df: DataFrame, by: Sequence[str] = (), y="y", mu="mu", var="
 # --- linear models refitted on bootstrap draws ---------------------------------
 
 
-def bootstrap_models(train: DataFrame, features: Sequence[str], n_boot: int = 100, seed: int = 42, keys: Sequence[str] = ("series_id", "ts"), y="y") -> DataFrame:
+def bootstrap_models(train: DataFrame, features: Sequence[str], n_boot: int = 100, seed: int = 42, keys: Sequence[str] = ("series_id", "ts"), y="y", draw: Draw = uniform) -> DataFrame:
     """(b, beta): one least-squares fit per draw, all from a single aggregation."""
-    copies = train.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", poisson_one(seed, [*keys, "b"]))
+    copies = train.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", poisson_one(seed, [*keys, "b"], draw))
     return gram.fit_linear(copies.where("w > 0"), ["b"], features, y, weight=F.col("w")).select("b", "beta")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.draws import Draw, uniform
 from tidewell.operators import windows as win
 from tidewell.panel import BY, with_position
 
@@ -85,15 +86,14 @@ def walk_forward(df: DataFrame, points: int = 5, least_train: int = 50, least_va
     return out.where(enough).withColumn("part", F.when(F.col("t") < F.col("cut"), "train").otherwise("test"))
 
 
-def random_share(df: DataFrame, share: float, seed: int, keys: Sequence[str]) -> DataFrame:
+def random_share(df: DataFrame, share: float, seed: int, keys: Sequence[str], draw: Draw = uniform) -> DataFrame:
     """Stable random split by a hash of the row key: no sort, same rows every run."""
-    u = (F.xxhash64(F.lit(seed), *keys) % 1_000_000 + 1_000_000) % 1_000_000
-    return df.withColumn("split", F.when(u < int(share * 1_000_000), "calibration").otherwise("train"))
+    return df.withColumn("split", F.when(draw(seed, keys) < share, "calibration").otherwise("train"))
 
 
-def sample_rows(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
-    """n rows without replacement, chosen by a seeded hash of the row key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+def sample_rows(df: DataFrame, n: int, seed: int, keys: Sequence[str], draw: Draw = uniform) -> DataFrame:
+    """n rows without replacement, chosen by a seeded hash of the row key (a top-n, not a sort)."""
+    return df.orderBy(draw(seed, keys), *keys).limit(n)
 
 
 tail_sample = win.tail_rows

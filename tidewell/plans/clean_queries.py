@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.draws import portable_uniform
 from tidewell.functions.numbers import extract_number, to_number
 from tidewell.operators import clean, longseries, relate, splits
 from tidewell.operators import features as feat
 from tidewell.operators import windows as win
 from tidewell.panel import over, with_position
 from tidewell.plans import panels as P
-from tidewell.plans.registry import day, q, query, sday, sq, table
+from tidewell.plans.registry import day, q, query, sday, sq, table, uniform_sql
 from tidewell.plans.window_queries import WSQL
 
 # --- projection -------------------------------------------------------------
@@ -521,15 +522,14 @@ def _(spark, sf):
     return f.select("series_id", day("ts").alias("d"), F.col("cut").cast("bigint").alias("cut"), "part")
 
 
-@query("spl7_random_calibration")
+@query("spl7_random_calibration", f"SELECT event_id, CASE WHEN {uniform_sql(7, 'event_id')} < 0.2 THEN 'calibration' ELSE 'train' END AS split FROM events")
 def _(spark, sf):
-    s = splits.random_share(table(spark, sf, "events"), 0.2, 7, ["event_id"])
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    return splits.random_share(table(spark, sf, "events"), 0.2, 7, ["event_id"], portable_uniform).select("event_id", "split")
 
 
-@query("smp1_sample_rows")
+@query("smp1_sample_rows", f"SELECT event_id, value FROM events ORDER BY {uniform_sql(11, 'event_id')}, event_id LIMIT 100")
 def _(spark, sf):
-    return splits.sample_rows(table(spark, sf, "events"), 100, 11, ["event_id"]).select("event_id", "value")
+    return splits.sample_rows(table(spark, sf, "events"), 100, 11, ["event_id"], portable_uniform).select("event_id", "value")
 
 
 @query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import agents, forecast, gram, models, regimes, relate, splits
@@ -105,10 +104,10 @@ RIDGE = 1e10
 )
 def _(spark, sf):
     df = P.monthly(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL").withColumn("g", F.lit(1))
-    centred = df.withColumn("mx", F.avg("lag_1").over(Window.partitionBy("g"))).withColumn("x", F.col("lag_1") - F.col("mx"))
-    m = gram.fit_linear(centred, ["g"], ["x"], l2=RIDGE).join(centred.groupBy("g").agg(F.first("mx").alias("mx")), "g")
+    centre = df.agg(F.avg("lag_1")).first()[0]
+    m = gram.fit_linear(df.withColumn("x", F.col("lag_1") - centre), ["g"], ["x"], l2=RIDGE)
     slope = F.col("beta")[1]
-    return m.select(q(slope).alias("slope"), q(F.col("beta")[0] - slope * F.col("mx"), 2).alias("intercept"))
+    return m.select(q(slope).alias("slope"), q(F.col("beta")[0] - slope * centre, 2).alias("intercept"))
 
 
 @query("mlp4_tree_models")

@@ -81,3 +81,19 @@ def normal_quantile_sql(p: str) -> str:
     c = f"({p} - 0.5)"
     centre = f"({c} * {_poly_sql(d.INV_A, f'({c} * {c})')} / {_poly_sql(d.INV_B, f'({c} * {c})')})"
     return f"(CASE WHEN {p} < 0.02425 THEN {tail} WHEN {p} > 1 - 0.02425 THEN -{tail} ELSE {centre} END)"
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    """The SQL twin of ``draws.portable_uniform``."""
+    joined = ", ".join(["'" + str(seed) + "'", *keys])
+    return f"((('0x' || substr(md5(concat_ws('|', {joined})), 1, 12))::BIGINT + 0.5) / {float(1 << 48)!r}::DOUBLE)"
+
+
+def poisson_sql(u: str) -> str:
+    import math
+
+    terms, cum = [], 0.0
+    for k in range(0, 12):
+        cum += math.exp(-1) / math.factorial(k)
+        terms.append(f"({u} > {cum!r}::DOUBLE)::INT")
+    return "(" + " + ".join(terms) + ")"

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.draws import portable_uniform
 from tidewell.operators import augment, drift, gram, intervals, models, monitor, quantiles, splits
 from tidewell.operators import features as feat
 from tidewell.operators import summary as sm
 from tidewell.operators import windows as win
 from tidewell.panel import with_position
 from tidewell.plans import panels as P
-from tidewell.plans.registry import day, normal_cdf_sql, q, query, sday, sq, table
+from tidewell.plans.registry import day, normal_cdf_sql, normal_quantile_sql, poisson_sql, q, query, sday, sq, table, uniform_sql
 from tidewell.plans.window_queries import WSQL
 
 CUT = "2000-06-01"
@@ -174,20 +175,33 @@ def _(spark, sf):
     return ensemble_mean(members, ["series_id", "ts"]).select("series_id", day("ts").alias("d"), F.greatest("ensemble", F.lit(1e-6)).alias("sigma"), "members")
 
 
-def boot_frame(spark, sf, n):
-    df = lag_frame(P.monthly(spark, sf))
-    fitted = intervals.bootstrap_models(df, LAG_FEATURES, n)
-    return intervals.draw_summary(intervals.bootstrap_draws(fitted, df, LAG_FEATURES, ["series_id", "ts", "y"]), ["series_id", "ts", "y"])
+def boot_frame(spark, sf, n=40):
+    df = P.monthly(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL")
+    fitted = intervals.bootstrap_models(df, ["lag_1"], n, draw=portable_uniform)
+    return intervals.draw_summary(intervals.bootstrap_draws(fitted, df, ["lag_1"], ["series_id", "ts"]), ["series_id", "ts"])
+
 
+BOOT_SQL = (
+    f"{P.ctes('monthly')}, f AS (SELECT series_id, ts, y, lag(y) OVER w AS x FROM monthly {WSQL}), k AS (SELECT * FROM f WHERE x IS NOT NULL), "
+    f"u AS (SELECT k.*, b, {uniform_sql(42, 'series_id', 'ts', 'b')} AS u FROM k, range(1, 41) r(b)), w AS (SELECT *, {poisson_sql('u')}::DOUBLE AS w FROM u), "
+    "m AS (SELECT b, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM w GROUP BY 1), "
+    "s AS (SELECT w.b, any_value(mx) AS mx, any_value(my) AS my, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS slope FROM w JOIN m ON w.b = m.b GROUP BY 1), "
+    "p AS (SELECT series_id, ts, my + slope * (x - mx) AS yhat FROM k, s), "
+    "g AS (SELECT series_id, ts, avg(yhat) AS mean, stddev_pop(yhat) AS std, quantile_cont(yhat, 0.025) AS p025, quantile_cont(yhat, 0.5) AS p500, quantile_cont(yhat, 0.975) AS p975 FROM p GROUP BY 1, 2)"
+)
 
-@query("unc10_bootstrap_percentiles")
+
+@query("unc10_bootstrap_percentiles", f"{BOOT_SQL} SELECT series_id, {sday('ts')} AS d, {sq('p025', 1)} AS p025, {sq('p500', 1)} AS p500, {sq('p975', 1)} AS p975 FROM g")
 def _(spark, sf):
-    return boot_frame(spark, sf, 50).select("series_id", day("ts").alias("d"), "p025", "p500", "p975")
+    return boot_frame(spark, sf).select("series_id", day("ts").alias("d"), *[q(c, 1).alias(c) for c in ("p025", "p500", "p975")])
 
 
-@query("unc11_bootstrap_normal_bands")
+@query(
+    "unc11_bootstrap_normal_bands",
+    f"{BOOT_SQL} SELECT series_id, {sday('ts')} AS d, {sq('mean', 1)} AS mean, {sq('std', 1)} AS std, {sq('mean - 1.96 * std', 1)} AS ci_lo, {sq('mean + 1.96 * std', 1)} AS ci_hi, {sq('mean - 2.576 * std', 1)} AS pi_lo, {sq('mean + 2.576 * std', 1)} AS pi_hi FROM g",
+)
 def _(spark, sf):
-    return boot_frame(spark, sf, 50).select("series_id", day("ts").alias("d"), "mean", "std", "ci_lo", "ci_hi", "pi_lo", "pi_hi")
+    return boot_frame(spark, sf).select("series_id", day("ts").alias("d"), *[q(c, 1).alias(c) for c in ("mean", "std", "ci_lo", "ci_hi", "pi_lo", "pi_hi")])
 
 
 @query(
@@ -220,9 +234,19 @@ def _(spark, sf):
     return c.select("level", q("coverage").alias("coverage"))
 
 
-@query("unc14_calibration_band")
+BAND_CURVE_SQL = (
+    f"{P.ctes('monthly')}, {P.draws_sql('monthly')}, "
+    + ", ".join(f"c{i} AS (SELECT {a}::DOUBLE AS level, series_id, ts, (y BETWEEN quantile_cont(yhat, {(1 - a) / 2!r}) AND quantile_cont(yhat, {(1 + a) / 2!r}))::INT AS inside FROM dr GROUP BY series_id, ts, y)" for i, a in enumerate(LEVELS))
+    + ", fl AS (" + " UNION ALL ".join(f"SELECT * FROM c{i}" for i in range(len(LEVELS))) + f"), u AS (SELECT fl.*, b, {uniform_sql(42, 'series_id', 'ts', 'b')} AS u FROM fl, range(1, 101) r(b)), "
+    f"w AS (SELECT *, {poisson_sql('u')} AS w FROM u), cv AS (SELECT level, b, CAST(sum(w * inside) AS DOUBLE) / sum(w) AS coverage FROM w GROUP BY 1, 2) "
+    f"SELECT level, {sq('quantile_cont(coverage, 0.025)')} AS lower, {sq('quantile_cont(coverage, 0.975)')} AS upper FROM cv GROUP BY 1"
+)
+
+
+@query("unc14_calibration_band", BAND_CURVE_SQL)
 def _(spark, sf):
-    return intervals.calibration_band(P.draws(P.monthly(spark, sf)), ["series_id", "ts"], LEVELS, n_boot=100)
+    b = intervals.calibration_band(P.draws(P.monthly(spark, sf)), ["series_id", "ts"], LEVELS, n_boot=100, draw=portable_uniform)
+    return b.select("level", q("lower").alias("lower"), q("upper").alias("upper"))
 
 
 @query(
@@ -368,9 +392,13 @@ def _(spark, sf):
 # --- augmentation -----------------------------------------------------------------
 
 
-@query("aug1_noise")
+@query(
+    "aug1_noise",
+    f"{P.ctes('wide')}, u AS (SELECT *, stddev_pop(y) OVER (PARTITION BY series_id) AS sd, {uniform_sql(42, 'series_id', 'ts')} AS u FROM wide) "
+    f"SELECT series_id, {sday('ts')} AS d, {sq('y + 0.1 * sd * ' + normal_quantile_sql('u'), 3)} AS y FROM u",
+)
 def _(spark, sf):
-    return augment.noise(P.wide(spark, sf)).select("series_id", day("ts").alias("d"), "y")
+    return augment.noise(P.wide(spark, sf), draw=portable_uniform).select("series_id", day("ts").alias("d"), q("y", 3).alias("y"))
 
 
 @query(
@@ -385,18 +413,41 @@ def _(spark, sf):
     return w.select("series_id", F.col("i").cast("bigint").alias("i"), q("y", 4).alias("y"))
 
 
-@query("aug3_scale_and_dropout")
+@query(
+    "aug3_scale_and_dropout",
+    f"{P.ctes('wide')} SELECT series_id, {sday('ts')} AS d, {sq('CASE WHEN ' + uniform_sql(42, 'series_id', 'ts') + ' > 0.1 THEN y * (1 + 0.1 * (2 * ' + uniform_sql(42, 'series_id') + ' - 1)) ELSE 0 END', 3)} AS y FROM wide",
+)
 def _(spark, sf):
-    df = augment.dropout(augment.scale(P.wide(spark, sf)))
-    return df.select("series_id", day("ts").alias("d"), "y")
+    df = augment.dropout(augment.scale(P.wide(spark, sf), draw=portable_uniform), draw=portable_uniform)
+    return df.select("series_id", day("ts").alias("d"), q("y", 3).alias("y"))
+
+
+COPIES_SQL = (
+    f"{P.ctes('monthly')}, p AS (SELECT *, row_number() OVER w - 1 AS t, count(*) OVER (PARTITION BY series_id) AS n, stddev_pop(y) OVER (PARTITION BY series_id) AS sd FROM monthly {WSQL}), "
+    f"cp AS (SELECT DISTINCT series_id, n, sd, copy, {uniform_sql(42, 'series_id', 'copy')} AS u, {uniform_sql(43, 'series_id', 'copy')} AS f FROM p, range(1, 5) r(copy)), "
+    "kd AS (SELECT *, CASE WHEN u < 0.25 THEN 'noise' WHEN u < 0.625 THEN 'warp' WHEN u < 0.90625 THEN 'scale' ELSE 'dropout' END AS kind FROM cp), "
+    f"fl AS (SELECT kd.series_id, copy, kind, t AS i, y, kd.sd, f, {uniform_sql(43, 'kd.series_id', 'copy', 'ts')} AS v FROM kd JOIN p USING (series_id) WHERE kind <> 'warp'), "
+    "wm AS (SELECT *, CAST(floor(n * (1 + 0.2 * (2 * f - 1))) AS BIGINT) AS m FROM kd WHERE kind = 'warp'), "
+    "wp AS (SELECT series_id, copy, kind, i, i * (n - 1) / (m - 1)::DOUBLE AS x FROM wm, range(0, 5000) r(i) WHERE i < m) "
+    f"SELECT series_id, copy, kind, i, {sq('CASE kind WHEN ' + chr(39) + 'noise' + chr(39) + ' THEN y + 0.1 * sd * ' + normal_quantile_sql('v') + ' WHEN ' + chr(39) + 'scale' + chr(39) + ' THEN y * (1 + 0.1 * (2 * f - 1)) ELSE CASE WHEN v > 0.1 THEN y ELSE 0 END END', 3)} AS y FROM fl "
+    f"UNION ALL SELECT wp.series_id, copy, kind, i, {sq('a.y + (b.y - a.y) * (x - floor(x))', 3)} FROM wp JOIN p a ON a.series_id = wp.series_id AND a.t = floor(x) JOIN p b ON b.series_id = wp.series_id AND b.t = ceil(x)"
+)
 
 
-@query("aug4_random_copies")
+@query("aug4_random_copies", COPIES_SQL)
 def _(spark, sf):
-    return augment.random_copies(P.monthly(spark, sf), 4)
+    c = augment.random_copies(P.monthly(spark, sf), 4, draw=portable_uniform)
+    return c.select("series_id", F.col("copy").cast("bigint").alias("copy"), "kind", F.col("i").cast("bigint").alias("i"), q("y", 3).alias("y"))
 
 
-@query("aug5_bootstrap_windows")
+@query(
+    "aug5_bootstrap_windows",
+    f"{P.ctes('monthly')}, p AS (SELECT *, row_number() OVER w - 1 AS t FROM monthly {WSQL}), n AS (SELECT series_id, count(*) AS n, stddev_pop(y) AS sd FROM p GROUP BY 1), "
+    f"s AS (SELECT series_id, sd, sample, CAST(floor({uniform_sql(42, 'series_id', 'sample')} * (n - 12 + 1)) AS BIGINT) AS start FROM n, range(1, 21) r(sample)), "
+    f"u AS (SELECT s.series_id, sample, start, t - start AS pos, y, sd, {uniform_sql(43, 's.series_id', 'sample', 't - start')} AS u FROM s JOIN p ON p.series_id = s.series_id AND t BETWEEN start AND start + 11) "
+    f"SELECT series_id, sample, start, pos, {sq('y + 0.05 * sd * ' + normal_quantile_sql('u'), 3)} AS v FROM u",
+)
 def _(spark, sf):
-    b = augment.bootstrap_windows(P.monthly(spark, sf), 20)
-    return b.select("series_id", "sample", "start", F.posexplode("window").alias("pos", "v"))
+    b = augment.bootstrap_windows(P.monthly(spark, sf), 20, draw=portable_uniform)
+    cells = b.select("series_id", F.col("sample").cast("bigint").alias("sample"), F.col("start").cast("bigint").alias("start"), F.posexplode("window").alias("pos", "v"))
+    return cells.select("series_id", "sample", "start", F.col("pos").cast("bigint").alias("pos"), q("v", 3).alias("v"))
