@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.draws import uniform
+from tidewell.functions.draws import Draw, uniform
 from tidewell.operators import clean, gram, splits
 from tidewell.operators import summary as sm
 from tidewell.panel import BY, with_position
@@ -257,29 +257,29 @@ def strong_coefficients(model, features: Sequence[str]) -> list[str]:
     return [f for f, v in zip(features, c) if v >= median]
 
 
-def random_rank(df: DataFrame, seed: int, keys: Sequence[str], out: str, buckets: int = 4096) -> DataFrame:
+def random_rank(df: DataFrame, seed: int, keys: Sequence[str], out: str, buckets: int = 4096, draw: Draw = uniform) -> DataFrame:
     """A random permutation 1..n without sorting the table in one task: rank inside hash buckets plus bucket offsets."""
-    u = df.withColumns({"_u": uniform(seed, keys)}).withColumn("_b", F.floor(F.col("_u") * buckets))
+    u = df.withColumns({"_u": draw(seed, keys)}).withColumn("_b", F.floor(F.col("_u") * buckets))
     counts = u.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.select("_b", (F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_c")).alias("_o"))
     inner = Window.partitionBy("_b").orderBy("_u", *keys)
     return u.withColumn(out, F.row_number().over(inner)).join(F.broadcast(offsets), "_b").withColumn(out, F.col(out) + F.col("_o")).drop("_u", "_b", "_o")
 
 
-def permuted(df: DataFrame, columns: Mapping[str, str], seed: int, keys: Sequence[str]) -> DataFrame:
+def permuted(df: DataFrame, columns: Mapping[str, str], seed: int, keys: Sequence[str], draw: Draw = uniform) -> DataFrame:
     """Add columns holding other rows' values: {new name: source}; every value is used once."""
-    a = random_rank(df, seed, keys, "_rank")
-    b = random_rank(df.select(*keys, *set(columns.values())), seed + 1, keys, "_rank").select("_rank", *[F.col(s).alias(n) for n, s in columns.items()])
+    a = random_rank(df, seed, keys, "_rank", draw=draw)
+    b = random_rank(df.select(*keys, *set(columns.values())), seed + 1, keys, "_rank", draw=draw).select("_rank", *[F.col(s).alias(n) for n, s in columns.items()])
     kept = a.drop(*[n for n in columns if n in df.columns])
     return kept.join(b, "_rank").drop("_rank")
 
 
-def permutation_importance(model, df: DataFrame, features: Sequence[str], keys: Sequence[str], seed: int = 42, label: str = "y") -> DataFrame:
+def permutation_importance(model, df: DataFrame, features: Sequence[str], keys: Sequence[str], seed: int = 42, label: str = "y", draw: Draw = uniform) -> DataFrame:
     """(feature, rmse, increase): error after one column is shuffled among the rows."""
     base = model.transform(df).select(F.lit("").alias("feature"), F.col(label).alias("y"), F.col("prediction").alias("yhat"))
     out = base
     for i, f in enumerate(features):
-        shuffled = permuted(df, {f: f}, seed + 10 * i, keys)
+        shuffled = permuted(df, {f: f}, seed + 10 * i, keys, draw)
         out = out.unionByName(model.transform(shuffled).select(F.lit(f).alias("feature"), F.col(label).alias("y"), F.col("prediction").alias("yhat")))
     m = sm.regression_metrics(out, ["feature"])
     ref = m.where("feature = ''").select(F.col("rmse").alias("_b"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from tidewell.functions.draws import portable_uniform
 from tidewell.operators import agents, forecast, gram, models, regimes, relate, splits
 from tidewell.operators import summary as sm
 from tidewell.operators import windows as win
 from tidewell.panel import with_position
 from tidewell.plans import panels as P
 from tidewell.plans.clean_queries import SEASONAL_SQL
-from tidewell.plans.registry import day, q, query, sday, sq, table
+from tidewell.plans.registry import day, q, query, sday, sq, table, uniform_sql
 from tidewell.plans.uncertainty_queries import LAG_FEATURES, fold_sql, lag_frame
 from tidewell.plans.window_queries import WSQL
 from tidewell.session import scratch_path
@@ -184,6 +185,17 @@ def _(spark, sf):
     return sm.regression_metrics(scored, ["model"])
 
 
+@query(
+    "mlp10_stack_of_one",
+    f"{P.ctes('wide')}, {OLS_SQL.replace('monthly', 'wide')}, z AS (SELECT series_id, ts, y, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS z FROM k), s AS (SELECT avg(y) AS a, regr_sxy(y, z) / (regr_sxx(y, z) + 50.0) AS b FROM z) "
+    f"SELECT series_id, {sday('ts')} AS d, {sq('a + b * z', 2)} AS stacked FROM z, s",
+)
+def _(spark, sf):
+    oof = P.wide(spark, sf).withColumns({"one": win.lags(ks=(1,))["lag_1"]}).where("one IS NOT NULL")
+    out = models.predict_stack(oof, models.fit_stack(oof, ["one"], alpha=50.0))
+    return out.select("series_id", day("ts").alias("d"), q("stacked", 2).alias("stacked"))
+
+
 @query("mlp11_best_candidate")
 def _(spark, sf):
     train, test = parts(spark, sf)
@@ -210,6 +222,22 @@ def _(spark, sf):
     return models.permutation_importance(model, df, LAG_FEATURES, ["series_id", "ts"])
 
 
+SHUFFLE_SQL = (
+    f"{P.ctes('monthly')}, {OLS_SQL}, c AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM k), "
+    f"ra AS (SELECT y, x, row_number() OVER (ORDER BY {uniform_sql(42, 'series_id', 'ts')}) AS r FROM k), rb AS (SELECT x, row_number() OVER (ORDER BY {uniform_sql(43, 'series_id', 'ts')}) AS r FROM k), "
+    "e AS (SELECT sqrt(avg(pow(ra.y - a - b * rb.x, 2))) AS rmse, sqrt(avg(pow(ra.y - a - b * ra.x, 2))) AS base FROM ra JOIN rb USING (r), c) "
+    f"SELECT 'lag_1' AS feature, {sq('rmse', 2)} AS rmse, {sq('rmse - base', 2)} AS increase FROM e"
+)
+
+
+@query("mlp12_shuffled_lag", SHUFFLE_SQL)
+def _(spark, sf):
+    df = P.monthly(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL")
+    model = models.on_features(models.linear(), ["lag_1"]).fit(df)
+    out = models.permutation_importance(model, df, ["lag_1"], ["series_id", "ts"], draw=portable_uniform)
+    return out.select("feature", q("rmse", 2).alias("rmse"), q("increase", 2).alias("increase"))
+
+
 @query("mlp13_importance_table")
 def _(spark, sf):
     df = lag_frame(P.monthly(spark, sf))

@@ -367,15 +367,45 @@ def standardised(panel):
     return panel.withColumn("y", (F.col("y") - F.avg("y").over(w)) / F.stddev_pop("y").over(w))
 
 
-@query("reg1_change_points")
+PENALTY = 4.0
+# optimal partitioning over the same candidate ends, one recursion step per end
+PARTITION_SQL = (
+    f"{P.ctes('monthly').replace('WITH', 'WITH RECURSIVE')}, z AS (SELECT series_id, ts, (y - avg(y) OVER (PARTITION BY series_id)) / stddev_pop(y) OVER (PARTITION BY series_id) AS v FROM monthly), "
+    "c AS (SELECT series_id, count(*) AS n, list_concat([0.0::DOUBLE], list(s ORDER BY ts)) AS cs, list_concat([0.0::DOUBLE], list(q ORDER BY ts)) AS cq FROM "
+    "(SELECT series_id, ts, sum(v) OVER w AS s, sum(v * v) OVER w AS q FROM z WINDOW w AS (PARTITION BY series_id ORDER BY ts)) GROUP BY 1), "
+    "e AS (SELECT *, list_concat(list_filter(range(0, n, 5), lambda x: x = 0 OR x >= 2), [n]) AS ends FROM c), "
+    "dp AS (SELECT series_id, ends, cs, cq, 1 AS k, [0.0::DOUBLE] AS best, [1::BIGINT] AS prev FROM e UNION ALL "
+    "SELECT series_id, ends, cs, cq, k + 1, list_append(best, list_min(cand)), list_append(prev, list_position(cand, list_min(cand))) FROM ("
+    "SELECT *, list_transform(range(1, k + 1), lambda j: CASE WHEN ends[k + 1] - ends[j] >= 2 THEN best[j] + (cq[ends[k + 1] + 1] - cq[ends[j] + 1]) "
+    f"- pow(cs[ends[k + 1] + 1] - cs[ends[j] + 1], 2) / (ends[k + 1] - ends[j]) + {PENALTY} ELSE 1e300 END) AS cand FROM dp WHERE k < len(ends))), "
+    "bt AS (SELECT series_id, ends, prev, prev[k] AS j FROM dp WHERE k = len(ends) UNION ALL SELECT series_id, ends, prev, prev[j] FROM bt WHERE j > 1) "
+    "SELECT series_id, CAST(ends[j] AS BIGINT) AS breakpoint FROM bt WHERE j > 1"
+)
+
+
+@query("reg1_change_points", PARTITION_SQL)
 def _(spark, sf):
-    return regimes.change_points(standardised(P.monthly(spark, sf)), 4.0)
+    return regimes.change_points(standardised(P.monthly(spark, sf)), PENALTY)
+
+
+CUT_GAIN = 9000.0
+SEGMENT_SQL = (
+    f"{P.ctes('raw').replace('WITH', 'WITH RECURSIVE')}, p AS (SELECT series_id, y, row_number() OVER w - 1 AS t, sum(y) OVER w - y AS c FROM raw WINDOW w AS (PARTITION BY series_id ORDER BY ts, event_id)), "
+    "n AS (SELECT series_id, count(*) AS n, sum(y) AS s FROM p GROUP BY 1), "
+    "sg AS (SELECT series_id, CAST(0 AS BIGINT) AS a, n AS b, 0.0::DOUBLE AS ca, s AS cb, 0 AS depth FROM n UNION ALL "
+    "SELECT series_id, x.a, x.b, x.ca, x.cb, depth + 1 FROM (SELECT sg.*, k.t AS cut, k.c AS cc FROM sg, LATERAL (SELECT p.t, p.c FROM p WHERE p.series_id = sg.series_id AND p.t >= sg.a + 2 AND p.t <= sg.b - 2 AND p.t % 5 = 0 "
+    f"AND pow(p.c - ca, 2) / (p.t - a) + pow(cb - p.c, 2) / (b - p.t) - pow(cb - ca, 2) / (b - a) > {CUT_GAIN} "
+    "ORDER BY pow(p.c - ca, 2) / (p.t - a) + pow(cb - p.c, 2) / (b - p.t) - pow(cb - ca, 2) / (b - a) DESC, p.t LIMIT 1) k) s, "
+    "LATERAL (SELECT s.a AS a, s.cut AS b, s.ca AS ca, s.cc AS cb UNION ALL SELECT s.cut, s.b, s.cc, s.cb) x WHERE depth < 20), "
+    "st AS (SELECT series_id, a, min(b) AS b FROM sg GROUP BY 1, 2) "
+    f"SELECT st.series_id, st.a AS segment_start, count(*) AS n, {sq('avg(y)', 5)} AS mean FROM st JOIN p ON p.series_id = st.series_id AND p.t >= st.a AND p.t < st.b GROUP BY 1, 2"
+)
 
 
-@query("reg1_binary_segmentation")
+@query("reg1_binary_segmentation", SEGMENT_SQL)
 def _(spark, sf):
-    s = regimes.binary_segmentation(P.raw(spark, sf), 9_000.0, tie=("event_id",))
-    return s.groupBy("series_id", "segment_start").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
+    s = regimes.binary_segmentation(P.raw(spark, sf), CUT_GAIN, tie=("event_id",))
+    return s.groupBy("series_id", "segment_start").agg(F.count(F.lit(1)).alias("n"), q(F.avg("y"), 5).alias("mean"))
 
 
 @query(

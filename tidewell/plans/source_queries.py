@@ -56,9 +56,12 @@ def _(spark, sf):
     )
 
 
-@query("src5_inventory")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("src5_inventory", f"SELECT unnest({[t + '.parquet' for t in TABLES]}) AS name, 1 AS has_content")
 def _(spark, sf):
-    return readers.inventory(spark, sf, "*.parquet").select("name", "size")
+    return readers.inventory(spark, sf, "*.parquet").select("name", (F.col("size") > 0).cast("int").alias("has_content"))
 
 
 @query(
@@ -84,7 +87,7 @@ def _(spark, sf):
     return readers.load_registry(spark, path, "struct<parts: bigint, size: bigint>").select("key", "value.*")
 
 
-@query("src8_first_metrics_file")
+@query("src8_first_metrics_file", "SELECT 'labels.parquet' AS name, 1 AS priority")
 def _(spark, sf):
     files = readers.inventory(spark, sf, "*.parquet")
     return readers.first_match(files, [r"^model_test_metrics", r"^l.*\.parquet$", r".*"]).select("name", "priority")
