@@ -60,16 +60,17 @@ def test_windows_cross_part_borders(hot):
 
 def test_expanding_crosses_part_borders(hot):
     filled = hot.na.fill(3.5, ["y"])
-    got = ordered(longseries.expanding(filled, tie=("event_id",), part_rows=37))
+    got = ordered(longseries.expanding(filled, tie=("event_id",)))
     g = got.groupby("series_id")["y"]
     assert np.allclose(got["cum_mean_past"], g.transform(lambda s: s.shift(1).expanding().mean()), equal_nan=True)
     assert np.allclose(got["cum_std_past"], g.transform(lambda s: s.shift(1).expanding().std()).fillna(0))
     assert np.allclose(got["cum_abs"], g.transform(lambda s: s.abs().cumsum()))
 
 
-def test_fill_crosses_part_borders(hot):
+@pytest.mark.parametrize("slot", ["hour", "day"])
+def test_fill_crosses_part_borders(hot, slot):
     holed = hot.withColumn("y", F.when(F.col("event_id") % 3 == 0, F.col("y")))
-    got = ordered(longseries.fill_gaps(holed, tie=("event_id",), part_rows=13))
+    got = ordered(longseries.fill_gaps(holed, tie=("event_id",), slot=slot))
     want = got.groupby("series_id")["y"].transform(lambda s: s.ffill().bfill())
     assert np.allclose(got["filled"], want, equal_nan=True)
 

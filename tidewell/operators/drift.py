@@ -42,7 +42,7 @@ def t_test(df: DataFrame, value: str, is_ref: Column, by: Sequence[str] = ()) ->
 def drift_score(df: DataFrame, value: str, is_ref: Column, by: Sequence[str] = (), level: float = 0.05) -> DataFrame:
     """Mean of 1 - p (both tests) and the normalised shifts of mean and deviation, capped at 1."""
     ks, tt = ks_statistic(df, value, is_ref, by), t_test(df, value, is_ref, by)
-    both = ks.join(tt, list(by)) if by else ks.join(tt)
+    both = qt.attach(ks, tt, by)
     sd = F.nullif(F.col("sa"), F.lit(0.0))
     mean_shift = F.least(F.coalesce(F.abs(F.col("ma") - F.col("mb")) / sd, F.lit(1.0)), F.lit(1.0))
     std_shift = F.least(F.coalesce(F.abs(F.col("sa") - F.col("sb")) / sd, F.lit(1.0)), F.lit(1.0))

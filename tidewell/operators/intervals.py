@@ -22,9 +22,8 @@ def absolute_residual(y="y", yhat="yhat") -> Column:
 
 
 def with_limits(df: DataFrame, limits: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join fitted limits, one row per group, broadcast only after counting them."""
-    small = qt.broadcast_if_small(limits)
-    return df.join(small, list(by)) if by else df.join(small)
+    """Fitted limits, one row per group, on every row."""
+    return qt.attach(df, limits, by)
 
 
 def band(df: DataFrame, q: str = "q", yhat="yhat") -> DataFrame:
@@ -72,7 +71,7 @@ def robust_scale(calibration: DataFrame, score: str, by: Sequence[str] = (), nom
     first = qt.quantile_columns(calibration, score, {"q_nominal": nominal, "q_95": 0.95, "centre": 0.5}, by)
     spread = with_limits(calibration, first.select(*by, "centre"), by).withColumn("_d", F.abs(F.col(score) - F.col("centre")))
     mad = qt.quantile_columns(spread, "_d", {"mad": 0.5}, by)
-    both = first.join(mad, list(by)) if by else first.join(mad)
+    both = qt.attach(first, mad, by)
     robust = F.col("centre") + 2.5 * F.col("mad")
     good = F.col("q_nominal").between(low, high)
     return both.withColumn("q", F.when(good, F.col("q_nominal")).when(robust > low, robust).otherwise(F.col("q_95")))

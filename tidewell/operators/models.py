@@ -277,13 +277,14 @@ def permuted(df: DataFrame, columns: Mapping[str, str], seed: int, keys: Sequenc
 def permutation_importance(model, df: DataFrame, features: Sequence[str], keys: Sequence[str], seed: int = 42, label: str = "y", draw: Draw = uniform) -> DataFrame:
     """(feature, rmse, increase): error after one column is shuffled among the rows."""
     base = model.transform(df).select(F.lit("").alias("feature"), F.col(label).alias("y"), F.col("prediction").alias("yhat"))
-    out = base
+    out = None
     for i, f in enumerate(features):
         shuffled = permuted(df, {f: f}, seed + 10 * i, keys, draw)
-        out = out.unionByName(model.transform(shuffled).select(F.lit(f).alias("feature"), F.col(label).alias("y"), F.col("prediction").alias("yhat")))
+        part = model.transform(shuffled).select(F.lit(f).alias("feature"), F.col(label).alias("y"), F.col("prediction").alias("yhat"))
+        out = part if out is None else out.unionByName(part)
     m = sm.regression_metrics(out, ["feature"])
-    ref = m.where("feature = ''").select(F.col("rmse").alias("_b"))
-    return m.where("feature <> ''").join(F.broadcast(ref)).select("feature", "rmse", (F.col("rmse") - F.col("_b")).alias("increase"))  # one row
+    base_rmse = sm.regression_metrics(base, ["feature"]).first()["rmse"]
+    return m.select("feature", "rmse", (F.col("rmse") - base_rmse).alias("increase"))
 
 
 def shadow_selection(df: DataFrame, features: Sequence[str], keys: Sequence[str], rounds: int = 5, trees: int = 20, seed: int = 42, label: str = "y") -> dict[str, int]:

@@ -88,6 +88,14 @@ def _binned_stats(rows: DataFrame, ranks: Mapping[str, Callable[[Column], Column
     return picked.groupBy(*by, "label").agg((low + (high - low) * F.max("frac")).alias("value"), F.max("n").alias("n"))
 
 
+def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Columns of a small fitted frame on every row: joined by group, or, without groups, its one row as literals."""
+    if by:
+        return df.join(broadcast_if_small(small), list(by))
+    row = small.first()
+    return df.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in small.schema})
+
+
 def quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, float], by: Sequence[str] = (), sort_rows: int = SORT_ROWS) -> DataFrame:
     """Exact linear quantiles in long form: (by..., label, value, n)."""
     ranks = {label: (lambda n, p=p: F.lit(float(p)) * (n - 1)) for label, p in probs.items()}

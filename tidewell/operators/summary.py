@@ -73,7 +73,7 @@ def describe(df: DataFrame, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, sample deviation, min, exact quartiles, max, for groups of any size."""
     base = df.groupBy(*by).agg(F.count(y).alias("count"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.min(y).alias("min"), F.max(y).alias("max"))
     quart = qt.quantile_columns(df, y, FIVE, by)
-    return base.join(quart, list(by)) if by else base.join(quart)
+    return qt.attach(base, quart, by)
 
 
 def data_stats(df: DataFrame, y="y", by=BY) -> DataFrame:
@@ -104,7 +104,7 @@ def regression_metrics(df: DataFrame, by: Sequence[str], y="y", yhat="yhat") ->
 def skill(metrics: DataFrame, reference: str, by: Sequence[str] = ()) -> DataFrame:
     """Skill 1 - RMSE / RMSE_ref and improvement in percent of MAE, against one model."""
     ref = metrics.where(F.col("model") == reference).select(*by, F.col("rmse").alias("_r"), F.col("mae").alias("_m"))
-    joined = metrics.join(ref, list(by)) if by else metrics.join(ref)
+    joined = qt.attach(metrics, ref, by)
     return joined.withColumns(
         {"skill": 1 - safe_ratio(F.col("rmse"), F.col("_r"), None), "improvement_pct": 100 * safe_ratio(F.col("_m") - F.col("mae"), F.col("_m"), None)}
     ).drop("_r", "_m")
@@ -114,7 +114,7 @@ def box_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers (last values within 1.5 IQR), for groups of any size."""
     quart = qt.quantile_columns(df, value, FIVE, by)
     # one row per group: months, seasons, categories
-    rows = df.join(qt.broadcast_if_small(quart), list(by))
+    rows = qt.attach(df, quart, by)
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = F.col(value).between(F.col("q25") - reach, F.col("q75") + reach)
     return rows.groupBy(*by, *FIVE).agg(

@@ -201,8 +201,8 @@ def _(spark, sf):
     train, test = parts(spark, sf)
     path = scratch_path(spark, "best-model")
     board, name, _ = models.best_on_holdout(train, test, LAG_FEATURES, {"linear": models.linear(), "forest": models.forest(10, 3)}, path=path)
-    saved = models.evaluate_models({name: PipelineModel.load(path)}, test, LAG_FEATURES).select(F.col("rmse").alias("saved_rmse"))
-    return splits.leaderboard(board, "rmse").withColumn("best", F.lit(name)).join(saved)
+    saved = models.evaluate_models({name: PipelineModel.load(path)}, test, LAG_FEATURES).first()["rmse"]
+    return splits.leaderboard(board, "rmse").withColumns({"best": F.lit(name), "saved_rmse": F.lit(saved)})
 
 
 @query("mlp12_feature_selection")
