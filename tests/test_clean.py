@@ -82,6 +82,20 @@ def test_folds_are_ordered_and_disjoint(make_panel):
     assert all(len(t) == len(set(t)) for t in tests)
 
 
+def test_walk_forward(make_panel):
+    f = splits.walk_forward(make_panel({"a": range(120), "b": range(60)})).toPandas()
+    assert set(f["series_id"]) == {"a"}  # the short one never has 50 training rows
+    got = {(r.fold, r.cut): (sum(f[f.fold == r.fold].part == "train"), sum(f[f.fold == r.fold].part == "test")) for r in f.itertuples()}
+    # cuts of linspace(60, 119, 3) as integers; the last one leaves a single row
+    assert got == {(0, 60): (60, 15), (1, 89): (89, 10)}
+
+
+def test_month_text_is_a_date(spark, tmp_path):
+    path = writers.save_csv(spark.createDataFrame([("1982-01", 25.9), ("1982-02", 27.1)], "month string, mean_temp double"), str(tmp_path / "m"))
+    got = readers.load_series(spark, path).orderBy("ts").collect()
+    assert [r["ts"] for r in got] == [dt.datetime(1982, 1, 1), dt.datetime(1982, 2, 1)]
+
+
 def test_sources_and_sinks(spark, make_panel, tmp_path):
     raw = spark.createDataFrame([("2020-02-17", "1.5"), ("bad", "2"), ("2020-01-03", "x"), ("2020-01-09", "0.5")], "month string, mean_temp string")
     path = writers.save_csv(raw, str(tmp_path / "sub" / "series"))

@@ -18,7 +18,7 @@ TARGET_PREFERENCE = ("temperature", "temp", "value", "air_temp", "anomaly", "mea
 VALUE_PREFERENCE = ("mean_temp", "temperature", "temp", "value", "y", "air_temp")
 TARGET_CANDIDATES = ("mean_temp", "mean temperature", "temperature", "temp", "t")
 DATE_CANDIDATES = ("month", "date", "Month", "Date")
-TARGET_KEYWORDS = ("temp", "target", "value", "y")
+TARGET_KEYWORDS = ("mean_temp", "mean temperature", "meantemp", "meanTemp", "tmean", "temp", "temperature")
 
 
 # --- schema ------------------------------------------------------------------
@@ -179,7 +179,7 @@ def coerce_objects(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return df.withColumns(new)
 
 
-def numeric_ratio(df: DataFrame, columns: Sequence[str], needed: int = 0) -> DataFrame:
+def numeric_ratio(df: DataFrame, columns: Sequence[str], needed: int = 0, keywords: Sequence[str] = TARGET_KEYWORDS) -> DataFrame:
     """(column, numeric, total, ratio, score), best target candidate first.
 
     The score adds 0.25 for a target-like name and 0.05 for enough rows.
@@ -187,7 +187,7 @@ def numeric_ratio(df: DataFrame, columns: Sequence[str], needed: int = 0) -> Dat
     counted = df.agg(F.count(F.lit(1)).alias("total"), *[F.count(to_number(F.col(c).cast("string"))).alias(f"_{i}") for i, c in enumerate(columns)])
     rows = []
     for i, c in enumerate(columns):
-        bonus = 0.25 if any(k in c.lower() for k in TARGET_KEYWORDS) else 0.0
+        bonus = 0.25 if any(k in c.lower() for k in keywords) else 0.0
         rows.append(F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("numeric"), "total", F.lit(bonus).alias("_b")))
     out = counted.select(F.inline(F.array(*rows))).withColumn("ratio", safe_ratio(F.col("numeric"), F.col("total")))
     long_enough = F.when(F.col("total") >= needed, 0.05).otherwise(0.0)

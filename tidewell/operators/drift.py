@@ -105,7 +105,7 @@ def isolation_forest(reference: DataFrame, features: Sequence[str], keys: Sequen
         )
     limit = int(np.ceil(np.log2(max(sample, 2))))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0])])
         x = pdf.sort_values(["_u", *names])[names].to_numpy(float)[:sample]
         return pd.DataFrame({"tree": [int(key[0])], "body": [json.dumps(_grow(x, rng, 0, limit))]})
@@ -139,6 +139,14 @@ def isolation_drift(df: DataFrame, features: Sequence[str], is_ref: Column, keys
     return out.withColumn("drift_score", F.greatest(F.lit(0.0), F.col("new_score") - F.col("reference_score")))
 
 
+def hybrid_score(statistical: DataFrame, isolation: DataFrame, level: float = 0.05) -> DataFrame:
+    """Both scores and their mean for every row of the statistical frame."""
+    one = isolation.select(F.col("drift_score").alias("isolation_score"))
+    both = qt.attach(statistical.withColumnRenamed("drift_score", "statistical_score"), one, ())
+    mean = (F.col("statistical_score") + F.col("isolation_score")) / 2
+    return both.withColumn("hybrid_score", mean).withColumn("hybrid_flag", (F.col("hybrid_score") > level).cast("int"))
+
+
 def append_history(scores: DataFrame, path: str, run: str) -> str:
     """Append one run's scores to the drift log."""
     scores.withColumn("run", F.lit(run)).write.mode("append").parquet(path)

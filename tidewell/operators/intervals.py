@@ -54,7 +54,8 @@ def widen_by_conformal(calibration: DataFrame, alpha: float = 0.1, lo="lo", hi="
 
 def scale_grid() -> list[float]:
     """Multipliers tried for the interval width: fine around 1, coarse above."""
-    return sorted({round(float(v), 10) for v in np.concatenate([np.linspace(0.6, 1.4, 41), np.linspace(1.5, 3.0, 16)])})
+    # 0.60, 0.62 .. 1.40 and 1.5, 1.6 .. 3.0
+    return [round(0.6 + 0.02 * i, 2) for i in range(41)] + [round(1.5 + 0.1 * i, 1) for i in range(16)]
 
 
 def scale_search(calibration: DataFrame, q: float, grid: Sequence[float] | None = None, nominal: float = 0.9, lo="yhat", hi="yhat", y="y") -> DataFrame:

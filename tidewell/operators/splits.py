@@ -74,16 +74,22 @@ def expanding_folds(df: DataFrame, k: int = 5, by=BY, order=("ts",)) -> DataFram
     return out.withColumn("part", part).where(F.col("part").isNotNull() & (size > 0))
 
 
-def walk_forward(df: DataFrame, points: int = 5, least_train: int = 50, least_val: int = 10, by=BY, order=("ts",)) -> DataFrame:
-    """Cut points evenly from n/2 to n-1, kept where both sides are long enough."""
+def walk_forward(df: DataFrame, points: int = 3, least_train: int = 50, least_val: int = 10, by=BY, order=("ts",)) -> DataFrame:
+    """(fold, cut, part): train on everything before a cut, test on a stretch after it.
+
+    Cuts lie evenly from half the series to its last row.  The stretch is the
+    remaining length over the folds still to come plus one, at least
+    ``least_val`` rows; folds that end up too short on either side are left out.
+    """
     out = with_position(df, by, order, count=True)
+    out = out.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     half = F.floor(F.col("n") / 2)
-    cuts = F.transform(
-        F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.floor(half + i * (F.col("n") - 1 - half) / float(max(points - 1, 1)))
-    )
-    out = out.withColumn("cut", F.explode(F.array_distinct(cuts)))
-    enough = (F.col("cut") >= least_train) & (F.col("n") - F.col("cut") >= least_val)
-    return out.where(enough).withColumn("part", F.when(F.col("t") < F.col("cut"), "train").otherwise("test"))
+    cut = F.floor(half + F.col("fold") * (F.col("n") - 1 - half) / float(max(points - 1, 1)))
+    left = F.col("n") - F.col("cut")
+    size = F.least(F.greatest(F.floor(left / (points - F.col("fold") + 1)), F.lit(least_val)), left)
+    out = out.withColumn("cut", cut).withColumn("_size", size)
+    usable = (F.col("cut") >= least_train) & (F.col("_size") >= least_val) & (F.col("t") < F.col("cut") + F.col("_size"))
+    return out.where(usable).withColumn("part", F.when(F.col("t") < F.col("cut"), "train").otherwise("test")).drop("_size")
 
 
 def random_share(df: DataFrame, share: float, seed: int, keys: Sequence[str], draw: Draw = uniform) -> DataFrame:

@@ -212,13 +212,13 @@ def _(spark, sf):
     "WITH c AS (SELECT count(*) AS total, count(TRY_CAST(o_orderpriority AS DOUBLE)) AS o_orderpriority, count(o_totalprice) AS o_totalprice_value, "
     "count(TRY_CAST(CASE WHEN o_orderstatus = 'F' THEN '1' ELSE 'x' END AS DOUBLE)) AS flag FROM orders), "
     "u AS (UNPIVOT c ON o_orderpriority, o_totalprice_value, flag INTO NAME k VALUE v) "
-    f"SELECT k AS name, CAST(v AS BIGINT) AS numeric, total, {sq('v / total')} AS ratio, {sq('v / total + 0.05 + CASE WHEN k = ' + chr(39) + 'flag' + chr(39) + ' THEN 0 ELSE 0.25 END')} AS score FROM u",
+    f"SELECT k AS name, CAST(v AS BIGINT) AS numeric, total, {sq('v / total')} AS ratio, {sq('v / total + 0.05 + CASE WHEN k = ' + chr(39) + 'o_totalprice_value' + chr(39) + ' THEN 0.25 ELSE 0 END')} AS score FROM u",
 )
 def _(spark, sf):
     o = table(spark, sf, "orders").select(
         "o_orderpriority", F.col("o_totalprice").alias("o_totalprice_value"), F.when(F.col("o_orderstatus") == "F", "1").otherwise("x").alias("flag")
     )
-    df = clean.numeric_ratio(o, o.columns)
+    df = clean.numeric_ratio(o, o.columns, keywords=("price",))
     return df.select(F.col("column").alias("name"), "numeric", "total", q("ratio").alias("ratio"), q("score").alias("score"))
 
 
@@ -514,12 +514,13 @@ def _(spark, sf):
 @query(
     "spl5_walk_forward",
     f"{P.ctes('monthly')}, p AS (SELECT *, row_number() OVER w - 1 AS t, count(*) OVER (PARTITION BY series_id) AS n FROM monthly {WSQL}), "
-    "c AS (SELECT DISTINCT series_id, n, CAST(floor(n // 2 + k * (n - 1 - n // 2) / 4.0) AS BIGINT) AS cut FROM p, range(0, 5) x(k)) "
-    f"SELECT p.series_id, {sday('ts')} AS d, cut, CASE WHEN t < cut THEN 'train' ELSE 'test' END AS part FROM p JOIN c USING (series_id) WHERE cut >= 50 AND c.n - cut >= 10",
+    "c AS (SELECT DISTINCT series_id, n, CAST(k AS BIGINT) AS fold, CAST(floor(n // 2 + k * (n - 1 - n // 2) / 2.0) AS BIGINT) AS cut FROM p, range(0, 3) x(k)), "
+    "v AS (SELECT *, least(greatest(CAST(floor((n - cut) / (4.0 - fold)) AS BIGINT), 10), n - cut) AS size FROM c) "
+    f"SELECT p.series_id, {sday('ts')} AS d, fold, cut, CASE WHEN t < cut THEN 'train' ELSE 'test' END AS part FROM p JOIN v USING (series_id) WHERE cut >= 30 AND size >= 10 AND t < cut + size",
 )
 def _(spark, sf):
-    f = splits.walk_forward(P.monthly(spark, sf))
-    return f.select("series_id", day("ts").alias("d"), F.col("cut").cast("bigint").alias("cut"), "part")
+    f = splits.walk_forward(P.monthly(spark, sf), least_train=30)
+    return f.select("series_id", day("ts").alias("d"), F.col("fold").cast("bigint").alias("fold"), F.col("cut").cast("bigint").alias("cut"), "part")
 
 
 @query("spl7_random_calibration", f"SELECT event_id, CASE WHEN {uniform_sql(7, 'event_id')} < 0.2 THEN 'calibration' ELSE 'train' END AS split FROM events")

@@ -90,7 +90,7 @@ def _(spark, sf):
 
 @query("mlp3_ridge_and_lasso")
 def _(spark, sf):
-    train, test = parts(spark, sf)
+    train, test = parts(spark, sf, P.wide)
     row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("sd")).first()
     fits = {"ridge": models.ridge(1.0, row["n"], row["sd"]), "lasso": models.lasso(100.0)}
     return models.evaluate_models({n: models.on_features(e, LAG_FEATURES).fit(train) for n, e in fits.items()}, test, LAG_FEATURES)
@@ -113,7 +113,7 @@ def _(spark, sf):
 
 @query("mlp4_tree_models")
 def _(spark, sf):
-    train, test = parts(spark, sf)
+    train, test = parts(spark, sf, P.wide)
     fits = {"forest": models.forest(20, 4), "boosted": models.boosted(10, 3)}
     return models.evaluate_models({n: models.on_features(e, LAG_FEATURES).fit(train) for n, e in fits.items()}, test, LAG_FEATURES)
 
@@ -198,7 +198,7 @@ def _(spark, sf):
 
 @query("mlp11_best_candidate")
 def _(spark, sf):
-    train, test = parts(spark, sf)
+    train, test = parts(spark, sf, P.wide)
     path = scratch_path(spark, "best-model")
     board, name, _ = models.best_on_holdout(train, test, LAG_FEATURES, {"linear": models.linear(), "forest": models.forest(10, 3)}, path=path)
     saved = models.evaluate_models({name: PipelineModel.load(path)}, test, LAG_FEATURES).first()["rmse"]
@@ -240,7 +240,7 @@ def _(spark, sf):
 
 @query("mlp13_importance_table")
 def _(spark, sf):
-    df = lag_frame(P.monthly(spark, sf))
+    df = lag_frame(P.wide(spark, sf))
     return models.importance_table(models.on_features(models.forest(20, 4), LAG_FEATURES).fit(df), LAG_FEATURES, df, 3)
 
 

@@ -43,7 +43,7 @@ def _(spark, sf):
     "QUALIFY count(*) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) = 12",
 )
 def _(spark, sf):
-    rows = split_series(number_rows(P.raw(spark, sf), tie=("event_id",)), 100_000, after=W - 1)
+    rows = split_series(number_rows(P.raw(spark, sf), tie=("event_id",)), 1_000, after=W - 1)
     w = sequences.sliding_windows(rows, W, by=("series_id", "part_id"), order=("t",)).where(~F.col("is_halo"))
     return w.select("series_id", "start", q(arrays.mean(F.col("window")), 5).alias("mean"))
 
@@ -234,7 +234,7 @@ def _(spark, sf):
 
 @query("clu2_kmeans_labels")
 def _(spark, sf):
-    _, z = clustering.reduce_windows(windows_of(P.monthly(spark, sf), normalise=True))
+    _, z = clustering.reduce_windows(windows_of(P.wide(spark, sf), normalise=True))
     z = z.persist()
     return clustering.fit_kmeans(z, 3, restarts=3).transform(z).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.operators import quantiles as qt
 from tidewell.operators import splits
 from tidewell.operators import summary as sm
 from tidewell.operators import windows as win
@@ -104,6 +105,17 @@ def _(spark, sf):
     return d.select("count", *[q(c, 4).alias(c) for c in DESC_COLS])
 
 
+@query(
+    "agg8_quantiles_by_bins",
+    f"SELECT l_returnflag AS flag, {sq('quantile_cont(l_extendedprice, 0.25)', 4)} AS q25, {sq('median(l_extendedprice)', 4)} AS median, {sq('quantile_cont(l_extendedprice, 0.999)', 4)} AS q999 FROM lineitem GROUP BY 1",
+)
+def _(spark, sf):
+    # the way taken for groups too large to sort as one array
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    d = qt.quantile_columns(rows, "l_extendedprice", {"q25": 0.25, "median": 0.5, "q999": 0.999}, ["flag"], sort_rows=0)
+    return d.select("flag", *[q(c, 4).alias(c) for c in ("q25", "median", "q999")])
+
+
 STAT9 = ("mean", "std", "min", "max", "missing_rate", "autocorrelation", "trend")
 STAT9_SQL = ", ".join(
     f"{sq(e, 4)} AS {n}"

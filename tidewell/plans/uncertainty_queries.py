@@ -351,6 +351,13 @@ def _(spark, sf):
     return drift.isolation_drift(e, ["value", "hour"], is_ref(), ["event_id"], trees=25)
 
 
+@query("drf4_hybrid_drift")
+def _(spark, sf):
+    raw = P.raw(spark, sf)
+    h = drift.hybrid_score(drift.drift_score(raw, "y", is_ref(), ["series_id"]), drift.isolation_drift(raw, ["y"], is_ref(), ["event_id"], trees=15))
+    return h.select("series_id", "statistical_score", "isolation_score", "hybrid_score", "hybrid_flag")
+
+
 # --- monitoring ---------------------------------------------------------------------
 
 SNAP = ("mean", "std", "min", "max", "missing_rate", "autocorrelation", "trend")

@@ -478,7 +478,7 @@ def _(spark, sf):
     by, order = ("series_id", "part_id"), ("t",)
     cols = win.lags(ks=(1, 36), by=by, order=order) | win.roll_mean(windows=(12,), by=by, order=order)
     cols |= win.roll_std(windows=(12,), by=by, order=order) | {"roll_max_24": win.roll_extremes(windows=(24,), by=by, order=order)["roll_max_24"]}
-    df = longseries.windowed(P.raw(spark, sf), cols, reach=36, tie=("event_id",))
+    df = longseries.windowed(P.raw(spark, sf), cols, reach=36, tie=("event_id",), part_rows=1_000)
     return df.select("event_id", "t", "lag_1", "lag_36", *[q(c, 5).alias(c) for c in ("roll_mean_12", "roll_std_12", "roll_max_24")])
 
 
