@@ -163,7 +163,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, digests: bool = False, le
             tokens = [codec.encode_piece(t) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(tokens, pa.list_(pa.int32()))], ["doc_id", "sha", "nth", "ids"])
 
-    def tree(table: pa.Table) -> pa.Table:
+    def tree(table):
         codec = _codec(vocabulary)
         nth = table.column("nth").to_pylist()
         parts = dict(zip(nth, table.column("ids").to_pylist()))

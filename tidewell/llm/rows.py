@@ -9,22 +9,38 @@ from pyspark.sql import functions as F
 from tidewell.llm.text import whole
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not use."""
+    used = {c.lower() for c in docs.columns}
+    while name in used:
+        name = "_" + name
+    return name
+
+
+def _columns(docs: DataFrame, alias: str):
+    return [F.col(f"{alias}.`{c}`") for c in docs.columns]
+
+
 def copies_of(docs: DataFrame, copies: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Each document as often as ``copies`` (doc_id, copies) says; ids not listed go.
 
-    A null id matches a null id.  ``copies`` has one row per id.
+    A null id matches a null id.  ``copies`` has one row per id.  Columns stay as they are.
     """
-    on = F.col("_d._doc").eqNullSafe(F.col("_c._doc"))
-    left = docs.withColumn("_doc", F.col(doc_id)).alias("_d")
-    right = copies.select(F.col("doc_id").alias("_doc"), F.col("copies").cast("int").alias("_copies")).alias("_c")
-    joined = left.join(right, on).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return joined.select(*[F.col(f"_d.`{c}`") for c in docs.columns])
+    key, nth = _free(docs, "_doc"), _free(docs, "_copy")
+    right = copies.select(F.col("doc_id").alias("_key"), F.col("copies").cast("int").alias("_copies")).alias("_right")
+    joined = docs.withColumn(key, F.col(doc_id)).alias("_left").join(right, F.col(f"_left.{key}").eqNullSafe(F.col("_right._key")))
+    many = joined.filter(F.col("_right._copies") > 0)
+    return many.select(*_columns(docs, "_left"), F.explode(F.sequence(F.lit(1), F.col("_right._copies"))).alias(nth)).drop(nth)
 
 
 def first_rows(docs: DataFrame, kept: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Documents whose id is in ``kept`` (doc_id); of rows that repeat id and text, one."""
-    ids = kept.select(F.col("doc_id").alias("_doc")).distinct().alias("_k")
-    left = docs.withColumn("_doc", F.col(doc_id)).withColumn("_sha", F.sha2(whole(text).cast("binary"), 256)).alias("_d")
-    joined = left.join(ids, F.col("_d._doc").eqNullSafe(F.col("_k._doc")), "left_semi")
-    one = joined.withColumn("_nth", F.row_number().over(W.partitionBy("_doc", "_sha").orderBy("_sha")))
-    return one.filter("_nth = 1").select(*docs.columns)
+    """Documents whose id is in ``kept`` (doc_id); of rows that repeat id and text, one.
+
+    A null id matches a null id.  Columns stay as they are.
+    """
+    key, sha, nth = _free(docs, "_doc"), _free(docs, "_sha"), _free(docs, "_nth")
+    ids = kept.select(F.col("doc_id").alias("_key")).distinct().alias("_right")
+    left = docs.withColumn(key, F.col(doc_id)).withColumn(sha, F.sha2(whole(text).cast("binary"), 256)).alias("_left")
+    joined = left.join(ids, F.col(f"_left.{key}").eqNullSafe(F.col("_right._key")), "left_semi")
+    one = joined.withColumn(nth, F.row_number().over(W.partitionBy(key, sha).orderBy(sha)))
+    return one.filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -50,25 +50,27 @@ class Roller:
     """Rolling hashes over sequences of 64-bit values; equal slices get equal hashes."""
 
     def __init__(self, which: int):
-        self.base = BASES[which]
-        self.power = np.ones(1, np.uint64)
-
-    def powers(self, n: int) -> np.ndarray:
-        if len(self.power) < n:
-            p = np.full(max(n, 1 << 16), self.base, np.uint64)
-            p[0] = 1
-            self.power = np.multiply.accumulate(p)
-        return self.power
+        self.base = int(BASES[which])
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        """Powers of the base and of its inverse modulo 2^64, up to n."""
+        if len(self.up) <= n:
+            size = max(n + 1, 1 << 16)
+            for name, base in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
+                powers = np.full(size, base, np.uint64)
+                powers[0] = 1
+                setattr(self, name, np.multiply.accumulate(powers))
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
+        self.reach(len(values))
         out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.powers(len(values))[: len(values)], out=out[1:])
+        np.cumsum(values * self.up[: len(values)], out=out[1:])
         return out
 
     def slices(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of values[start:end], the same wherever the slice stands."""
-        top = len(prefix)
-        h = (prefix[end] - prefix[start]) * self.powers(top + 1)[top - start]
+        h = (prefix[end] - prefix[start]) * self.down[start]
         return mix(h ^ ((end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
