@@ -102,11 +102,12 @@ def test_quality_rules_base(docs, labels, plain):
 
 def test_binomial_tail(spark):
     import math
+    from fractions import Fraction
 
     cases = [(k, n) for n in (1, 5, 40, 3000) for k in {0, 1, n // 50, n // 3, n}]
     df = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality_rules.binomial_tail(F.col("k"), F.col("n"), 0.02).alias("p"))
     for k, n, p in df.collect():
-        exact = sum(math.comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1))
+        exact = float(sum(math.comb(n, j) * 49 ** (n - j) for j in range(k + 1)) / Fraction(50) ** n)
         assert p == pytest.approx(exact, rel=1e-9)
 
 
@@ -322,7 +323,7 @@ def test_language_model(spark):
 
 def test_language_model_edges(docs, plain, nothing):
     got = language_model.score_documents(docs, blocks=3).collect()
-    assert multiset(r["doc_id"] for r in got) == multiset_ids(plain)
+    assert collections.Counter(r["doc_id"] for r in got) == multiset_ids(plain)
     assert language_model.score_documents(nothing).collect() == []
 
 
@@ -330,10 +331,6 @@ def multiset_ids(plain):
     return collections.Counter(i for i, _ in plain)
 
 
-def multiset_of(values):
-    return collections.Counter(values)
-
-
 # --- classifier ------------------------------------------------------------------------
 
 
@@ -371,7 +368,7 @@ def test_sites_shrink_toward_priors(spark):
 
 def test_classifier_edges(spark, docs, labels, plain):
     got = classifier.classify(docs, labels).collect()
-    assert multiset_of(r["doc_id"] for r in got) == multiset_ids(plain)
+    assert collections.Counter(r["doc_id"] for r in got) == multiset_ids(plain)
     unlabelled = classifier.classify(docs, labels.limit(0)).collect()
     assert all(r["kept"] for r in unlabelled) and len(unlabelled) == len(plain)
 
@@ -514,8 +511,8 @@ def test_pipeline_stages(spark, docs, nothing, labels, tmp_path):
     mixed = now.collect()
     last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
     library = Tokenizer.from_file(VOCABULARY)
-    want = multiset_of((r["doc_id"], sha(",".join(map(str, library.encode(r["text"] or "", add_special_tokens=False).ids)))) for r in mixed)
-    assert multiset_of((r["doc_id"], r["ids_sha256"]) for r in last) == want
+    want = collections.Counter((r["doc_id"], sha(",".join(map(str, library.encode(r["text"] or "", add_special_tokens=False).ids)))) for r in mixed)
+    assert collections.Counter((r["doc_id"], r["ids_sha256"]) for r in last) == want
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, str(tmp_path)).count() == 0, name
 

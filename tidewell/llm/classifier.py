@@ -28,6 +28,8 @@ _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8
 #: Kinds of bytes whose shares are measures.
 _KINDS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*", "|", "!", "<>{}[]", ".,;:?")
 MOST_WORDS = 400
+#: Log-odds of every document where labels of one kind are missing.
+KEEP = -8.0
 
 
 class Features:
@@ -85,7 +87,7 @@ def fit(texts: pa.ChunkedArray, bad: np.ndarray) -> dict:
     f = Features(data, offsets)
     n1, n0 = int(bad.sum()), int((~bad).sum())
     if not n1 or not n0:
-        return {"words": [], "mean": [0.0] * f.measures.shape[1], "scale": [1.0] * f.measures.shape[1], "weights": [0.0] * f.measures.shape[1], "bias": -8.0 if not n1 else 0.0}
+        return {"constant": KEEP}
     order = np.lexsort((f.rows, f.words))
     w, r = f.words[order], f.rows[order]
     new = np.ones(len(w), bool)
@@ -115,6 +117,8 @@ def fit(texts: pa.ChunkedArray, bad: np.ndarray) -> dict:
 def evidence(texts, model: dict) -> np.ndarray:
     """Log-odds of every text to be bad."""
     data, offsets = arrow_bytes(texts)
+    if "constant" in model:
+        return np.full(len(offsets) - 1, model["constant"])
     words, weights = np.array(model["words"], np.int64).view(np.uint64), np.array(model["weights"])
     out = []
     for lo, hi in pieces(offsets):
@@ -145,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int, doc_id: str, text:
         return pa.table({"model": pa.array([json.dumps(model)])})
 
     found = rows.select("_id", "_text", "_bad", "_draw").groupBy(F.lit(0).alias("_all")).applyInArrow(one, "model string").first()
-    return json.loads(found["model"]) if found else {"words": [], "mean": [0.0], "scale": [1.0], "weights": [0.0], "bias": -8.0}
+    return json.loads(found["model"]) if found else {"constant": KEEP}
 
 
 def _logit(p: Column) -> Column:

@@ -229,7 +229,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    return edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
+    below = edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
+    return below.union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
