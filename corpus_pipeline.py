@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import bpe, classifier, exact_dedup, mixing, near_dedup
-from tidewell.llm.rows import copies_of, first_rows
+from tidewell.llm.rows import copies_of, first_rows, text_key
 from tidewell.session import scratch_path
 
 
@@ -25,21 +25,21 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; of rows that repeat id and text, one."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = classifier.classify(docs, labels)
-    return first_rows(docs, judged.filter("kept").select("doc_id"))
+    return first_rows(docs, judged.filter("kept"), text_key(), "text_key")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of equal texts."""
-    return first_rows(docs, exact_dedup.exact_duplicates(docs).filter("kept").select("doc_id"))
+    return first_rows(docs, exact_dedup.exact_duplicates(docs).filter("kept"), F.sha2(exact_dedup.normalised().cast("binary"), 256), "text_sha256")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    return first_rows(docs, near_dedup.near_duplicates(docs).filter("kept").select("doc_id"))
+    return first_rows(docs, near_dedup.near_duplicates(docs).filter("kept"), text_key(), "text_key")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it; rows that share an id are taken alike."""
     mixed = mixing.mix_documents(docs)
     return copies_of(docs, mixed.groupBy("doc_id").agg(F.max("copies").alias("copies")))
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.rows import text_key
 from tidewell.llm.suffixes import per_row
 from tidewell.llm.text import VALUES, Roller, arrow_bytes, pieces, whole, word_bounds
 from tidewell.session import scratch_path
@@ -171,23 +172,23 @@ def _strength(sites: DataFrame, mean: Column) -> float:
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = 2000, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
-    """One row per document: doc_id, evidence, p_host, p_path, p_bad, kept.
+    """One row per document: doc_id, evidence, p_host, p_path, p_bad, kept, text_key.
 
     ``host`` and ``path`` are columns; null is a site of its own.  A null text counts as empty.
     Without labels of both kinds every document keeps the prior and stays.  Rows that repeat an
-    id are judged one by one.
+    id are judged one by one; ``text_key`` tells them apart.
     """
     spark = docs.sparkSession
     model = train(docs, labels, per_class, doc_id, text)
 
     def judge(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(evidence(batch.column(3), model)), batch.column(1), batch.column(2)], ["doc_id", "evidence", "host", "path"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(evidence(batch.column(3), model)), batch.column(1), batch.column(2), batch.column(4)], ["doc_id", "evidence", "host", "path", "text_key"])
 
     place = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), place(host).alias("host"), place(path).alias("path"), whole(text).alias("_text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), place(host).alias("host"), place(path).alias("path"), whole(text).alias("_text"), text_key(text).alias("text_key"))
     where = scratch_path(spark, "evidence")
-    rows.mapInArrow(judge, "doc_id long, evidence double, host string, path string").write.parquet(where)
+    rows.mapInArrow(judge, "doc_id long, evidence double, host string, path string, text_key long").write.parquet(where)
     scored = spark.read.parquet(where).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
 
     rate = lambda g: g.agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), (F.sum(F.col("p") * F.col("p")) - F.sum("p") * F.sum("p") / F.count(F.lit(1))).alias("within"))
@@ -207,4 +208,4 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = 2000, threshol
     near = near.withColumn("p_host", inside(p_host)).withColumn("p_path", inside(p_path))
     odds = F.col("evidence") + _logit(F.col("p_path")) - math.log(mean / (1 - mean))
     out = near.withColumn("p_bad", 1 / (1 + F.exp(-odds)))
-    return out.select("doc_id", "evidence", "p_host", "p_path", "p_bad", (F.col("p_bad") < threshold).alias("kept"))
+    return out.select("doc_id", "evidence", "p_host", "p_path", "p_bad", (F.col("p_bad") < threshold).alias("kept"), "text_key")

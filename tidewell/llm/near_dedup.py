@@ -18,8 +18,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.llm.rows import text_key
 from tidewell.llm.suffixes import per_row
 from tidewell.llm.text import VALUES, Roller, arrow_bytes, mix, pieces, whole, word_bounds
 from tidewell.session import scratch_path
@@ -140,7 +142,7 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def signed(docs: DataFrame, idf, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, words, sig, bands): hash of the word sequence, signature, band keys (null without words)."""
+    """(doc_id, text_key, words, sig, bands): hash of the word sequence, signature, band keys (null without words)."""
 
     def sign(batches):
         table = idf.value
@@ -156,14 +158,14 @@ def signed(docs: DataFrame, idf, doc_id: str = "doc_id", text: str = "text") ->
                 raw, keys = own.tobytes(), bands(signature)
                 texts = [b" ".join(raw[a:b].split()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column(0).slice(lo, hi - lo),
+                    "doc_id": batch.column(0).slice(lo, hi - lo), "text_key": batch.column(2).slice(lo, hi - lo),
                     "words": pa.array([hashlib.sha256(t).digest()[:16] for t in texts], pa.binary()),
                     "sig": pa.array([s.tobytes() for s in signature], pa.binary()),
                     "bands": pa.array([k if w else None for k, w in zip(keys.tolist(), has)], pa.list_(pa.int64())),
                 })
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("_text"))
-    return rows.mapInArrow(sign, "doc_id long, words binary, sig binary, bands array<long>")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("_text"), text_key(text).alias("text_key"))
+    return rows.mapInArrow(sign, "doc_id long, text_key long, words binary, sig binary, bands array<long>")
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -234,14 +236,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, n_links, kept.
+    """One row per document: doc_id, class_id, class_size, n_links, kept, text_key.
 
     ``class_id`` is the smallest doc_id of the class; its row is kept.  Equal word sequences
     are one class without comparison; the rest is compared by one representative each, and
     ``n_links`` counts the representative's verified links.  Texts without words are copies of
     each other.  Rows that repeat an id share its class and only one is kept.  A row without
-    id belongs to the class of its word sequence, is not compared further, and stays only if
-    no row of that class has an id.
+    id belongs to the class of its word sequence and is not compared further; if no row there
+    has an id, class_id is null and one of them stays.  ``text_key`` tells such rows apart.
     """
     spark: SparkSession = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs, text))
@@ -272,7 +274,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     known = copies.join(label, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left")
     known = known.select("words", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = rows.select("doc_id", "words").join(known, "words")
-    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    out = out.join(sizes.withColumnRenamed("class_id", "_class"), F.col("class_id").eqNullSafe(F.col("_class")))
-    return out.select("doc_id", "class_id", "class_size", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    out = rows.select("doc_id", "text_key", "words").join(known, "words")
+    # a class without any id is known by its words
+    out = out.withColumn("_class", F.when(F.col("class_id").isNull(), F.hex("words")).otherwise(F.col("class_id").cast("string")))
+    out = out.join(out.groupBy("_class").agg(F.count(F.lit(1)).alias("class_size")), "_class")
+    first = F.row_number().over(W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("words"))).orderBy("text_key")) == 1
+    return out.select("doc_id", "class_id", "class_size", "n_links", (F.col("doc_id").eqNullSafe(F.col("class_id")) & first).alias("kept"), "text_key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,14 +33,20 @@ def copies_of(docs: DataFrame, copies: DataFrame, doc_id: str = "doc_id") -> Dat
     return many.select(*_columns(docs, "_left"), F.explode(F.sequence(F.lit(1), F.col("_right._copies"))).alias(nth)).drop(nth)
 
 
-def first_rows(docs: DataFrame, kept: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Documents whose id is in ``kept`` (doc_id); of rows that repeat id and text, one.
+def text_key(text: str = "text") -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(whole(text))
+
+
+def first_rows(docs: DataFrame, kept: DataFrame, key: Column, name: str, doc_id: str = "doc_id") -> DataFrame:
+    """Documents listed in ``kept`` (doc_id and column ``name``) by id and ``key``; of rows with both equal, one.
 
     A null id matches a null id.  Columns stay as they are.
     """
-    key, sha, nth = _free(docs, "_doc"), _free(docs, "_sha"), _free(docs, "_nth")
-    ids = kept.select(F.col("doc_id").alias("_key")).distinct().alias("_right")
-    left = docs.withColumn(key, F.col(doc_id)).withColumn(sha, F.sha2(whole(text).cast("binary"), 256)).alias("_left")
-    joined = left.join(ids, F.col(f"_left.{key}").eqNullSafe(F.col("_right._key")), "left_semi")
-    one = joined.withColumn(nth, F.row_number().over(W.partitionBy(key, sha).orderBy(sha)))
+    own, mark, nth = _free(docs, "_doc"), _free(docs, "_mark"), _free(docs, "_nth")
+    listed = kept.select(F.col("doc_id").alias("_key"), F.col(name).alias("_name")).distinct().alias("_right")
+    left = docs.withColumn(own, F.col(doc_id)).withColumn(mark, key).alias("_left")
+    on = F.col(f"_left.{own}").eqNullSafe(F.col("_right._key")) & (F.col(f"_left.{mark}") == F.col("_right._name"))
+    joined = left.join(listed, on, "left_semi")
+    one = joined.withColumn(nth, F.row_number().over(W.partitionBy(own, mark).orderBy(mark)))
     return one.filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
