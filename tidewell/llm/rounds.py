@@ -39,6 +39,20 @@ def in_blocks(docs: DataFrame, blocks: int, doc_id: str = "doc_id", text: str =
     return docs.select(where.alias("_block"), key.alias("_id"), body.alias("_text"))
 
 
+def key_widths(positions: int) -> tuple[int, type]:
+    """Bits of a key's first hash and kind of its second: wide enough that fewer than one in a
+    thousand corpora of so many positions has two different strings with one key."""
+    total = 2 * max(positions, 2).bit_length() + 9
+    second = np.uint16 if total <= 80 else np.uint32
+    return min(64, max(32, total - 8 * np.dtype(second).itemsize)), second
+
+
+def narrowed(h1: np.ndarray, h2: np.ndarray, widths: tuple[int, type]) -> tuple[np.ndarray, np.ndarray]:
+    bits, second = widths
+    low = np.uint64(64 - bits)
+    return (h1 >> low) << low, (h2 >> np.uint64(64 - 8 * np.dtype(second).itemsize)).astype(second)
+
+
 # --- messages -------------------------------------------------------------------------
 
 
@@ -213,9 +227,17 @@ ALONE, OWNER, SHARED = 0, 1, 2
 
 def merge_shared(keys: list[bytes], seconds: list[bytes], _) -> list[bytes]:
     """For every key of two hashes, whether other blocks sent it too, and which block owns it then."""
+    return _merge_shared(keys, seconds, np.uint16)
+
+
+def merge_shared_wide(keys: list[bytes], seconds: list[bytes], _) -> list[bytes]:
+    return _merge_shared(keys, seconds, np.uint32)
+
+
+def _merge_shared(keys: list[bytes], seconds: list[bytes], kind: type) -> list[bytes]:
     parts = [unpack_sorted(k) for k in keys]
     lengths = [len(p) for p in parts]
-    h1, h2 = np.concatenate(parts), np.concatenate([unplanes(s, np.uint16) for s in seconds])
+    h1, h2 = np.concatenate(parts), np.concatenate([unplanes(s, kind) for s in seconds])
     order, starts, run = distinct(h1, h2)
     code = np.where(np.diff(np.append(starts, len(h1))) > 1, SHARED, ALONE).astype(np.uint8)[run]
     code[starts] = np.minimum(code[starts], OWNER)

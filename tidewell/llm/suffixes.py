@@ -15,7 +15,8 @@ for any two positions some step below 73 takes both onto it.
    first ``length`` bytes, one bucket at a time.  Each long tie also puts the suffixes along
    one of its members into the buckets, since a suffix left may equal one of those.
 
-Ranks and buckets go by hash (80 bits where it decides), since only ties matter, not order.
+Ranks and buckets go by hash, since only ties matter, not order; where it decides, the hash is
+as wide as the corpus asks (see ``rounds.key_widths``).
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ def per_row(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Suffixes:
     """The texts of a block as bytes, worked on in pieces of whole documents."""
 
-    def __init__(self, table: pa.Table, length: int, bits: int):
-        self.bits = bits
+    def __init__(self, table: pa.Table, length: int, bits: int, widths: tuple[int, type]):
+        self.bits, self.widths = bits, widths
         self.data, self.offsets = arrow_bytes(table.column("_text"))
         self.length = length
         self.parts = list(pieces(self.offsets, 1 << 19))
@@ -87,8 +88,8 @@ class Suffixes:
             a, b = np.searchsorted(at, (self.offsets[lo], self.offsets[hi]))
             if b > a:
                 h1, h2 = self.hashes(lo, hi, at[a:b], size, True)
-                got.append((h1, (h2 >> np.uint64(48)).astype(np.uint16)))
-        return _joined(got, (np.uint64, np.uint16))
+                got.append(rounds.narrowed(h1, h2, self.widths))
+        return _joined(got, (np.uint64, self.widths[1]))
 
     def spread(self, at: np.ndarray, before: int, after: int) -> np.ndarray:
         """Mask of the bytes from ``before`` ahead of each position to ``after`` behind it."""
@@ -165,20 +166,22 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, blocks: int | None = None
     dealt = rounds.in_blocks(docs, n, doc_id, text)
     # the sample only proposes, so its ranks need few bits: a chance tie in some thousand
     bits = min(64, (n * rounds.BLOCK_BYTES // 8).bit_length() + 12)
+    widths = rounds.key_widths(n * rounds.BLOCK_BYTES)
+    merge = rounds.merge_shared if widths[1] is np.uint16 else rounds.merge_shared_wide
 
     def sample(table, mail):
-        _, h = Suffixes(table, length, bits).sample()
+        _, h = Suffixes(table, length, bits, widths).sample()
         keys, counts = np.unique(h, return_counts=True)
         mail.send(1, keys, n, lambda lo, hi: rounds.planes(counts[lo:hi].astype(np.uint32)))
 
     def long_ties(table, got, mail):
-        _stretches(Suffixes(table, length, bits), got)[1].send(mail, 2, n)
+        _stretches(Suffixes(table, length, bits, widths), got)[1].send(mail, 2, n)
 
     def ends(table, got, mail):
-        _ends(Suffixes(table, length, bits), got)[2].send(mail, 3, n)
+        _ends(Suffixes(table, length, bits, widths), got)[2].send(mail, 3, n)
 
     def finish(table: pa.Table, got: pa.Table) -> pa.Table:
-        s = Suffixes(table, length, bits)
+        s = Suffixes(table, length, bits, widths)
         done, left, asked = _ends(s, got)
         found = asked.repeated(got, 3)[0]
         gone = s.spread(np.concatenate([np.flatnonzero(done), found[left[found]]]), 0, length)
@@ -196,6 +199,6 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, blocks: int | None = None
         return pa.table(columns | ({"kept": pa.array(kept, pa.binary())} if texts else {}))
 
     first = rounds.answer(rounds.first_round(dealt, sample), rounds.merge_levels)
-    second = rounds.answer(rounds.next_round(dealt, first, long_ties, n), rounds.merge_shared)
-    third = rounds.answer(rounds.next_round(dealt, second, ends, n), rounds.merge_shared)
+    second = rounds.answer(rounds.next_round(dealt, first, long_ties, n), merge)
+    third = rounds.answer(rounds.next_round(dealt, second, ends, n), merge)
     return rounds.last_step(dealt, third, finish, RESULT + (", kept binary" if texts else ""))
