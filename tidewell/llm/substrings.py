@@ -4,8 +4,8 @@ First pass: every block counts its windows in a sketch, a few rows of cells addr
 hash.  The blocks' sketches are merged cell by cell, each range of cells by its own task, so
 the sketch may be as wide as the corpus asks for; only cells in use travel.  A window's
 estimate is the least of its cells and never below the true count.  Second pass: windows
-estimated repeated, and only these, are grouped exactly (by 128 bits of hash) to find the
-earliest start of each.  A window that is not the earliest removes its words.
+estimated repeated, and only these, are grouped exactly (by a hash as wide as the corpus
+asks, see ``rounds.key_widths``) to find the earliest start of each.  A window that is not the earliest removes its words.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 class Windows:
     """The word windows of a block, documents in order of their id."""
 
-    def __init__(self, table: pa.Table, width: int):
+    def __init__(self, table: pa.Table, width: int, widths: tuple[int, type]):
         ids = table.column("_id").to_numpy(zero_copy_only=False) if table.column("_id").null_count == 0 else np.array([NO_ID if x is None else x for x in table.column("_id").to_pylist()], np.int64)
         self.order = np.argsort(ids, kind="stable")
         table = table.take(pa.array(self.order))
@@ -56,7 +56,7 @@ class Windows:
             firsts.append(first[:-1] + base)
             base += len(begin)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.h1, self.h2 = join(h1, np.uint64), join(h2, np.uint64)
+        self.h1, self.h2 = rounds.narrowed(join(h1, np.uint64), join(h2, np.uint64), widths)
         self.place, self.doc = join(places, np.int64), join(docs, np.int64)
         self.word_start, self.word_end = join(starts, np.int64), join(ends, np.int64)
         self.first = np.append(join(firsts, np.int64), base).astype(np.int64)
@@ -68,7 +68,7 @@ class Windows:
 
 def _cells(h1: np.ndarray, h2: np.ndarray, row: int, bits: int) -> np.ndarray:
     """Cell of each window in a row of the sketch, in the top bits of a 64-bit number."""
-    h = mix(h1 + h2 * np.uint64(2 * row + 1))
+    h = mix(h1 + h2.astype(np.uint64) * np.uint64(2 * row + 1))
     return (h >> np.uint64(64 - bits)) << np.uint64(64 - bits)
 
 
@@ -94,15 +94,16 @@ def _estimated_repeated(w: Windows, order, starts, got: pa.Table, depth: int, bi
 
 
 def removed_windows(docs: DataFrame, width: int = 20, depth: int = 2, slack_bits: int = 4, blocks: int | None = None,
-                    doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, int]:
-    """Blocks, the shards' answers after both passes, and the sketch's width in bits."""
+                    doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, int, tuple[int, type]]:
+    """Blocks, the shards' answers after both passes, the bits of a sketch cell, the widths of a key."""
     n = blocks or rounds.block_count(docs, text)
     dealt = rounds.in_blocks(docs, n, doc_id, text)
     # a word takes some six bytes: 2^slack_bits cells a window in each row
+    widths = rounds.key_widths(n * rounds.BLOCK_BYTES // 6)
     bits = min(60, max(10, int(n * rounds.BLOCK_BYTES // 6).bit_length() + slack_bits))
 
     def count(table, mail):
-        w = Windows(table, width)
+        w = Windows(table, width, widths)
         order, starts, _ = w.distinct()
         for row, (used, counts, _) in enumerate(_sketch(w, order, starts, depth, bits)):
             part = rounds.Mail(mail.block)
@@ -110,7 +111,7 @@ def removed_windows(docs: DataFrame, width: int = 20, depth: int = 2, slack_bits
             mail.rows += [(b, row * n + s, *rest) for b, s, *rest in part.rows]
 
     def group(table, got, mail):
-        w = Windows(table, width)
+        w = Windows(table, width, widths)
         order, starts, _ = w.distinct()
         ask = starts[_estimated_repeated(w, order, starts, got, depth, bits)]
         one = order[ask]
@@ -120,7 +121,7 @@ def removed_windows(docs: DataFrame, width: int = 20, depth: int = 2, slack_bits
         parts = [rounds.unpack_sorted(k) for k in keys]
         lengths = [len(p) for p in parts]
         h1 = np.concatenate(parts)
-        h2 = np.concatenate([rounds.unplanes(s, np.uint64) for s in seconds])
+        h2 = np.concatenate([rounds.unplanes(s, widths[1]) for s in seconds])
         ids = np.concatenate([rounds.unplanes(o, np.int64) for o in owners])
         order = np.lexsort((ids, h2, h1))
         a, b = h1[order], h2[order]
@@ -131,7 +132,7 @@ def removed_windows(docs: DataFrame, width: int = 20, depth: int = 2, slack_bits
         return rounds.split_like(out, lengths)
 
     estimates = rounds.answer(rounds.first_round(dealt, count), rounds.merge_levels)
-    return dealt, rounds.answer(rounds.next_round(dealt, estimates, group, n), earliest), bits
+    return dealt, rounds.answer(rounds.next_round(dealt, estimates, group, n), earliest), bits, widths
 
 
 def dedup_substrings(docs: DataFrame, width: int = 20, depth: int = 2, slack_bits: int = 4, blocks: int | None = None, texts: bool = False,
@@ -143,10 +144,10 @@ def dedup_substrings(docs: DataFrame, width: int = 20, depth: int = 2, slack_bit
     than the window loses none.  Rows without id count as last; rows that repeat an id are
     taken in the order they are read.  Kept words are joined by one space.
     """
-    dealt, replies, bits = removed_windows(docs, width, depth, slack_bits, blocks, doc_id, text)
+    dealt, replies, bits, widths = removed_windows(docs, width, depth, slack_bits, blocks, doc_id, text)
 
     def finish(table: pa.Table, got: pa.Table) -> pa.Table:
-        w = Windows(table, width)
+        w = Windows(table, width, widths)
         order, starts, run = w.distinct()
         later = np.zeros(len(starts), bool)
         asked = np.flatnonzero(_estimated_repeated(w, order, starts, got, depth, bits))
