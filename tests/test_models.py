@@ -90,7 +90,7 @@ def test_quantile_regression_share(spark):
     x = rng.uniform(0, 10, 1500)
     y = 3 + 2 * x + rng.exponential(4, 1500)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(2)
-    beta = intervals.quantile_regression(df, ["x"], {"q": 0.9}, passes=30)["q"]
+    beta = intervals.quantile_regression(df, ["x"], {"q": 0.9})["q"]
     assert np.mean(y <= beta[0] + beta[1] * x) == pytest.approx(0.9, abs=0.01)
 
 
@@ -192,7 +192,7 @@ def test_forecasts(panel, make_panel):
 
 def test_recursive_paths_agree(panel):
     train = panel.withColumns(win.lags(ks=(1, 2))).where("series_id = 'a'").na.drop()
-    model = models.on_features(models.linear(), LAGS).fit(train).stages[-1]
+    model = models.inner(models.on_features(models.linear(), LAGS).fit(train))
     one = panel.where("series_id = 'a'")
     a = forecast.recursive_forecast(one, model, 5, 2).orderBy("step").toPandas()
     b = forecast.linear_recursive_forecast(one, 5, 2).orderBy("step").toPandas()
@@ -211,7 +211,7 @@ def test_fusion(spark):
 def test_ridge_mapping(framed):
     pdf = framed.toPandas()
     x, y = pdf[LAGS].to_numpy(), pdf["y"].to_numpy()
-    m = models.on_features(models.ridge(3.0, len(y), y.std()), LAGS).fit(framed).stages[-1]
+    m = models.inner(models.on_features(models.ridge(3.0, len(y), y.std()), LAGS).fit(framed))
     xc, yc = x - x.mean(axis=0), y - y.mean()
     want = np.linalg.solve(xc.T @ xc + 3.0 * np.eye(2), xc.T @ yc)
     assert np.allclose(m.coefficients.toArray(), want, atol=1e-6)

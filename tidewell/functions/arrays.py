@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+
+def constant(values, kind: str) -> Column:
+    """Numbers in (nested) lists as one constant of the plan, however many there are."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 

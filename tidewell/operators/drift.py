@@ -86,23 +86,22 @@ def _path_length(tree: list, x: np.ndarray) -> np.ndarray:
 def isolation_forest(reference: DataFrame, features: Sequence[str], keys: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 42) -> list:
     """Trees grown in parallel, one group per tree, each on its own seeded sample.
 
-    A row joins the pool of about ``trees * sample`` rows by its hash, so no
-    group ever holds more than the sample; the grown trees are small and go to
-    the driver.
+    A row joins a tree with probability 1.5 * sample / n by a draw of its own for that tree,
+    and the tree takes the ``sample`` smallest draws, so no group holds more than about one
+    and a half samples; the grown trees are small and go to the driver.
     """
     import json
 
-    n = reference.count()
-    share = min(1.0, 1.5 * trees * sample / max(n, 1))
     names = list(features)
-    pool = reference.na.drop(subset=names).withColumn("_u", uniform(seed, keys))
-    if share < 1.0:
-        pool = pool.where(F.col("_u") < share).withColumn("tree", F.floor(uniform(seed + 1, keys) * trees).cast("int"))
-    else:
-        # a small table: every tree draws from all of it
-        pool = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(
-            uniform(seed + 2, [*keys, "tree"]) < min(1.0, 1.5 * sample / max(n, 1))
-        )
+    whole = reference.na.drop(subset=names)
+    share = min(1.0, 1.5 * sample / max(whole.count(), 1))
+    row = F.xxhash64(F.lit(seed), *keys)
+
+    def draw(tree):
+        return (F.pmod(F.xxhash64(F.col("_row"), tree), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+    joined = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) <= share)
+    pool = whole.withColumn("_row", row).withColumn("tree", F.explode(joined)).withColumn("_u", draw(F.col("tree")))
     limit = int(np.ceil(np.log2(max(sample, 2))))
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -72,42 +72,60 @@ def trend_season_forecast(df: DataFrame, horizon: int, orders=(1, 2, 3), period:
     return f.select(*by, "n", "step", (F.exp(value) if multiplicative else value).alias("yhat"))
 
 
-def recursive_forecast(df: DataFrame, model, horizon: int, n_lags: int, by=BY, order=("ts",)) -> DataFrame:
+def _recent(df: DataFrame, reach: int, by, order) -> DataFrame:
+    """(by..., _path): the last ``reach`` values of each series; a shorter one repeats its first value in front."""
+    last = win.tail_rows(df.select(*by, *order, "y"), reach, by, order)
+    rows = last.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "y"))).alias("_r"))
+    values = F.transform("_r", lambda r: r["y"])
+    return rows.select(*by, F.concat(F.array_repeat(F.get(values, F.lit(0)), F.lit(reach) - F.size("_r")), values).alias("_path"))
+
+
+def _lag_set(lags: int | Sequence[int]) -> list[int]:
+    return list(range(1, lags + 1)) if isinstance(lags, int) else sorted(lags)
+
+
+def recursive_forecast(df: DataFrame, model, horizon: int, lags: int | Sequence[int], by=BY, order=("ts",)) -> DataFrame:
     """Many steps with a fitted one-step lag model: predictions become the next lags.
 
-    One row per series carries its last values as an array; every step adds a
-    prediction to it, so the plan is a single chain and the rows never grow.
-    The model's feature vector is (lag_1, ..., lag_n).
+    ``lags`` are those of the model's feature vector, in rising order (a number n means 1..n).
+    One row per series carries its last values as an array; every step adds a prediction to
+    it, so the rows never grow.
     """
-    last = win.tail_rows(df.select(*by, *order, "y"), n_lags, by, order)
-    rows = last.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "y"))).alias("_r"))
-    state = rows.where(F.size("_r") == n_lags).select(*by, F.transform("_r", lambda r: r["y"]).alias("_path"))
-    feature = model.getFeaturesCol()
+    ks = _lag_set(lags)
+    reach = max(ks)
+    state = _recent(df, reach, by, order)
+    feature, out = model.getFeaturesCol(), model.getPredictionCol()
     for _ in range(horizon):
-        lags = F.reverse(F.slice("_path", -n_lags, n_lags))
-        scored = model.transform(state.withColumn(feature, array_to_vector(lags)))
-        state = scored.select(*by, F.concat("_path", F.array(F.col("prediction"))).alias("_path"))
-    steps = state.select(*by, F.posexplode(F.slice("_path", n_lags + 1, horizon)).alias("_i", "yhat"))
+        seen = F.array(*[F.element_at("_path", -k) for k in ks])
+        scored = model.transform(state.withColumn(feature, array_to_vector(seen)))
+        state = scored.select(*by, F.concat("_path", F.array(F.col(out))).alias("_path"))
+    steps = state.select(*by, F.posexplode(F.slice("_path", reach + 1, horizon)).alias("_i", "yhat"))
     return steps.select(*by, (F.col("_i") + 1).alias("step"), "yhat")
 
 
-def linear_recursive_forecast(df: DataFrame, horizon: int, n_lags: int, l2: float = 0.0, by=BY, order=("ts",)) -> DataFrame:
-    """The same with one ridge model per series, stepped inside an array expression."""
-    names = [f"lag_{k}" for k in range(1, n_lags + 1)]
-    lagged = df.withColumns(win.lags(ks=range(1, n_lags + 1), by=by, order=order)).na.drop(subset=names)
-    models = gram.fit_linear(lagged, by, names, "y", l2)
-    last = win.tail_rows(df.select(*by, *order, "y"), n_lags, by, order)
-    paths = last.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "y"))).alias("_r"))
-    paths = paths.where(F.size("_r") == n_lags).select(*by, F.transform("_r", lambda r: r["y"]).alias("_path"))
+def linear_recursive_forecast(df: DataFrame, horizon: int, lags: int | Sequence[int], l2: float = 0.0, train_share: float = 1.0, by=BY, order=("ts",)) -> DataFrame:
+    """The same with one ridge model per series, stepped inside an array expression.
+
+    ``train_share`` is the part of each series, from its start, that the model is fitted on.
+    """
+    ks = _lag_set(lags)
+    reach = max(ks)
+    names = [f"lag_{k}" for k in ks]
+    lagged = with_position(df, by, order, count=True).withColumns(win.lags(ks=ks, by=by, order=order)).na.drop(subset=names)
+    models = gram.fit_linear(lagged.where(F.col("t") < F.floor(F.col("n") * train_share)), by, names, "y", l2)
+    paths = _recent(df, reach, by, order)
 
     def step(path: Column, _: Column) -> Column:
-        recent = F.reverse(F.slice(path, -n_lags, n_lags))
-        products = F.zip_with(F.slice("beta", 2, n_lags), recent, lambda b, v: b * v)
-        value = F.aggregate(products, F.element_at("beta", 1), lambda s, v: s + v)
+        value = F.element_at("beta", 1)
+        for i, k in enumerate(ks):
+            value = value + F.element_at("beta", i + 2) * F.element_at(path, -k)
         return F.concat(path, F.array(value))
 
-    full = paths.join(models, list(by)).withColumn("_path", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("_path"), step))
-    out = full.select(*by, F.posexplode(F.slice("_path", n_lags + 1, horizon)).alias("_i", "yhat"))
+    # a series too short for a model repeats its last value
+    flat = F.concat(F.array(F.lit(0.0)), F.array(*[F.lit(float(k == ks[0])) for k in ks]))
+    full = paths.join(models, list(by), "left").withColumn("beta", F.coalesce("beta", flat))
+    full = full.withColumn("_path", F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("_path"), step))
+    out = full.select(*by, F.posexplode(F.slice("_path", reach + 1, horizon)).alias("_i", "yhat"))
     return out.select(*by, (F.col("_i") + 1).alias("step"), "yhat")
 
 
@@ -136,8 +154,8 @@ def with_fallback(df: DataFrame, prediction: str, feature: str, y="y", by=BY, or
 # --- fusion -----------------------------------------------------------------------
 
 # Names under which predictions and variances of two models are known.
-MEAN_ALIASES = (("model1_temp", "mu_a", "muA", "pred_a"), ("model2_temp", "mu_m", "muM", "pred_b"))
-VARIANCE_ALIASES = (("model1_var", "var_a", "varA"), ("model2_var", "var_m", "varM"))
+MEAN_ALIASES = (("mu_arima", "arima_mean", "model1_temp", "mu_a", "pred_a"), ("mu_ml", "ml_mean", "model2_temp", "mu_m", "pred_b"))
+VARIANCE_ALIASES = (("var_arima", "arima_var", "model1_var", "var_a"), ("var_ml", "ml_var", "model2_var", "var_m"))
 
 
 def fusion_columns(columns: Sequence[str]) -> tuple[list[str | None], list[str | None]]:

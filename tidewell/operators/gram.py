@@ -85,5 +85,5 @@ def fit_linear(df: DataFrame, by: Sequence[str], features: Sequence[str], label:
 
 
 def predict_linear(df: DataFrame, models: DataFrame, by: Sequence[str], features: Sequence[str], out: str = "yhat") -> DataFrame:
-    joined = df.join(models.select(*by, "beta"), list(by))
+    joined = df.join(models.select(*by, "beta"), list(by), "left")
     return joined.withColumn(out, dot(F.col("beta"), [F.lit(1.0)] + [F.col(f) for f in features])).drop("beta")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import distribution as dist
+from tidewell.functions.arrays import constant
 from tidewell.functions.draws import Draw, poisson_one, uniform
 from tidewell.operators import gram
 from tidewell.operators import quantiles as qt
@@ -150,7 +151,7 @@ def bootstrap_draws(models: DataFrame, df: DataFrame, features: Sequence[str], k
     """(keys..., b, yhat): every row under every refitted model, held as one array per row."""
     betas = [r["beta"] for r in models.orderBy("b").collect()]
     xs = [F.lit(1.0)] + [F.col(f) for f in features]
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in beta]) for beta in betas])
+    rows = constant([[float(v) for v in beta] for beta in betas], "array<array<double>>")
     vec = F.array(*xs)
 
     def one(beta: Column) -> Column:
@@ -211,11 +212,13 @@ def posterior_models(train: DataFrame, features: Sequence[str], n_draws: int = 2
 # --- quantile regression ---------------------------------------------------------
 
 
-def quantile_regression(df: DataFrame, features: Sequence[str], taus: Mapping[str, float], y="y", passes: int = 60, tol: float = 1e-6) -> dict[str, list[float]]:
+def quantile_regression(df: DataFrame, features: Sequence[str], taus: Mapping[str, float], y="y", passes: int = 2000, tol: float = 1e-3) -> dict[str, list[float]]:
     """Linear quantile models by reweighted least squares; intercept first.
 
     Each pass is one aggregation of weighted sums for all levels together; the
-    driver solves p x p systems, p being the number of features plus one.
+    driver solves p x p systems, p being the number of features plus one.  Passes go on
+    until no coefficient, in units of deviations, moves by ``tol``; if ``passes`` do not
+    suffice, it fails.
     """
     scaled = df.na.drop(subset=[*features, y]).agg(
         *[f(c).alias(f"{n}_{i}") for i, c in enumerate([*features, y]) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
@@ -244,6 +247,8 @@ def quantile_regression(df: DataFrame, features: Sequence[str], taus: Mapping[st
             beta[t] = new
         if step and change < tol:
             break
+    else:
+        raise RuntimeError(f"quantile regression did not settle within {passes} passes")
     rows.unpersist()
     out = {}
     for t in taus:

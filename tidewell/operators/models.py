@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, MinMaxScaler, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, MinMaxScaler, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -94,11 +94,33 @@ def boosted(rounds: int = 50, depth: int = 4, step: float = 0.1, seed: int = 42,
     return GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, **kw)
 
 
+class CompleteRows(Pipeline):
+    """A pipeline fitted on the rows that have all of the named columns."""
+
+    def __init__(self, stages, columns: Sequence[str]):
+        super().__init__(stages=stages)
+        self.columns = list(columns)
+
+    def _fit(self, dataset: DataFrame):
+        return super()._fit(dataset.na.drop(subset=self.columns))
+
+
 def on_features(estimator, features: Sequence[str], label: str = "y") -> Pipeline:
-    """An estimator over named columns."""
+    """An estimator over named columns.
+
+    It is fitted on complete rows; ``transform`` keeps every row and predicts NULL where a
+    feature is missing.
+    """
     stage = estimator.copy()
-    stage.setFeaturesCol("features").setLabelCol(label)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"), stage])
+    stage.setFeaturesCol("features").setLabelCol(label).setPredictionCol("_predicted")
+    whole = " AND ".join(f"`{f}` IS NOT NULL AND NOT isnan(`{f}`)" for f in features)
+    shown = SQLTransformer(statement=f"SELECT *, CASE WHEN {whole} THEN _predicted END AS prediction FROM __THIS__")
+    return CompleteRows([VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), stage, shown], [*features, label])
+
+
+def inner(model):
+    """The fitted estimator of a pipeline made by ``on_features``."""
+    return model.stages[1]
 
 
 TRAINERS: dict[str, Callable] = {"linear": linear, "lasso": lasso, "forest": forest, "boosted": boosted}
@@ -205,6 +227,45 @@ def predict_stack(df: DataFrame, stack: Mapping, out: str = "stacked") -> DataFr
     return df.withColumn(out, total)
 
 
+def fit_full_stack(train: DataFrame, bases: Mapping[str, tuple[object, Sequence[str]]], k: int = 5, alpha: float = 1.0, label: str = "y", by=BY, order=("ts",), keys: Sequence[str] = ("series_id", "ts")) -> dict:
+    """Bases fitted on all rows, and a stack fitted on their out-of-fold predictions.
+
+    ``bases`` maps a name to its estimator and features.
+    """
+    folds = None
+    for name, (estimator, features) in bases.items():
+        part = fold_predictions(train, features, {name: estimator}, k, label, by, order, keys)
+        folds = part if folds is None else folds.unionByName(part)
+    oof, kept = repair_oof(oof_matrix(folds, list(bases), keys), list(bases))
+    fitted = {n: on_features(*bases[n], label).fit(train) for n in kept}
+    return {"stack": fit_stack(oof, kept, alpha), "models": fitted}
+
+
+def predict_full_stack(df: DataFrame, full: Mapping, out: str = "stacked") -> DataFrame:
+    """Every base scores the rows, seen or new; a missing base prediction counts as 0."""
+    scored = df
+    for name, model in full["models"].items():
+        scored = model.transform(scored).withColumn(name, F.coalesce("prediction", F.lit(0.0))).drop("features", "_predicted", "prediction")
+    return predict_stack(scored, full["stack"], out).drop(*full["models"])
+
+
+def save_full_stack(full: Mapping, path: str, spark) -> None:
+    import json
+
+    for name, model in full["models"].items():
+        model.write().overwrite().save(f"{path}/{name}")
+    spark.createDataFrame([(json.dumps({**full["stack"], "scaler": {k: list(v) for k, v in full["stack"]["scaler"].items()}}),)], "stack string").coalesce(1).write.mode("overwrite").json(f"{path}/stack.json")
+
+
+def load_full_stack(path: str, spark) -> dict:
+    import json
+
+    from pyspark.ml import PipelineModel
+
+    stack = json.loads(spark.read.schema("stack string").json(f"{path}/stack.json").first()["stack"])
+    return {"stack": stack, "models": {n: PipelineModel.load(f"{path}/{n}") for n in stack["bases"]}}
+
+
 def best_on_holdout(train: DataFrame, holdout: DataFrame, features: Sequence[str], candidates: Mapping[str, object], label: str = "y", path: str | None = None):
     """(leaderboard, name, fitted pipeline) of the candidate with the lowest holdout RMSE; saved when a path is given."""
     fitted = {n: on_features(e, features, label).fit(train) for n, e in candidates.items()}
@@ -216,10 +277,13 @@ def best_on_holdout(train: DataFrame, holdout: DataFrame, features: Sequence[str
 
 
 def evaluate_models(models: Mapping[str, object], test: DataFrame, expected: Sequence[str], label: str = "y") -> DataFrame:
-    """Metrics of many fitted pipelines on one table; columns a model misses are filled with 0."""
+    """Metrics of many fitted pipelines on one table; columns a model misses are filled with 0.
+
+    Rows without a prediction, for want of a feature, take no part.
+    """
     have = set(test.columns)
-    aligned = test.withColumns({c: F.lit(0.0) for c in expected if c not in have}).na.fill(0.0, list(expected))
-    parts = [m.transform(aligned).select(F.lit(n).alias("model"), F.col(label).alias("y"), F.col("prediction").alias("yhat")) for n, m in models.items()]
+    aligned = test.withColumns({c: F.lit(0.0) for c in expected if c not in have})
+    parts = [m.transform(aligned).select(F.lit(n).alias("model"), F.col(label).alias("y"), F.col("prediction").alias("yhat")).where("yhat IS NOT NULL") for n, m in models.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -231,7 +295,7 @@ def evaluate_models(models: Mapping[str, object], test: DataFrame, expected: Seq
 
 def importance_table(model, features: Sequence[str], like: DataFrame, top: int | None = None) -> DataFrame:
     """(feature, importance, n_rows) of a fitted tree pipeline, strongest first."""
-    values = model.stages[-1].featureImportances.toArray()
+    values = inner(model).featureImportances.toArray()
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(float(v)).alias("importance")) for f, v in zip(features, values)])
     out = like.agg(F.count(F.lit(1)).alias("n_rows")).select(F.inline(rows), "n_rows").orderBy(F.desc("importance"), "feature")
     return out.limit(top) if top else out
@@ -250,7 +314,7 @@ def top_correlated(df: DataFrame, features: Sequence[str], k: int = 10, label: s
 
 def strong_coefficients(model, features: Sequence[str]) -> list[str]:
     """Features whose absolute coefficient reaches the median."""
-    c = [abs(float(v)) for v in model.stages[-1].coefficients]
+    c = [abs(float(v)) for v in inner(model).coefficients]
     ranked = sorted(c)
     mid = len(ranked) // 2
     median = ranked[mid] if len(ranked) % 2 else (ranked[mid - 1] + ranked[mid]) / 2
@@ -294,7 +358,7 @@ def shadow_selection(df: DataFrame, features: Sequence[str], keys: Sequence[str]
     for r in range(rounds):
         both = permuted(df, shadows, seed + 100 * r, keys)
         names = [*features, *shadows]
-        values = on_features(forest(trees, 5, seed + r), names, label).fit(both).stages[-1].featureImportances.toArray()
+        values = inner(on_features(forest(trees, 5, seed + r), names, label).fit(both)).featureImportances.toArray()
         bar = max(values[len(features):])
         for f, v in zip(features, values):
             hits[f] += int(v > bar)

@@ -1,12 +1,9 @@
 """Exact order statistics and distribution comparisons without collecting a group.
 
-The built-in exact percentile holds every distinct value of a group in one
-task, which is right only for groups of a counted size.  For larger groups
-values fall into fixed, order-preserving logarithmic bins; bin counts (combined
-map-side, bounded by the number of bins) locate the wanted ranks, and only the
-values of the few bins that hold them are ranked.
-
-The input is read two or three times: write it first if it is costly to make.
+Values fall into fixed, order-preserving logarithmic bins; bin counts (combined map-side,
+bounded by the number of bins) locate the wanted ranks, and only the values of the few bins
+that hold them are ranked.  The values are written once to the shared folder and read from
+there; the plan is the same for every group size.
 """
 
 from __future__ import annotations
@@ -16,9 +13,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.session import scratch_path
+
 BINS_PER_OCTAVE = 4096
-BROADCAST_ROWS = 100_000
-SORT_ROWS = 1_000_000
 
 
 def value_bin(v: Column) -> Column:
@@ -27,41 +24,16 @@ def value_bin(v: Column) -> Column:
     return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("bigint"))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Count first; hint a broadcast only when the count is within ``limit``."""
-    kept = df.persist()
-    return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
-
-
-def order_stats(df: DataFrame, value: Column | str, ranks: Mapping[str, Callable[[Column], Column]], by: Sequence[str] = (), sort_rows: int = SORT_ROWS) -> DataFrame:
+def order_stats(df: DataFrame, value: Column | str, ranks: Mapping[str, Callable[[Column], Column]], by: Sequence[str] = ()) -> DataFrame:
     """Values at fractional 0-based ranks, linearly interpolated: (by..., label, value, n).
 
-    ``ranks`` maps a label to a function from the group size to the rank.  The
-    groups are counted first; up to ``sort_rows`` values a group is sorted as
-    one array, beyond that the binned way is taken for all of them.
+    ``ranks`` maps a label to a function from the group size to the rank.
     """
     v = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*by, v.cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
-    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= sort_rows:
-        return _sorted_stats(rows, ranks, by)
-    return _binned_stats(rows, ranks, by)
-
-
-def _sorted_stats(rows: DataFrame, ranks: Mapping[str, Callable[[Column], Column]], by: Sequence[str]) -> DataFrame:
-    groups = rows.groupBy(*by).agg(F.sort_array(F.collect_list("_v")).alias("_s")).where(F.size("_s") > 0)
-    n = F.size("_s").cast("bigint")
-    places = F.array(*[F.struct(F.lit(label).alias("label"), rank(n).cast("double").alias("r")) for label, rank in ranks.items()])
-
-    def at(place: Column) -> Column:
-        return F.get("_s", place.cast("int"))
-
-    low, high = at(F.floor("_p.r")), at(F.ceil("_p.r"))
-    out = groups.withColumn("_p", F.explode(places))
-    return out.select(*by, "_p.label", (low + (high - low) * (F.col("_p.r") - F.floor("_p.r"))).alias("value"), n.alias("n"))
-
-
-def _binned_stats(rows: DataFrame, ranks: Mapping[str, Callable[[Column], Column]], by: Sequence[str]) -> DataFrame:
+    given = df.select(*by, v.cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    path = scratch_path(df.sparkSession, "values")
+    given.write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
     rows = rows.withColumn("_bin", value_bin(F.col("_v")))
     counts = rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -78,7 +50,6 @@ def _binned_stats(rows: DataFrame, ranks: Mapping[str, Callable[[Column], Column
         counts.withColumn("_w", F.explode(F.filter(F.array(*wanted), lambda w: (w["rank"] >= start) & (w["rank"] < F.col("_cum")))))
         .select(*by, "_bin", "n", "_w.label", "_w.side", "_w.frac", (F.col("_w.rank") - start).alias("_rank"))
     )
-    hits = broadcast_if_small(hits)
     bins = hits.select(*by, "_bin").distinct()
     inside = rows.join(bins, [*by, "_bin"], "left_semi").groupBy(*by, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c"))
     run = Window.partitionBy(*by, "_bin").orderBy("_v")
@@ -91,20 +62,20 @@ def _binned_stats(rows: DataFrame, ranks: Mapping[str, Callable[[Column], Column
 def attach(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     """Columns of a small fitted frame on every row: joined by group, or, without groups, its one row as literals."""
     if by:
-        return df.join(broadcast_if_small(small), list(by))
+        return df.join(small, list(by))
     row = small.first()
     return df.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in small.schema})
 
 
-def quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, float], by: Sequence[str] = (), sort_rows: int = SORT_ROWS) -> DataFrame:
+def quantiles(df: DataFrame, value: Column | str, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear quantiles in long form: (by..., label, value, n)."""
     ranks = {label: (lambda n, p=p: F.lit(float(p)) * (n - 1)) for label, p in probs.items()}
-    return order_stats(df, value, ranks, by, sort_rows)
+    return order_stats(df, value, ranks, by)
 
 
-def quantile_columns(df: DataFrame, value: Column | str, probs: Mapping[str, float], by: Sequence[str] = (), sort_rows: int = SORT_ROWS) -> DataFrame:
+def quantile_columns(df: DataFrame, value: Column | str, probs: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear quantiles, one column per label."""
-    long = quantiles(df, value, probs, by, sort_rows)
+    long = quantiles(df, value, probs, by)
     return long.groupBy(*by).agg(*[F.max(F.when(F.col("label") == k, F.col("value"))).alias(k) for k in probs])
 
 

@@ -23,8 +23,11 @@ PART = "part_id"
 HALO = "is_halo"
 
 
-def exact_mean(value: Column, scale: int = 2) -> Column:
-    """Mean through a decimal sum: the result does not depend on row order."""
+def exact_mean(value: Column, scale: int | None = None) -> Column:
+    """Mean of the values as they are, or, for values known to have ``scale`` decimals, through
+    a decimal sum, whose result does not depend on row order."""
+    if scale is None:
+        return F.avg(value)
     return F.sum(value.cast(f"decimal(18,{scale})")).cast("double") / F.nullif(F.count(value), F.lit(0))
 
 
@@ -33,7 +36,7 @@ def null_nan(value: Column) -> Column:
     return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
 
 
-def to_panel(df: DataFrame, key: Column, ts: Column, value: Column, grain: str, scale: int = 2) -> DataFrame:
+def to_panel(df: DataFrame, key: Column, ts: Column, value: Column, grain: str, scale: int | None = None) -> DataFrame:
     """Mean per series and calendar step; partial sums are combined map-side."""
     v = null_nan(value)
     means = df.groupBy(key.alias("_key"), F.date_trunc(grain, ts).alias("ts")).agg(exact_mean(v, scale).alias("y"))

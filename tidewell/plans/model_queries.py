@@ -76,7 +76,7 @@ OLS_SQL = f"f AS (SELECT series_id, ts, y, lag(y) OVER w AS x FROM monthly {WSQL
 def _(spark, sf):
     df = P.monthly(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL")
     train = df.where(F.col("ts") < TRAIN_END)
-    m = models.on_features(models.linear(), ["lag_1"]).fit(train).stages[-1]
+    m = models.inner(models.on_features(models.linear(), ["lag_1"]).fit(train))
     got = train.agg(F.lit(float(m.coefficients[0])).alias("slope"), F.lit(float(m.intercept)).alias("intercept"))
     return got.select(q("slope").alias("slope"), q("intercept", 3).alias("intercept"))
 
@@ -118,16 +118,30 @@ def _(spark, sf):
     return models.evaluate_models({n: models.on_features(e, LAG_FEATURES).fit(train) for n, e in fits.items()}, test, LAG_FEATURES)
 
 
+ONE_SPLIT_SQL = "SELECT o_orderkey, {0} AS forest, {0} AS boosted FROM (SELECT o_orderkey, avg(o_totalprice) OVER (PARTITION BY o_orderpriority = '1-URGENT') AS m FROM orders)".format(sq("m", 4))
+
+
+@query("mlp4_one_split", ONE_SPLIT_SQL)
+def _(spark, sf):
+    """Trees of one split on a two-valued feature predict the mean of each side."""
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("urgent"), F.col("o_totalprice").alias("y"))
+    out = o
+    for name, est in (("forest", models.forest(1, 1, bootstrap=False)), ("boosted", models.boosted(1, 1, 1.0))):
+        fitted = models.on_features(est, ["urgent"]).fit(o)
+        out = fitted.transform(out).withColumnRenamed("prediction", name).drop("features", "_predicted")
+    return out.select("o_orderkey", q("forest", 4).alias("forest"), q("boosted", 4).alias("boosted"))
+
+
 @query("mlp5_grid_search")
 def _(spark, sf):
     df = lag_frame(P.monthly(spark, sf))
-    return models.search(df, LAG_FEATURES, "forest", models.grid({"trees": (5, 10), "depth": (2, 4)}), k=2)
+    return models.search(df, LAG_FEATURES, "forest", models.grid({"trees": (5, 10), "depth": (2, 4)}), k=5)
 
 
 @query("mlp6_random_search")
 def _(spark, sf):
     df = lag_frame(P.monthly(spark, sf))
-    return models.search(df, LAG_FEATURES, "boosted", models.random_grid({"rounds": (3, 5), "depth": (2, 3), "step": (0.05, 0.1)}, 3), k=2)
+    return models.search(df, LAG_FEATURES, "boosted", models.random_grid({"rounds": (3, 5), "depth": (2, 3), "step": (0.05, 0.1)}, 3), k=5)
 
 
 FOLD_SQL = fold_sql()
@@ -157,7 +171,7 @@ def _(spark, sf):
 BASES = {"linear": lambda: models.linear(), "forest": lambda: models.forest(10, 3), "boosted": lambda: models.boosted(5, 3)}
 
 
-def stacked(spark, sf, k=3):
+def stacked(spark, sf, k=5):
     df = lag_frame(P.monthly(spark, sf))
     preds = models.fold_predictions(df, LAG_FEATURES, {n: f() for n, f in BASES.items()}, k)
     return models.repair_oof(models.oof_matrix(preds, [*BASES, "absent"]), [*BASES, "absent"])
@@ -301,7 +315,7 @@ def _(spark, sf):
     names = [f"lag_{k}" for k in range(1, 4)]
     m = P.monthly(spark, sf)
     train = m.withColumns(win.lags(ks=(1, 2, 3))).na.drop(subset=names)
-    model = models.on_features(models.forest(10, 4), names).fit(train).stages[-1]
+    model = models.inner(models.on_features(models.forest(200, 4), names).fit(train))
     return forecast.recursive_forecast(m, model, 6, 3)
 
 
@@ -383,26 +397,30 @@ FUSE_W = "OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 12 PRECEDING AND
 @query(
     "mlp23_fusion",
     f"{P.ctes('wide')}, f AS (SELECT series_id, ts, lag(y) OVER (PARTITION BY series_id ORDER BY ts) AS a, avg(y) {FUSE_W} AS b, coalesce(var_pop(y) {FUSE_W}, 0) + 1e6 AS va, coalesce(var_pop(y) {FUSE_W}, 0) / 2 AS vb FROM wide), "
-    "g AS (SELECT *, 1 / greatest(va, 1e-10) AS wa, 1 / greatest(vb, 1e-10) AS wb FROM f WHERE a IS NOT NULL AND vb > 1) "
+    "g AS (SELECT *, 1 / greatest(va, 1e-10) AS wa, 1 / greatest(vb, 1e-10) AS wb FROM f WHERE a IS NOT NULL) "
     f"SELECT series_id, {sday('ts')} AS d, {sq('(wa * a + wb * b) / (wa + wb)', 3)} AS fused_mean, {sq('sqrt(1 / (wa + wb))', 3)} AS fused_std FROM g",
 )
 def _(spark, sf):
     w = win.past_frame(12)
     var = F.coalesce(F.var_pop("y").over(w), F.lit(0.0))
-    df = P.wide(spark, sf).withColumns({"mu_a": win.lags(ks=(1,))["lag_1"], "mu_m": F.avg("y").over(w), "var_a": var + 1e6, "var_m": var / 2})
+    df = P.wide(spark, sf).withColumns({"mu_arima": win.lags(ks=(1,))["lag_1"], "mu_ml": F.avg("y").over(w), "var_arima": var + 1e6, "var_ml": var / 2})
     means, variances = forecast.fusion_columns(df.columns)
-    f = forecast.fuse(df.where("mu_a IS NOT NULL AND var_m > 1"), list(zip(means, variances)))
+    f = forecast.fuse(df.where("mu_arima IS NOT NULL"), list(zip(means, variances)))
     return f.select("series_id", day("ts").alias("d"), q("fused_mean", 3).alias("fused_mean"), q("fused_std", 3).alias("fused_std"))
 
 
 @query(
     "mlp24_fusion_columns",
-    f"{P.ctes('monthly')} SELECT 'Model1_Temp' AS mean_1, 'varM' AS var_2, count(*) AS n FROM monthly",
+    f"WITH g AS (SELECT event_id, value AS a, event_id % 7 + 1 AS va, value / 2 AS b, event_id % 3 + 1 AS vb FROM events) SELECT event_id, {sq('(a / va + b / vb) / (1.0 / va + 1.0 / vb)')} AS fused_mean, {sq('1 / (1.0 / va + 1.0 / vb)')} AS fused_variance FROM g",
 )
 def _(spark, sf):
-    df = P.monthly(spark, sf).withColumns({"Model1_Temp": F.col("y"), "varM": F.lit(1.0)})
-    means, variances = forecast.fusion_columns(df.columns)
-    return df.agg(F.lit(means[0]).alias("mean_1"), F.lit(variances[1]).alias("var_2"), F.count(F.lit(1)).alias("n"))
+    e = table(spark, sf, "events").select(
+        "event_id", F.col("value").alias("ARIMA_mean"), (F.col("event_id") % 7 + 1).cast("double").alias("arima_var"),
+        (F.col("value") / 2).alias("ML_Mean"), (F.col("event_id") % 3 + 1).cast("double").alias("ml_var"),
+    )
+    means, variances = forecast.fusion_columns(e.columns)
+    f = forecast.fuse(e, list(zip(means, variances)))
+    return f.select("event_id", q("fused_mean").alias("fused_mean"), q("fused_variance").alias("fused_variance"))
 
 
 @query("mlp25_registered_component", f"{P.ctes('monthly')}, {OLS_SQL}, co AS (SELECT series_id, regr_slope(y, x) AS phi, regr_intercept(y, x) AS c, max_by(y, ts) AS l FROM k GROUP BY 1) SELECT series_id, {sq('c + phi * l', 3)} AS mu, 'predict' AS mode FROM co")

@@ -8,31 +8,34 @@ from pyspark.sql import functions as F
 from tidewell.panel import to_panel
 from tidewell.plans.registry import table
 
+#: Decimals of the given tables' amounts.
+MONEY = 2
+
 
 def monthly(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
-    return to_panel(o, F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_totalprice"), "month")
+    return to_panel(o, F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_totalprice"), "month", MONEY)
 
 
 def monthly_total(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
-    return to_panel(o, F.lit("all"), F.col("o_orderdate"), F.col("o_totalprice"), "month")
+    return to_panel(o, F.lit("all"), F.col("o_orderdate"), F.col("o_totalprice"), "month", MONEY)
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    return to_panel(e, F.col("event_type"), F.col("ts"), F.col("value"), "day")
+    return to_panel(e, F.col("event_type"), F.col("ts"), F.col("value"), "day", MONEY)
 
 
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    return to_panel(e, F.col("event_type"), F.col("ts"), F.col("value"), "hour")
+    return to_panel(e, F.col("event_type"), F.col("ts"), F.col("value"), "hour", MONEY)
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
     """Many short series: one per part."""
     li = table(spark, sf, "lineitem")
-    return to_panel(li, F.col("l_partkey"), F.col("l_shipdate"), F.col("l_extendedprice"), "month")
+    return to_panel(li, F.col("l_partkey"), F.col("l_shipdate"), F.col("l_extendedprice"), "month", MONEY)
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +58,7 @@ def forecasts_sql(panel: str) -> str:
     return (
         f"fc AS (SELECT series_id, ts, row_number() OVER ({w}) - 1 AS t, y, lag(y) OVER ({w}) AS persistence, "
         f"avg(y) OVER ({w} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS rolling FROM {panel}), "
-        "ml AS (SELECT series_id, ts, t, y, 'persistence' AS model, persistence AS yhat FROM fc WHERE t > 0 "
+        "ml AS MATERIALIZED (SELECT series_id, ts, t, y, 'persistence' AS model, persistence AS yhat FROM fc WHERE t > 0 "
         "UNION ALL SELECT series_id, ts, t, y, 'rolling', rolling FROM fc WHERE t > 0)"
     )
 

@@ -236,14 +236,42 @@ def _(spark, sf):
 def _(spark, sf):
     _, z = clustering.reduce_windows(windows_of(P.wide(spark, sf), normalise=True))
     z = z.persist()
-    return clustering.fit_kmeans(z, 3, restarts=3).transform(z).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return clustering.fit_kmeans(z, 3, restarts=10).transform(z).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "clu2_wide_gaps",
+    f"SELECT count(*) AS n, {sq('avg(ascii(c_mktsegment) * 1e7 + c_acctbal) / 1e3', 4)} AS centre, {sq('var_pop(c_acctbal)', 2)} AS spread FROM customer GROUP BY c_mktsegment",
+)
+def _(spark, sf):
+    """Clusters that gaps of a thousand widths part: one per segment, whatever the seeds."""
+    from pyspark.ml.functions import array_to_vector
+
+    c = table(spark, sf, "customer").withColumn("v", F.ascii("c_mktsegment") * 1e7 + F.col("c_acctbal"))
+    z = c.withColumn("z", array_to_vector(F.array("v")))
+    labelled = clustering.fit_kmeans(z, 5).transform(z)
+    return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), q(F.avg("v") / 1e3, 4).alias("centre"), q(F.var_pop("c_acctbal"), 2).alias("spread")).drop("label")
+
+
+@query(
+    "clu3_silhouette_of_regions",
+    "WITH d AS (SELECT a.n_nationkey AS k, a.n_regionkey AS g, b.n_regionkey AS h, avg(abs(a.n_nationkey - b.n_nationkey)) AS m FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey GROUP BY 1, 2, 3), "
+    "s AS (SELECT k, max(m) FILTER (g = h) AS own, min(m) FILTER (g <> h) AS other FROM d GROUP BY 1) "
+    f"SELECT k AS n_nationkey, {sq('coalesce((other - own) / greatest(own, other), 0)')} AS silhouette FROM s",
+)
+def _(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+
+    n = table(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("label"), array_to_vector(F.array(F.col("n_nationkey").cast("double"))).alias("z"))
+    s = clustering.silhouette_sample(n, 100, 42, ["n_nationkey"])
+    return s.select("n_nationkey", q("silhouette").alias("silhouette"))
 
 
 @query("clu3_silhouette_sample")
 def _(spark, sf):
     _, z = clustering.reduce_windows(windows_of(P.monthly(spark, sf), normalise=True))
     z = z.persist()
-    labelled = clustering.fit_kmeans(z, 3, restarts=2).transform(z)
+    labelled = clustering.fit_kmeans(z, 3, restarts=10).transform(z)
     return clustering.silhouette_sample(labelled, 60, 42, ["series_id", "start"])
 
 
@@ -251,7 +279,7 @@ def _(spark, sf):
 def _(spark, sf):
     _, z = clustering.reduce_windows(windows_of(P.monthly(spark, sf), normalise=True))
     z = z.persist()
-    c = clustering.choose_k(z, (2, 3, 4, 5), restarts=1)
+    c = clustering.choose_k(z, (2, 3, 4, 5), restarts=10)
     rows = [F.struct(F.lit(k).alias("k"), F.lit(float(v)).alias("cost"), F.lit(float(s)).alias("silhouette")) for k, v, s in zip(c["ks"], c["costs"], c["scores"])]
     total = z.agg(F.count(F.lit(1)).alias("windows"))
     return total.select("windows", F.inline(F.array(*rows)), F.lit(c["elbow"]).alias("elbow"), F.lit(c["silhouette"]).alias("best_silhouette")).select(
@@ -261,7 +289,7 @@ def _(spark, sf):
 
 @query("clu5_cluster_windows")
 def _(spark, sf):
-    return clustering.cluster_windows(windows_of(P.monthly(spark, sf), normalise=True), ["series_id", "start"], 3, radius=3, restarts=2)
+    return clustering.cluster_windows(windows_of(P.monthly(spark, sf), normalise=True), ["series_id", "start"], 3, radius=3, restarts=10)
 
 
 @query(

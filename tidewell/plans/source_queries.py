@@ -47,21 +47,28 @@ def _(spark, sf):
     return readers.load_indexed(spark, path, "when", "when timestamp, price double").select(day("ts").alias("d"), "price")
 
 
-@query("src4_header_columns", "SELECT unnest(['series_id', 'ts', 'y', 'lag_1', 'lag_2', 'roll_mean_6']) AS name, (SELECT count(*) FROM orders) * 0 + 6 AS n")
+HEADER = ("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@query("src4_header_columns", " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n FROM customer" for c in HEADER))
 def _(spark, sf):
-    path = writers.save_csv(lag_frame(P.monthly(spark, sf)), scratch_path(spark, "features"))
+    path = writers.save_csv(table(spark, sf, "customer").select(*HEADER), scratch_path(spark, "customers"))
     names = readers.header_columns(spark, path)
-    return spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("_n")).select(
-        F.explode(F.array(*[F.lit(c) for c in names])).alias("name"), F.lit(len(names)).cast("bigint").alias("n")
-    )
+    found = spark.read.option("header", True).csv(path).select(*names)
+    return found.agg(*[F.countDistinct(c).alias(c) for c in names]).unpivot([], names, "name", "n")
 
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@query("src5_inventory", f"SELECT unnest({[t + '.parquet' for t in TABLES]}) AS name, 1 AS has_content")
+@query("src5_inventory", " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, count(*) AS n FROM {t}" for t in TABLES))
 def _(spark, sf):
-    return readers.inventory(spark, sf, "*.parquet").select("name", (F.col("size") > 0).cast("int").alias("has_content"))
+    found = [r["path"] for r in readers.inventory(spark, sf, "*.parquet").select("path").collect()]
+    rows = None
+    for path in found:
+        one = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).select(F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("name"), "n")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 @query(
@@ -87,10 +94,11 @@ def _(spark, sf):
     return readers.load_registry(spark, path, "struct<parts: bigint, size: bigint>").select("key", "value.*")
 
 
-@query("src8_first_metrics_file", "SELECT 'labels.parquet' AS name, 1 AS priority")
+@query("src8_first_metrics_file", "SELECT doc_id, quality, toxic FROM labels")
 def _(spark, sf):
     files = readers.inventory(spark, sf, "*.parquet")
-    return readers.first_match(files, [r"^model_test_metrics", r"^l.*\.parquet$", r".*"]).select("name", "priority")
+    first = readers.first_match(files, [r"^model_test_metrics", r"^la.*\.parquet$", r".*"]).first()
+    return spark.read.parquet(first["path"]).select("doc_id", "quality", "toxic")
 
 
 @query("src9_sample_load", "SELECT count(*) AS n FROM (SELECT * FROM orders LIMIT 200)")

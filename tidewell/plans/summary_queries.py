@@ -112,7 +112,7 @@ def _(spark, sf):
 def _(spark, sf):
     # the way taken for groups too large to sort as one array
     rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
-    d = qt.quantile_columns(rows, "l_extendedprice", {"q25": 0.25, "median": 0.5, "q999": 0.999}, ["flag"], sort_rows=0)
+    d = qt.quantile_columns(rows, "l_extendedprice", {"q25": 0.25, "median": 0.5, "q999": 0.999}, ["flag"])
     return d.select("flag", *[q(c, 4).alias(c) for c in ("q25", "median", "q999")])
 
 

@@ -84,7 +84,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = lag_frame(P.wide(spark, sf))
     train, rest = df.where(F.col("ts") < "1999-06-01"), df.where(F.col("ts") >= "1999-06-01")
-    beta = intervals.quantile_regression(train, LAG_FEATURES, {"lo": 0.05, "hi": 0.95}, passes=12, tol=1e-3)
+    beta = intervals.quantile_regression(train, LAG_FEATURES, {"lo": 0.05, "hi": 0.95})
     scored = rest.withColumns({k: intervals.linear_prediction(b, LAG_FEATURES) for k, b in beta.items()})
     cal, test = scored.where(F.col("ts") < CUT), scored.where(F.col("ts") >= CUT)
     delta = intervals.widen_by_conformal(cal).first()["delta"]
@@ -94,22 +94,22 @@ def _(spark, sf):
 
 @query(
     "unc4_conformal_widening",
-    f"{CAL_SQL} SELECT {sq('quantile_cont(greatest(yhat - 20000 - y, y - yhat - 20000, 0), 0.9)', 3)} AS delta FROM cal WHERE model = 'rolling'",
+    f"{CAL_SQL} SELECT {sq('quantile_cont(greatest(yhat - 20000 - y, y - yhat - 20000, 0), 0.9)', 3)} AS delta FROM cal",
 )
 def _(spark, sf):
     cal, _test = calibrated(spark, sf)
-    c = cal.where("model = 'rolling'").withColumns({"lo": F.col("yhat") - 20000, "hi": F.col("yhat") + 20000})
+    c = cal.withColumns({"lo": F.col("yhat") - 20000, "hi": F.col("yhat") + 20000})
     return intervals.widen_by_conformal(c).select(q("delta", 3).alias("delta"))
 
 
 @query(
     "unc5_scale_search",
     f"{CAL_SQL}, g AS (SELECT unnest([{', '.join(str(s) for s in intervals.scale_grid())}])::DOUBLE AS s) "
-    f"SELECT s, {sq('avg((y BETWEEN yhat - s * 30000 AND yhat + s * 30000)::INT)')} AS coverage FROM cal, g WHERE model = 'rolling' GROUP BY 1",
+    f"SELECT s, {sq('avg((y BETWEEN yhat - s * 30000 AND yhat + s * 30000)::INT)')} AS coverage FROM cal, g GROUP BY 1",
 )
 def _(spark, sf):
     cal, _test = calibrated(spark, sf)
-    s = intervals.scale_search(cal.where("model = 'rolling'"), 30000.0)
+    s = intervals.scale_search(cal, 30000.0)
     return s.select("s", q("coverage").alias("coverage"))
 
 
@@ -135,13 +135,13 @@ def _(spark, sf):
     return sm.interval_summary(out.withColumns({"lo": F.col("yhat") - F.col("q") * F.col("sigma"), "hi": F.col("yhat") + F.col("q") * F.col("sigma")}), [])
 
 
-Z_SQL = f"{CAL_SQL}, st AS (SELECT series_id, stddev_pop(y) AS sd FROM cal GROUP BY 1), z AS (SELECT cal.*, abs(y - yhat) / (sd + 1e-9) AS z FROM cal JOIN st USING (series_id) WHERE sd > 0 AND model = 'rolling')"
+Z_SQL = f"{CAL_SQL}, st AS (SELECT series_id, stddev_pop(y) AS sd FROM cal GROUP BY 1), z AS (SELECT cal.*, abs(y - yhat) / (sd + 1e-9) AS z FROM cal JOIN st USING (series_id))"
 
 
 def standard_scores(spark, sf):
     cal, _test = calibrated(spark, sf)
     sd = F.stddev_pop("y").over(Window.partitionBy("series_id"))
-    return cal.withColumn("sd", sd).where("sd > 0 AND model = 'rolling'").withColumn("z", F.abs(F.col("y") - F.col("yhat")) / (F.col("sd") + 1e-9))
+    return cal.withColumn("sd", sd).withColumn("z", F.abs(F.col("y") - F.col("yhat")) / (F.col("sd") + 1e-9))
 
 
 @query(
@@ -175,7 +175,7 @@ def _(spark, sf):
     return ensemble_mean(members, ["series_id", "ts"]).select("series_id", day("ts").alias("d"), F.greatest("ensemble", F.lit(1e-6)).alias("sigma"), "members")
 
 
-def boot_frame(spark, sf, n=40):
+def boot_frame(spark, sf, n=100):
     df = P.monthly(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL")
     fitted = intervals.bootstrap_models(df, ["lag_1"], n, draw=portable_uniform)
     return intervals.draw_summary(intervals.bootstrap_draws(fitted, df, ["lag_1"], ["series_id", "ts"]), ["series_id", "ts"])
@@ -183,7 +183,7 @@ def boot_frame(spark, sf, n=40):
 
 BOOT_SQL = (
     f"{P.ctes('monthly')}, f AS (SELECT series_id, ts, y, lag(y) OVER w AS x FROM monthly {WSQL}), k AS (SELECT * FROM f WHERE x IS NOT NULL), "
-    f"u AS (SELECT k.*, b, {uniform_sql(42, 'series_id', 'ts', 'b')} AS u FROM k, range(1, 41) r(b)), w AS (SELECT *, {poisson_sql('u')}::DOUBLE AS w FROM u), "
+    f"u AS (SELECT k.*, b, {uniform_sql(42, 'series_id', 'ts', 'b')} AS u FROM k, range(1, 101) r(b)), w AS (SELECT *, {poisson_sql('u')}::DOUBLE AS w FROM u), "
     "m AS (SELECT b, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM w GROUP BY 1), "
     "s AS (SELECT w.b, any_value(mx) AS mx, any_value(my) AS my, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS slope FROM w JOIN m ON w.b = m.b GROUP BY 1), "
     "p AS (SELECT series_id, ts, my + slope * (x - mx) AS yhat FROM k, s), "
@@ -252,13 +252,13 @@ def _(spark, sf):
 @query(
     "unc15_gaussian_scores",
     f"{P.ctes('wide')}, g AS (SELECT y, avg(y) OVER w AS mu, var_samp(y) OVER w AS var FROM wide WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)), "
-    "k AS (SELECT * FROM g WHERE mu IS NOT NULL AND var > 0 AND var > 1e6) "
+    "k AS (SELECT * FROM g WHERE mu IS NOT NULL AND var > 0) "
     f"SELECT {sq('avg(sqrt(var))', 3)} AS sharpness, {sq('avg((abs(y - mu) <= 1.645 * sqrt(var))::INT)')} AS coverage_90, "
     f"{sq('avg(0.5 * (ln(2 * pi() * (var + 1e-9)) + (y - mu) * (y - mu) / (var + 1e-9)))', 4)} AS nll FROM k",
 )
 def _(spark, sf):
     w = Window.partitionBy("series_id").orderBy("ts").rowsBetween(-12, -1)
-    df = P.wide(spark, sf).withColumns({"mu": F.avg("y").over(w), "var": F.var_samp("y").over(w)}).where("var > 1e6")
+    df = P.wide(spark, sf).withColumns({"mu": F.avg("y").over(w), "var": F.var_samp("y").over(w)})
     s = intervals.gaussian_scores(df)
     return s.select(q("sharpness", 3).alias("sharpness"), q("coverage_90").alias("coverage_90"), q("nll", 4).alias("nll"))
 
@@ -266,12 +266,12 @@ def _(spark, sf):
 @query(
     "unc15_gaussian_crps",
     f"{P.ctes('wide')}, g AS (SELECT ts, y, avg(y) OVER w AS mu, var_samp(y) OVER w AS var FROM wide WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)), "
-    "z AS (SELECT year(ts) AS yr, sqrt(var) AS sd, (y - mu) / sqrt(var) AS z FROM g WHERE mu IS NOT NULL AND var > 1e6) "
+    "z AS (SELECT year(ts) AS yr, sqrt(var) AS sd, (y - mu) / sqrt(var) AS z FROM g WHERE mu IS NOT NULL AND var > 0) "
     f"SELECT yr, {sq('avg(sd * (z * (2 * ' + normal_cdf_sql('z') + ' - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi())))', 2)} AS crps FROM z GROUP BY 1",
 )
 def _(spark, sf):
     w = Window.partitionBy("series_id").orderBy("ts").rowsBetween(-12, -1)
-    df = P.wide(spark, sf).withColumns({"mu": F.avg("y").over(w), "var": F.var_samp("y").over(w)}).where("var > 1e6")
+    df = P.wide(spark, sf).withColumns({"mu": F.avg("y").over(w), "var": F.var_samp("y").over(w)})
     s = intervals.gaussian_scores(df.withColumn("yr", F.year("ts").cast("bigint")), ["yr"])
     return s.select("yr", q("crps", 2).alias("crps"))
 
@@ -348,13 +348,13 @@ def _(spark, sf):
 @query("drf4_isolation_drift")
 def _(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", "value", F.hour("ts").cast("double").alias("hour"))
-    return drift.isolation_drift(e, ["value", "hour"], is_ref(), ["event_id"], trees=25)
+    return drift.isolation_drift(e, ["value", "hour"], is_ref(), ["event_id"])
 
 
 @query("drf4_hybrid_drift")
 def _(spark, sf):
     raw = P.raw(spark, sf)
-    h = drift.hybrid_score(drift.drift_score(raw, "y", is_ref(), ["series_id"]), drift.isolation_drift(raw, ["y"], is_ref(), ["event_id"], trees=15))
+    h = drift.hybrid_score(drift.drift_score(raw, "y", is_ref(), ["series_id"]), drift.isolation_drift(raw, ["y"], is_ref(), ["event_id"]))
     return h.select("series_id", "statistical_score", "isolation_score", "hybrid_score", "hybrid_flag")
 
 

@@ -27,8 +27,8 @@ def append_json(df: DataFrame, path: str) -> str:
 
 
 def save_summary(df: DataFrame, path: str) -> str:
-    """One-row summary as a JSON document."""
-    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """Summary rows as JSON, one document a row."""
+    df.coalesce(1).write.mode("overwrite").json(path)
     return path
 
 
@@ -48,7 +48,7 @@ def load_model(kind: type[MLReadable], path: str):
 
 def save_predictions(model, df: DataFrame, path: str, name: str = "pred") -> str:
     """Input columns plus the model's prediction."""
-    drop = [c for c in ("features",) if c not in df.columns]
+    drop = [c for c in ("features", "_predicted") if c not in df.columns]
     scored = model.transform(df).withColumnRenamed("prediction", name).drop(*drop)
     scored.write.mode("overwrite").parquet(path)
     return path
