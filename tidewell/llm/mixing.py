@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.functions.draws import portable_uniform
 from tidewell.llm.ranks import running, slots_for
 from tidewell.llm.text import whole, word_count
 from tidewell.session import scratch_path
 
+#: Seed of the shuffle.
+SEED = 17
+
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
     """(source_key, source_size, target, rank): one row per source.
@@ -49,7 +53,7 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 17,
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = SEED,
                   doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies.
 
@@ -64,7 +68,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     sized = spark.read.parquet(path)
     goal = targets(sized, weights, share, epochs)
     n, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(1 << 40)) / float(1 << 40)
+    draw = portable_uniform(seed, ["doc_id", "size"])
     queue = running(sized, ["source_key"], draw, [F.col("doc_id").asc_nulls_last(), F.col("size")], F.col("size"), slots_for(n), "_sent")
     queue = queue.join(goal.drop("_budget"), "source_key")
     timed = scratch_path(spark, "mix")

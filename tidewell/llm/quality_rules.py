@@ -115,6 +115,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, alpha:
     limits = certified.groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_limits"))
     judged = measured.join(limits, "_stratum", "left")
     broken = F.array_compact(F.array(*[F.when(v > F.element_at("_limits", r), F.lit(r)) for r, v in rule_values().items()]))
-    judged = judged.withColumn("rejected_by", F.coalesce(broken, F.array().cast("array<string>")))
+    judged = judged.withColumn("rejected_by", F.coalesce(F.array_sort(broken), F.array().cast("array<string>")))
     kept = ~F.col("base_failed") & (F.size("rejected_by") == 0)
     return judged.select(F.col("_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "rejected_by")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from tidewell.llm import bpe, classifier, exact_dedup, language_model, mixing, near_dedup, quality_rules, sharding, substrings, suffixes
-from tidewell.plans.registry import table
+from tidewell.plans.registry import table, uniform_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,17 +32,75 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-@query("op1_quality_rules")
-def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-
 
-@query("op2_source_mix")
+WORD = r"[^\x20\x09-\x0D]+"
+RISK, ALPHA = 0.02, 0.05
+
+
+def _rules_sql() -> str:
+    """Base measures, exact binomial tests of every cutoff, and the strictest certified ones."""
+    rules = {
+        "symbol_share": "n_symbols / nullif(word_chars, 0)", "dup_line_share": "n_dup_lines / nullif(n_lines, 0)",
+        "repeat_share": "n_repeat_words / nullif(n_words, 0)", "mean_word": "word_chars / nullif(n_words, 0)",
+    }
+    p = RISK / len(rules)
+    grid = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, cuts in quality_rules.CUTOFFS.items() for i, c in enumerate(cuts))
+    tail = f"(SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))) FROM range(0, k + 1) x(j))"
+    return (
+        f"WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws, "
+        f"list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS ls FROM documents), "
+        "t AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: {'i': i, 'k': ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]})) AS s FROM w), "
+        "r AS (SELECT doc_id, s.i AS i, count(*) OVER (PARTITION BY doc_id, s.k) > 1 AS again FROM t), "
+        "c AS (SELECT doc_id, sum(least(3, i - before))::BIGINT AS n_repeat_words FROM (SELECT doc_id, i, lag(i, 1, -9) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r WHERE again) GROUP BY 1), "
+        "m AS (SELECT w.doc_id, coalesce('=' || lang, '-') AS g, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, "
+        f"(length(x) - length(regexp_replace(x, '[{quality_rules.SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, "
+        "coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)), "
+        "b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m), "
+        "v AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, g, base_failed, '{r}' AS rule, {e} AS v FROM b" for r, e in rules.items()) + ")), "
+        f"cuts(rule, nth, cutoff) AS (VALUES {grid}), "
+        "h AS (SELECT v.* FROM v WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)), "
+        "q AS (SELECT g, rule, nth, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM h JOIN cuts USING (rule) GROUP BY ALL), "
+        f"ok AS (SELECT *, (CASE WHEN k >= n THEN 1 ELSE {tail} END) <= {ALPHA} / ((SELECT count(DISTINCT g) FROM q) * {len(rules)}) AS ok FROM q), "
+        "held AS (SELECT *, bool_and(ok) OVER (PARTITION BY g, rule ORDER BY nth) AS so_far FROM ok), "
+        "lim AS (SELECT g, rule, min(cutoff) AS cutoff FROM held WHERE so_far GROUP BY 1, 2), "
+        "bad AS (SELECT doc_id, list(rule ORDER BY rule) AS rules FROM v JOIN lim USING (g, rule) WHERE v > cutoff GROUP BY 1) "
+        "SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rules IS NULL AS kept, coalesce(rules, []) AS rejected_by FROM b LEFT JOIN bad USING (doc_id)"
+    )
+
+
+@query("op1_quality_rules", _rules_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), RISK, ALPHA)
+
+
+MIX_SQL = (
+    f"WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents), "
+    "s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY 1), "
+    "w AS (SELECT *, [5.0, 2.0, 1.0][rank % 3 + 1]::DOUBLE AS wt, 2 * source_size::DOUBLE AS cap FROM s), "
+    "f AS (SELECT *, sum(cap) OVER o AS filled, sum(wt) OVER () - sum(wt) OVER o AS rest, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM w WINDOW o AS (ORDER BY cap / wt, rank ROWS UNBOUNDED PRECEDING)), "
+    "c AS (SELECT *, filled + cap / wt * rest <= budget AS capped FROM f), "
+    "t AS (SELECT source, source_size, rank, budget, CASE WHEN capped THEN cap ELSE (budget - (SELECT coalesce(sum(cap), 0) FROM c WHERE capped)) / (SELECT sum(wt) FROM c WHERE NOT capped) * wt END AS target FROM c), "
+    f"q AS (SELECT doc_id, size, source_size, target, rank, budget, sum(size) OVER (PARTITION BY d.source ORDER BY {uniform_sql(mixing.SEED, 'doc_id', 'size')}, doc_id, size ROWS UNBOUNDED PRECEDING) AS sent "
+    "FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source), "
+    "e AS (SELECT *, (sent + source_size * epoch)::DOUBLE / target AS finish FROM q, range(0, 2) r(epoch) WHERE size > 0), "
+    "z AS (SELECT doc_id, budget, sum(size) OVER (ORDER BY finish, rank, doc_id, epoch ROWS UNBOUNDED PRECEDING) AS total FROM e), "
+    "n AS (SELECT doc_id, (count(*) FILTER (total <= budget))::INT AS copies FROM z GROUP BY 1) "
+    "SELECT doc_id, size, source_size, target, coalesce(copies, 1) * size AS taken, coalesce(copies, 1) AS copies FROM q LEFT JOIN n USING (doc_id)"
+)
+
+
+@query("op2_source_mix", MIX_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-@query("op3_exact_dedup")
+COPIES_SQL = (
+    r"WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) "
+    "SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256 FROM n WINDOW g AS (PARTITION BY t)"
+)
+
+
+@query("op3_exact_dedup", COPIES_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,17 +110,37 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_context_tree_score")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), corpus_pipeline.vocabulary(), digests=True)
 
 
-@query("pipeline")
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+WINDOW_SQL = (
+    f"WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents), "
+    "p AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) + 1), lambda i: {'i': i, 'word': ws[i], 'key': CASE WHEN i + 19 <= len(ws) THEN array_to_string(ws[i:i + 19], ' ') END})) AS s FROM w), "
+    "f AS (SELECT doc_id, s.i AS i, s.word AS word, (s.key IS NOT NULL AND row_number() OVER (PARTITION BY s.key ORDER BY doc_id, s.i) > 1)::INT AS later FROM p), "
+    "c AS (SELECT *, max(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f), "
+    "g AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY 1) "
+    "SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id)"
+)
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", WINDOW_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
 
@@ -72,16 +150,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_suffixes(table(spark, sf_dir, "documents"))
 
 
-@query("op6_context_tree_score")
-def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.score_documents(table(spark, sf_dir, "documents"))
-
-
-@query("op5_near_dedup")
-def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
-
-
-@query("op7_quality_classifier")
-def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
