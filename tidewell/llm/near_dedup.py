@@ -186,13 +186,15 @@ def similar_pairs(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, idf
     def compare(batches):
         table = idf.value
         for batch in batches:
-            sides, ok = [], []
-            for i in (2, 3):
-                data, offsets = arrow_bytes(batch.column(i))
-                h, row, weight = weighted(*shingles(data, offsets), table)
-                cuts = np.searchsorted(row, np.arange(len(offsets)))
-                sides.append([(h[s:e], weight[s:e]) for s, e in zip(cuts[:-1], cuts[1:])])
-            ok = [weighted_jaccard(x, y) >= SIMILARITY for x, y in zip(*sides)]
+            ok = []
+            for at in range(0, batch.num_rows, 32):
+                sides = []
+                for i in (2, 3):
+                    data, offsets = arrow_bytes(batch.column(i).slice(at, 32))
+                    h, row, weight = weighted(*shingles(data, offsets), table)
+                    cuts = np.searchsorted(row, np.arange(len(offsets)))
+                    sides.append([(h[s:e], weight[s:e]) for s, e in zip(cuts[:-1], cuts[1:])])
+                ok += [weighted_jaccard(x, y) >= SIMILARITY for x, y in zip(*sides)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def beside(df: DataFrame, rows: DataFrame, value: str) -> DataFrame:
