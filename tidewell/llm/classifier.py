@@ -85,25 +85,34 @@ def fit(texts: pa.ChunkedArray, bad: np.ndarray) -> dict:
     A word tells if its share differs between the kinds by five standard errors.
     """
     data, offsets = arrow_bytes(texts)
-    f = Features(data, offsets)
     n1, n0 = int(bad.sum()), int((~bad).sum())
     if not n1 or not n0:
         return {"constant": KEEP}
-    order = np.lexsort((f.rows, f.words))
-    w, r = f.words[order], f.rows[order]
-    new = np.ones(len(w), bool)
-    new[1:] = (w[1:] != w[:-1]) | (r[1:] != r[:-1])
-    w, r = w[new], r[new]
+    measures, words, rows = [], [], []
+    for lo, hi in pieces(offsets):
+        f = Features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        order = np.lexsort((f.rows, f.words))
+        w, r = f.words[order], f.rows[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (r[1:] != r[:-1])
+        measures.append(f.measures)
+        words.append(w[new])
+        rows.append(r[new] + lo)
+    measures, w, r = np.concatenate(measures), np.concatenate(words), np.concatenate(rows)
     names, place = np.unique(w, return_inverse=True)
     in_bad = np.bincount(place, bad[r], len(names))
     in_good = np.bincount(place, ~bad[r], len(names))
     share = (in_bad + in_good) / (n0 + n1)
     z = (in_bad / n1 - in_good / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     telling = np.flatnonzero(np.abs(z) >= 5)
-    telling = telling[np.argsort(-np.abs(z[telling]), kind="stable")[:MOST_WORDS]]
-    words = np.sort(names[telling])
-    mean, scale = f.measures.mean(0), f.measures.std(0) + 1e-6
-    x = np.column_stack([(f.measures - mean) / scale, f.present(words), np.ones(f.n)])
+    telling = np.sort(telling[np.argsort(-np.abs(z[telling]), kind="stable")[:MOST_WORDS]])
+    column = np.full(len(names), -1)
+    column[telling] = np.arange(len(telling))
+    present = np.zeros((len(bad), len(telling)))
+    has = column[place] >= 0
+    present[r[has], column[place[has]]] = 1
+    mean, scale = measures.mean(0), measures.std(0) + 1e-6
+    x = np.column_stack([(measures - mean) / scale, present, np.ones(len(bad))])
     weights, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1.0)
     ridge[-1] = 1e-6
     for _ in range(25):
@@ -112,7 +121,7 @@ def fit(texts: pa.ChunkedArray, bad: np.ndarray) -> dict:
         weights += step
         if np.abs(step).max() < 1e-6:
             break
-    return {"words": words.view(np.int64).tolist(), "mean": mean.tolist(), "scale": scale.tolist(), "weights": weights[:-1].tolist(), "bias": float(weights[-1])}
+    return {"words": names[telling].view(np.int64).tolist(), "mean": mean.tolist(), "scale": scale.tolist(), "weights": weights[:-1].tolist(), "bias": float(weights[-1])}
 
 
 def evidence(texts, model: dict) -> np.ndarray:
