@@ -302,3 +302,53 @@ def test_sample_statistics(spark):
         lo, hi = np.percentile(d, [50 * (1 - r.level), 50 * (1 + r.level)], axis=0)
         assert r.coverage == pytest.approx(np.mean((lo <= 0.2) & (0.2 <= hi)))
     assert isinstance(curve, pd.DataFrame)
+
+
+def test_full_stack_scores_new_rows(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [("a", (pd.Timestamp("2000-01-01") + pd.Timedelta(days=i)).to_pydatetime(), float(x), float(z), float(3.0 * x - 2.0 * z + rng.normal(0, 0.01))) for i, (x, z) in enumerate(rng.normal(size=(120, 2)))]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp, x double, z double, y double")
+    full = models.fit_full_stack(df, {"one": (models.linear(), ["x"]), "two": (models.linear(), ["z"])}, k=4, alpha=0.01)
+    models.save_full_stack(full, str(tmp_path / "stack"), spark)
+    back = models.load_full_stack(str(tmp_path / "stack"), spark)
+    new = spark.createDataFrame([(1.0, 0.5), (-2.0, None)], "x double, z double")
+    got = models.predict_full_stack(new, back).toPandas()
+    assert got.stacked[0] == pytest.approx(2.0, abs=0.5)
+    assert got.stacked.tolist() == models.predict_full_stack(new, full).toPandas().stacked.tolist()
+    assert np.isfinite(got.stacked[1])
+
+
+def test_missing_features_keep_their_rows(spark, tmp_path):
+    from tidewell.sources import writers
+
+    df = spark.createDataFrame([(float(i), 2.0 * i) for i in range(20)] + [(None, 1.0), (float("nan"), 1.0)], "x double, y double")
+    for est in (models.linear(), models.forest(3, 2), models.boosted(2, 2)):
+        model = models.on_features(est, ["x"]).fit(df)
+        path = writers.save_predictions(model, df, str(tmp_path / type(est).__name__))
+        got = spark.read.parquet(path).toPandas()
+        assert len(got) == 22 and got.pred.isna().sum() == 2
+
+
+def test_summary_keeps_all_rows(spark, tmp_path):
+    from tidewell.sources import writers
+
+    path = writers.save_summary(spark.createDataFrame([(1,), (2,)], "a int"), str(tmp_path / "s"))
+    assert spark.read.json(path).count() == 2
+
+
+def test_panel_keeps_small_values(spark):
+    from pyspark.sql import functions as F
+
+    from tidewell.panel import to_panel
+
+    df = spark.createDataFrame([("a", pd.Timestamp("2000-01-01").to_pydatetime(), 0.004), ("a", pd.Timestamp("2000-01-02").to_pydatetime(), 0.012345)], "k string, ts timestamp, v double")
+    got = to_panel(df, F.col("k"), F.col("ts"), F.col("v"), "month").first()["y"]
+    assert got == pytest.approx(0.0081725, rel=1e-12)
+
+
+def test_short_series_are_forecast_too(spark, make_panel):
+    panel = make_panel({"long": range(40), "short": [5.0, 7.0]})
+    got = forecast.linear_recursive_forecast(panel, 3, (1, 24)).toPandas()
+    assert sorted(got.series_id.unique()) == ["long", "short"] and got.yhat.notna().all()
+    model = models.inner(models.on_features(models.linear(), ["lag_1", "lag_3"]).fit(panel.withColumns(win.lags(ks=(1, 3)))))
+    assert forecast.recursive_forecast(panel, model, 2, (1, 3)).count() == 4

@@ -104,3 +104,14 @@ def test_leaky_columns_are_named(panel):
 def test_one_sort_for_many_features(panel, spark):
     plan = feat.lag_matrix(panel)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_exponential_mean_over_gaps(make_panel):
+    import pandas as pd
+
+    values = [1.0, None, 3.0, 4.0, None, None, 2.0, 5.0]
+    got = make_panel({"a": values, "b": [None, 2.0, None, 1.0, 1.0, 7.0, None, 3.0]}).withColumns(win.ewm()).orderBy("series_id", "ts").toPandas()
+    for name in ("a", "b"):
+        part = got[got.series_id == name]
+        want = part.y.ewm(span=12, adjust=False).mean().shift(1)
+        pd.testing.assert_series_equal(part.ewm_12, want, check_names=False)

@@ -26,18 +26,21 @@ from tidewell.panel import BY, with_position
 def preprocessing(numeric: Sequence[str], categorical: Sequence[str], out: str = "features") -> Pipeline:
     """Impute and standardise numbers, index and one-hot categories, assemble.
 
-    Imputer medians are approximate; ``clean.fit_imputer`` gives exact ones.
+    Numbers take their median, categories the most frequent value (of equally frequent ones
+    the first), both from the rows that the pipeline is fitted on.
     """
     filled = [f"{c}_filled" for c in numeric]
     stages = [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=filled, relativeError=0.0001),
+        Imputer(strategy="median", inputCols=list(numeric), outputCols=filled, relativeError=0.0),
         VectorAssembler(inputCols=filled, outputCol="_num", handleInvalid="keep"),
         StandardScaler(withMean=True, withStd=True, inputCol="_num", outputCol="_num_scaled"),
     ]
     parts = ["_num_scaled"]
     for c in categorical:
         stages += [
-            StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep"),
+            # the most frequent value has index 0; a missing one takes it, an unseen one gets no slot
+            StringIndexer(inputCol=c, outputCol=f"{c}_known", handleInvalid="keep", stringOrderType="frequencyDesc"),
+            SQLTransformer(statement=f"SELECT *, CASE WHEN `{c}` IS NULL THEN 0D ELSE `{c}_known` END AS `{c}_index` FROM __THIS__"),
             OneHotEncoder(inputCol=f"{c}_index", outputCol=f"{c}_hot", dropLast=False),
         ]
         parts.append(f"{c}_hot")

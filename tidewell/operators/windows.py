@@ -154,13 +154,19 @@ def ewm_depth(span: float) -> int:
 def ewm(y="y", span: int = 12, by=BY, order=("ts",)) -> dict[str, Column]:
     """Recursive exponential mean of the past rows (``adjust=False``).
 
-    The frame stops where older weights no longer change a double, so the cost
+    Over missing values the weight of what came before goes on falling, row by row.  The frame stops where older weights no longer change a double, so the cost
     per row is constant however long the series is.
     """
     a = 2.0 / (span + 1)
-    past = F.collect_list(y).over(over(by, order).rowsBetween(-ewm_depth(span), -1))
-    value = F.aggregate(past, F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(s + (x - s) * a))
-    return {f"ewm_{span}": value}
+    past = F.collect_list(F.struct(F.col(y).cast("double").alias("x"))).over(over(by, order).rowsBetween(-ewm_depth(span), -1))
+    start = F.struct(F.lit(None).cast("double").alias("v"), F.lit(1.0).alias("w"))
+
+    def step(s: Column, r: Column) -> Column:
+        x, w = r["x"], s["w"] * (1 - a)
+        mean = F.when(s["v"].isNull(), x).otherwise((w * s["v"] + a * x) / (w + a))
+        return F.when(x.isNull(), F.struct(s["v"].alias("v"), F.when(s["v"].isNull(), F.lit(1.0)).otherwise(w).alias("w"))).otherwise(F.struct(mean.alias("v"), F.lit(1.0).alias("w")))
+
+    return {f"ewm_{span}": F.aggregate(past, start, step, lambda s: s["v"])}
 
 
 def residual_window(n: int) -> int:

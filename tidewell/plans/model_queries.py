@@ -25,18 +25,24 @@ def parts(spark, sf, panel=P.monthly):
     return df.where(F.col("ts") < TRAIN_END), df.where(F.col("ts") >= TRAIN_END)
 
 
+#: Every seventh quantity and every fifth flag is taken away, to be filled again.
+GAPS_SQL = "WITH g AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 > 0 THEN l_quantity END AS q0, l_extendedprice, CASE WHEN l_orderkey % 5 > 0 THEN l_returnflag END AS f0 FROM lineitem)"
 PREP_SQL = (
-    "WITH st AS (SELECT avg(l_quantity) qa, stddev_samp(l_quantity) qs, avg(l_extendedprice) pa, stddev_samp(l_extendedprice) ps FROM lineitem), "
-    "rk AS (SELECT l_returnflag AS f, row_number() OVER (ORDER BY count(*) DESC, l_returnflag) - 1 AS i FROM lineitem GROUP BY 1) "
+    f"{GAPS_SQL}, rk AS (SELECT f0 AS f, row_number() OVER (ORDER BY count(*) DESC, f0) - 1 AS i FROM g WHERE f0 IS NOT NULL GROUP BY 1), "
+    "li AS (SELECT l_orderkey, l_linenumber, coalesce(q0, (SELECT quantile_disc(q0, 0.5) FROM g)) AS l_quantity, l_extendedprice, coalesce(f0, (SELECT f FROM rk WHERE i = 0)) AS l_returnflag FROM g), "
+    "st AS (SELECT avg(l_quantity) qa, stddev_samp(l_quantity) qs, avg(l_extendedprice) pa, stddev_samp(l_extendedprice) ps FROM li) "
     f"SELECT l_orderkey, l_linenumber, {sq('(l_quantity - qa) / qs')} AS quantity, {sq('(l_extendedprice - pa) / ps')} AS price, "
     + ", ".join(f"(i = {k})::INT::DOUBLE AS flag_{k}" for k in range(3))
-    + " FROM lineitem JOIN rk ON l_returnflag = f, st"
+    + " FROM li JOIN rk ON l_returnflag = f, st"
 )
 
 
 @query("mlp1_preprocessing", PREP_SQL)
 def _(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 7 > 0, F.col("l_quantity")).alias("l_quantity"),
+        "l_extendedprice", F.when(F.col("l_orderkey") % 5 > 0, F.col("l_returnflag")).alias("l_returnflag"),
+    )
     out = models.preprocessing(["l_quantity", "l_extendedprice"], ["l_returnflag"]).fit(li).transform(li)
     names = ["quantity", "price", "flag_0", "flag_1", "flag_2"]
     named = models.vector_column(out, "features", names)
