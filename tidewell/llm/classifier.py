@@ -113,7 +113,7 @@ def fit(texts: pa.ChunkedArray, bad: np.ndarray) -> dict:
     present[r[has], column[place[has]]] = 1
     mean, scale = measures.mean(0), measures.std(0) + 1e-6
     x = np.column_stack([(measures - mean) / scale, present, np.ones(len(bad))])
-    weights, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 1.0)
+    weights, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.05)
     ridge[-1] = 1e-6
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
