@@ -400,6 +400,13 @@ def test_tree_concatenation_equals_direct_encoding():
         assert codec.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_engines_agree_on_every_kind_of_character():
+    codec, library = bpe.Codec(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    points = [*range(0x3100), *range(0xA600, 0xAC10), *range(0xF900, 0x10000), *range(0x1F300, 0x1F700)]
+    texts = [f"a{chr(x)}b {chr(x)}1{chr(x)} {chr(x)}{chr(x)} !{chr(x)}" for x in points]
+    assert [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)] == [codec.encode_piece(t) for t in texts]
+
+
 # --- substrings ------------------------------------------------------------------------
 
 
@@ -478,6 +485,8 @@ def test_suffixes_with_many_partial_matches(spark):
 def test_messages_survive_packing():
     keys = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 1000).astype(np.uint64) * np.uint64(2))
     assert (rounds.unpack_sorted(rounds.pack_sorted(keys)) == keys).all()
+    for values in (np.array([5, -3, 1 << 40, 0]), np.zeros(3, np.uint16), np.zeros(0, np.uint32), np.arange(300, dtype=np.uint32)):
+        assert (rounds.unplanes(rounds.planes(values), values.dtype) == values).all()
     edges = rounds.shard_edges(keys, 7)
     for s in range(7):
         part = keys[edges[s] : edges[s + 1]]

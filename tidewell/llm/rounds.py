@@ -57,15 +57,22 @@ def narrowed(h1: np.ndarray, h2: np.ndarray, widths: tuple[int, type]) -> tuple[
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Bytes of an array, all first bytes before all second ones, so that zeros pack well."""
+    """An array of whole numbers bit by bit: all lowest bits, then all second ones, up to the
+    highest in use, so that a number costs no more bits than the largest has."""
     values = np.ascontiguousarray(values)
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    n, size = len(values), values.itemsize
+    used = int(values.view(f"u{size}").max()).bit_length() if n else 0
+    bits = np.unpackbits(values.view(np.uint8).reshape(n, size), axis=1, bitorder="little")[:, :used]
+    return n.to_bytes(4, "little") + used.to_bytes(1, "little") + np.packbits(np.ascontiguousarray(bits.T), axis=1).tobytes()
 
 
 def unplanes(data: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    raw = np.frombuffer(data, np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(dtype).reshape(-1)
+    n, used = int.from_bytes(data[:4], "little"), data[4]
+    whole = np.zeros((8 * size, n), np.uint8)
+    if n and used:
+        whole[:used] = np.unpackbits(np.frombuffer(data, np.uint8, offset=5).reshape(used, -1), axis=1, count=n)
+    return np.packbits(whole.T, axis=1, bitorder="little").reshape(-1).view(dtype)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
