@@ -251,6 +251,78 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in links)}
 
 
+def stars_and_decoys(decoys, stars=12, variants=12):
+    """Sources with variants near them and not near each other, no source first, and pairs that only share bands."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+
+    def changed(words, runs, at):
+        # every run of five changed words spoils nine shingles
+        words = list(words)
+        for r in range(runs):
+            words[(at + 37 * r) % 290 : (at + 37 * r) % 290 + 5] = [word() for _ in range(5)]
+        return words
+
+    rows = []
+    for s in range(stars):
+        source = [word() for _ in range(300)]
+        texts = [changed(source, 2, 25 * v) for v in range(variants)]
+        rows += [(1000 * s + i, " ".join(t)) for i, t in enumerate(texts + [source])]
+    for d in range(decoys):
+        source = [word() for _ in range(60)]
+        rows += [(10**6 + 2 * d, " ".join(source)), (10**6 + 2 * d + 1, " ".join(source[:50] + [word() for _ in range(10)]))]
+    return rows
+
+
+def classes_by_all_pairs(spark, docs, rows):
+    """Smallest id of each component over all pairs that share a band."""
+    idf = near_dedup.inverse_frequencies(docs)
+    bands = {r["doc_id"]: r["bands"] for r in near_dedup.signed(docs, spark.sparkContext.broadcast(idf)).collect()}
+    sets = {}
+    for i, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        h, _, w = near_dedup.weighted(*near_dedup.shingles(data, np.array([0, len(data)])), idf)
+        sets[i] = (h, w)
+    buckets = collections.defaultdict(list)
+    for i, keys in bands.items():
+        for k in keys:
+            buckets[k].append(i)
+    pairs = {(a, b) for ids in buckets.values() for a in ids for b in ids if a < b}
+    parent = {i: i for i in bands}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if near_dedup.weighted_jaccard(sets[a], sets[b]) >= near_dedup.SIMILARITY:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    return {i: find(i) for i in bands}
+
+
+def test_near_duplicates_compare_all_that_share_a_band(spark):
+    rows = stars_and_decoys(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    want = classes_by_all_pairs(spark, docs, rows)
+    assert sum(n > 5 for n in collections.Counter(want.values()).values()) == 12
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == want
+
+
+def test_block_overlaps():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (300, 280, 5, 3, 0, 0)] + [" ".join(rng.choice("abcdefgh") for _ in range(4000)) for _ in range(2)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    idf = np.random.default_rng(3).uniform(1, 2, 1 << near_dedup.SLOT_BITS).astype(np.float32)
+    h, row, w = near_dedup.weighted(*near_dedup.shingles(data, offsets), idf)
+    sides = [(h[row == i], w[row == i]) for i in range(len(texts))]
+    left, right = np.array([0, 2, 4, 6]), np.array([1, 3, 5, 7])
+    want = [[near_dedup.weighted_jaccard(sides[i], sides[j]) for j in right] for i in left]
+    np.testing.assert_allclose(near_dedup.block_overlaps(data, offsets, idf, left, right), want, atol=1e-9)
+
+
 # --- language model --------------------------------------------------------------------
 
 

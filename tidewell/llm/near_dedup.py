@@ -8,9 +8,10 @@ weighted Jaccard similarity.  Signatures are banded; documents that share a band
 with the smallest document there, first by their signatures, then by the exact weighted
 Jaccard of their texts.  Classes are the connected components of what holds.  In a bucket that
 still has several classes, the members outside its largest are compared with another member
-of that one, drawn anew each turn, as long as a turn joins one in twenty of them.  What is
-left is compared pairwise where two documents share two bands, which a pair of similarity 0.8
-does with probability 0.997 and one of 0.85 with 0.9998.
+of that one, drawn anew each turn, as long as a turn joins one in twenty of them.  Then every
+pair that shares a bucket and is of two classes is compared by text, block of documents by
+block, so the classes are those of all pairs that share a band.  That work grows with the
+members outside the largest class times all members of the bucket.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ SLOT_BITS = 20
 #: Share of equal samples below which a pair is not compared by text; a pair of similarity
 #: 0.8 falls below with probability 1e-7.
 LEAST_AGREEMENT = 0.5
+#: Documents and bytes of text a block of a bucket holds on average; a task compares two blocks.
+BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 21
 
 _draw = np.random.Generator(np.random.PCG64(5))
 #: Quantised draws of the sampling scheme, picked by bits of a shingle's hash.
@@ -109,6 +112,36 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(common / (total - common)) if total > common else 1.0
 
 
+def block_overlaps(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard of every text in ``left`` with every one in ``right`` (row numbers)."""
+    h, row = shingles(data, offsets)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    starts = np.flatnonzero(new)
+    # the k-th occurrence of a shingle is a feature of its own, so the smaller count is a product
+    nth = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    weight = idf[h >> np.uint64(64 - SLOT_BITS)].astype(np.float64)
+    total = np.bincount(row, weight, len(offsets) - 1)
+    order = np.lexsort((nth, h))
+    h, nth, row, weight = h[order], nth[order], row[order], weight[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (nth[1:] != nth[:-1])
+    starts = np.flatnonzero(new)
+    count = np.diff(np.append(starts, len(h)))
+    several = np.repeat(count > 1, count)
+    row, weight, col = row[several], weight[starts[count > 1]], np.repeat(np.arange((count > 1).sum()), count[count > 1])
+    common, step = np.zeros((len(left), len(right))), 2048
+    for at in range(0, len(weight), step):
+        lo, hi = np.searchsorted(col, (at, at + step))
+        has = np.zeros((len(offsets) - 1, len(weight[at : at + step])))
+        has[row[lo:hi], col[lo:hi] - at] = 1
+        common += (has[left] * weight[at : at + step]) @ has[right].T
+    both = total[left][:, None] + total[right][None, :] - common
+    return np.divide(common, both, out=np.ones_like(common), where=both > 0)
+
+
 def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Weight of every slot: 2 for a shingle of one document, down to 1 for one of all.
 
@@ -208,6 +241,46 @@ def similar_pairs(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, idf
     return _kept(beside(close, texts, "text").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
+def bucket_pairs(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(a, b) of all similar pairs that share a bucket and have two labels.
+
+    ``members`` has band, doc_id, label and main, the largest label of the bucket.  A bucket's
+    members outside main and those of main are dealt into blocks by hash; every block of the
+    former meets every block, so a task holds two blocks whatever the bucket.
+    """
+    outside = F.col("label") != F.col("main")
+
+    def blocks(of):
+        docs, size = F.sum(F.when(of, 1)), F.sum(F.when(of, F.col("size")))
+        return F.ceil(F.greatest(docs / BLOCK_DOCS, size / BLOCK_BYTES)).cast("int")
+
+    def compare(key, table):
+        table = table.combine_chunks()
+        p, r = key[1].as_py(), key[2].as_py()
+        own, ids, label = (table.column(c).to_numpy() for c in ("own", "doc_id", "label"))
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == r)
+        differ = label[left][:, None] != label[right][None, :]
+        if p == r:
+            differ &= left[:, None] < right[None, :]
+        if differ.any():
+            data, offsets = arrow_bytes(table.column("text").chunk(0))
+            i, j = np.nonzero(differ & (block_overlaps(data, offsets, idf.value, left, right) >= SIMILARITY))
+        else:
+            i = j = np.zeros(0, np.int64)
+        a, b = ids[left[i]], ids[right[j]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    sized = members.join(texts.select("doc_id", F.octet_length("text").alias("size")), "doc_id")
+    dealt = members.join(sized.groupBy("band").agg(blocks(outside).alias("n_out"), blocks(~outside).alias("n_main")), "band")
+    place = F.xxhash64("doc_id")
+    own = F.when(outside, F.pmod(place, "n_out")).otherwise(F.col("n_out") + F.pmod(place, "n_main")).cast("int")
+    met = F.sequence(F.lit(0), F.when(outside, F.col("n_out") + F.col("n_main")).otherwise(F.col("n_out")) - 1)
+    rows = dealt.select("band", "doc_id", "label", own.alias("own"), met.alias("met")).join(texts, "doc_id")
+    rows = rows.select("band", "doc_id", "label", "own", "text", F.explode("met").alias("other"))
+    rows = rows.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("r"), "own", "doc_id", "label", "text")
+    return _kept(rows.groupBy("band", "p", "r").applyInArrow(compare, "a long, b long").distinct(), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): smallest node of each connected component, for nodes in links.
 
@@ -281,13 +354,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if won * 20 <= open_:
             break
         turn += 1
-    # at most BANDS * (BANDS - 1) / 2 keys a document, and few where only some of its buckets are mixed
-    listed = others.groupBy("doc_id", "label").agg(F.array_sort(F.collect_set("band")).alias("own"))
-    twos = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: F.xxhash64(x, y))))
-    paired = _kept(listed.select("doc_id", "label", F.explode(twos).alias("two")), "paired")
-    left, right = (paired.select("two", F.col("doc_id").alias(n), F.col("label").alias(f"label_{n}")) for n in ("a", "b"))
-    rest = left.join(right, "two").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).select("a", "b").distinct()
-    links = links.union(similar_pairs(rest, signatures, texts, idf)).distinct()
+    links = links.union(bucket_pairs(members, texts, idf)).distinct()
     label = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
