@@ -310,6 +310,14 @@ def test_near_duplicates_compare_all_that_share_a_band(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == want
 
 
+@pytest.mark.parametrize("decoys, block", [(0, 256), (300, 2)])
+def test_near_duplicates_do_not_depend_on_other_documents(spark, monkeypatch, decoys, block):
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", block, raising=False)
+    docs = spark.createDataFrame(stars_and_decoys(decoys, 3), "doc_id long, text string").repartition(4).cache()
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert {i: c for i, c in got.items() if i < 10**6} == {1000 * s + i: 1000 * s for s in range(3) for i in range(13)}
+
+
 def test_block_overlaps():
     rng = random.Random(4)
     texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (300, 280, 5, 3, 0, 0)] + [" ".join(rng.choice("abcdefgh") for _ in range(4000)) for _ in range(2)]

@@ -7,11 +7,11 @@ a signature picks one shingle such that two documents agree with the probability
 weighted Jaccard similarity.  Signatures are banded; documents that share a band are compared
 with the smallest document there, first by their signatures, then by the exact weighted
 Jaccard of their texts.  Classes are the connected components of what holds.  In a bucket that
-still has several classes, the members outside its largest are compared with another member
-of that one, drawn anew each turn, as long as a turn joins one in twenty of them.  Then every
-pair that shares a bucket and is of two classes is compared by text, block of documents by
-block, so the classes are those of all pairs that share a band.  That work grows with the
-members outside the largest class times all members of the bucket.
+still has several classes and more than a block of members outside its largest, these are
+compared with another member of that one, drawn anew each turn, as long as a turn joins one in
+twenty of that bucket's.  Then every pair that shares a bucket and is of two classes is compared
+by text, block of documents by block, so the classes are those of all pairs that share a band.
+That work grows with the members outside the largest class times all members of the bucket.
 """
 
 from __future__ import annotations
@@ -337,22 +337,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     to_leader = shared.filter(F.col("doc_id") != F.col("leader")).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = similar_pairs(to_leader, signatures, texts, idf)
-    turn = 0
+    active, turn = None, 0
     while True:
         label = components(links)
         placed = shared.join(label, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
         classes = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
         mixed = classes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
         members = _kept(placed.join(mixed.select("band", "main"), "band"), "mixed")
-        # another member of the main class leads, by a draw of its own each turn
-        lead = members.filter(F.col("label") == F.col("main")).groupBy("band").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("lead"))
         others = members.filter(F.col("label") != F.col("main"))
-        tries = others.join(lead, "band").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-        found = similar_pairs(tries, signatures, texts, idf)
-        won, open_ = found.select("b").distinct().count(), others.select("doc_id").distinct().count()
-        links = _kept(links.union(found).distinct(), "links")
-        if won * 20 <= open_:
+        large = others.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK_DOCS)
+        if active is not None:
+            large = large.join(active, "band", "left_semi")
+        # another member of the main class leads, by a draw of its own each turn
+        lead = members.filter(F.col("label") == F.col("main")).join(large, "band", "left_semi").groupBy("band").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("lead"))
+        tries = _kept(others.join(lead, "band").select("band", F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")), "tries")
+        if tries.isEmpty():
             break
+        found = similar_pairs(tries.select("a", "b").distinct(), signatures, texts, idf)
+        won = tries.join(found.withColumn("won", F.lit(1)), ["a", "b"], "left").groupBy("band").agg(F.count("won").alias("won"), F.count(F.lit(1)).alias("n"))
+        active = _kept(won.filter("won * 20 > n").select("band"), "active")
+        links = _kept(links.union(found).distinct(), "links")
         turn += 1
     links = links.union(bucket_pairs(members, texts, idf)).distinct()
     label = components(links)
