@@ -79,6 +79,24 @@ def test_silhouette_matches_definition(spark):
         assert got["silhouette"][i] == pytest.approx((other - own) / max(own, other))
 
 
+def test_choose_k_scores_all_rows(spark):
+    rng = np.random.default_rng(6)
+    # 300 rows in two large groups and a small one
+    x = np.vstack([rng.normal(0, 1, (150, 2)), rng.normal(6, 1, (147, 2)), rng.normal(30, 0.1, (3, 2))])
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(300)], "i long, a array<double>").withColumn("z", array_to_vector("a")).cache()
+    got = clustering.choose_k(df, (2, 3), restarts=2, keys=("i",))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    for k, score in zip(got["ks"], got["scores"]):
+        fit = clustering.fit_kmeans(df, k, 2).transform(df)
+        lab = np.array([r["label"] for r in fit.orderBy("i").select("label").collect()])
+        s = []
+        for i in range(300):
+            own = d[i][lab == lab[i]].sum() / max((lab == lab[i]).sum() - 1, 1)
+            other = min(d[i][lab == g].mean() for g in set(lab) - {lab[i]})
+            s.append((other - own) / max(own, other))
+        assert score == pytest.approx(np.mean(s), abs=1e-9)
+
+
 def test_reduction_inverts_centroids(make_panel):
     rng = np.random.default_rng(3)
     w = sequences.sliding_windows(make_panel({"a": rng.normal(size=60)}), 6)
