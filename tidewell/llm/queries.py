@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewell.llm import bpe, classifier, exact_dedup, language_model, mixing, near_dedup, quality_rules, sharding, substrings, suffixes
+from tidewell.llm import bpe, chat, classifier, exact_dedup, language_model, mixing, near_dedup, negatives, quality_rules, search, sharding, substrings, suffixes
 from tidewell.plans.registry import table, uniform_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +151,65 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_suffixes(table(spark, sf_dir, "documents"))
 
 
+SEARCH_SQL = (
+    r"WITH t AS (SELECT row_number() OVER () AS d, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), "
+    "lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ts FROM documents), "
+    "c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM t WHERE len(ts) > 0), "
+    "p AS (SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(ts) AS term FROM t) GROUP BY 1, 2), "
+    r"q AS (SELECT DISTINCT item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), "
+    "lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM benchmark), "
+    "f AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), c), "
+    "m AS (SELECT d, doc_id, 50 + (50 * len(ts)::BIGINT * n_docs) // n_terms AS m FROM t, c), "
+    "s AS (SELECT item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN m USING (d) GROUP BY 1, 2, 3), "
+    "r AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0) "
+    "SELECT * FROM r WHERE rank <= 50"
+)
+
+
+@query("op11_ranked_search", SEARCH_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+NEGATIVES_SQL = (
+    "WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings "
+    "WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
+    "s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i]))::BIGINT AS score "
+    "FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), "
+    "p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5), "
+    "n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score "
+    "FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score) "
+    "SELECT * FROM n WHERE rank <= 10"
+)
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.relabelled(table(spark, sf_dir, "embeddings"))
+    return negatives.hard_negatives(rows)
+
+
+#: Characters that a template adds to a turn, and what an escape would touch.
+_CHAT_MARKS = "CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 7 ELSE 19 + length(role) END"
+_CHAT_ESCAPE = r"[<\[]\\*(?:/?(?:s>|INST\]|SYS\]|ROLE\])|SAYS\])"
+CHAT_SQL = (
+    "WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))), "
+    f"e AS (SELECT *, len(regexp_extract_all(text, '{_CHAT_ESCAPE}')) AS n FROM t) "
+    "SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, "
+    "sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256, "
+    f"sum({_CHAT_MARKS} + length(text) + n)::BIGINT AS formatted_chars, count(*) FILTER (n > 0) AS n_escaped FROM e GROUP BY 1"
+)
+
+
+@query("op13_chat_format", CHAT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")
+    )
+    return chat.digests(chat.format_chats(chats.unionByName(said)))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
