@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.text import SPACES, whole
+from tidewell.session import scratch_path
 
 #: A chunk ends after one of these letters and a space, or after a full stop of East Asian
 #: scripts, not before 384 and not after 4096 characters.
 CHUNK = "(?s).{384,4094}?(?:[dlz]\\x20|\\u3002)|.{1,4096}"
 
+#: Rows from which a recipe may count as hot, and tasks that share the rows of a hot one.
+HOT_ROWS, PARTS = 1000, 64
+
 
 def normalised(text: str = "text") -> Column:
     return F.regexp_replace(whole(text), SPACES, " ")
@@ -28,24 +32,35 @@ def chunks(text: Column) -> Column:
     return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0)))
 
 
-def verified_chunks(parts: DataFrame) -> DataFrame:
-    """Identifiers of all chunks; the job fails if two texts share one."""
-    same = parts.groupBy("_key").agg(F.min("_chunk").alias("_low"), F.max("_chunk").alias("_high"))
-    bad = F.raise_error(F.lit("two chunks share an identifier")).cast("binary")
-    return same.select("_key", F.when(F.col("_low") == F.col("_high"), F.col("_key")).otherwise(bad).alias("_chunk_id"))
+def identifier(chunk: Column) -> Column:
+    """First half of the chunk's SHA-256; ``verify`` makes sure that no two chunks share one."""
+    return F.substring(F.unhex(F.sha2(chunk.cast("binary"), 256)), 1, 16)
+
+
+def verify(texts: DataFrame) -> None:
+    """Compares all chunks (column ``_text``) behind each identifier; a shared one ends the job.
+
+    Every distinct chunk of a task moves once, then only identifiers do.
+    """
+    each = texts.select(F.explode(chunks(F.col("_text"))).alias("_chunk"))
+    each = each.select(identifier(F.col("_chunk")).alias("_key"), "_chunk").distinct()
+    if not each.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
+        raise ValueError("two chunks share an identifier")
 
 
 def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_sha256, recipe, rows): one row per distinct id and text; ``rows`` counts repeats."""
-    clean = docs.select(F.col(doc_id).alias("_id"), normalised(text).alias("_text"))
-    parts = clean.select("_id", F.sha2(F.col("_text").cast("binary"), 256).alias("_sha"), F.posexplode(chunks(F.col("_text"))).alias("_pos", "_chunk"))
-    parts = parts.withColumn("_key", F.unhex(F.sha2(F.col("_chunk").cast("binary"), 256)))
-    known = parts.select("_id", "_sha", "_pos", "_key").join(verified_chunks(parts), "_key")
-    listed = known.groupBy("_id", "_sha").agg(
-        F.sort_array(F.collect_set(F.struct("_pos", "_chunk_id"))).alias("_list"),
-        F.sum(F.when(F.col("_pos") == 0, 1).otherwise(0)).alias("rows"),
-    )
-    return listed.select(F.col("_id").alias("doc_id"), F.col("_sha").alias("text_sha256"), F.transform("_list", lambda x: x["_chunk_id"]).alias("recipe"), "rows")
+    """(doc_id, sha, recipe, rows): one row per distinct id and text; ``rows`` counts repeats."""
+    clean = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("_text"))
+    verify(clean)
+    listed = clean.select("doc_id", F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("sha"), F.transform(chunks(F.col("_text")), identifier).alias("recipe"))
+    return listed.groupBy("doc_id", "sha", "recipe").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def hot_recipes(one: DataFrame) -> list[int]:
+    """Hashes of recipes that more than a thousandth of the rows have: a thousand at most."""
+    seen = one.groupBy(F.xxhash64("recipe").alias("hash")).agg(F.count(F.lit(1)).alias("n"))
+    least = max(HOT_ROWS, one.count() // 1000)
+    return [r["hash"] for r in seen.filter(F.col("n") > least).collect()]
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -54,12 +69,19 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Texts are compared after each run of white space became one space; a null text is the
     empty text.  The smallest doc_id of a group stays (a null id only if the group has no
     other; ``keep_id`` is null then).  Rows that repeat id and text are listed as often as
-    they occur and the first of them is kept.  Other columns are ignored.
+    they occur and the first of them is kept.  Texts of any length are cut into chunks of at
+    most 4096 characters.  An empty table gives no rows.  Other columns are ignored.
     """
-    one = recipes(docs, doc_id, text)
+    path = scratch_path(docs.sparkSession, "recipes")
+    recipes(docs, doc_id, text).write.parquet(path)
+    one = docs.sparkSession.read.parquet(path)
+    # the rows of a recipe that many documents have are dealt to several tasks
+    hot = F.xxhash64("recipe").isin(hot_recipes(one))
     groups = one.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
-    rows = one.join(groups, "recipe").select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_copy"))
+    groups = groups.withColumn("_part", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = one.withColumn("_part", F.when(hot, F.pmod(F.xxhash64("doc_id", "sha"), F.lit(PARTS))).otherwise(0).cast("int"))
+    rows = dealt.join(groups, ["recipe", "_part"]).select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_copy"))
     return rows.select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), "text_sha256",
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
     )

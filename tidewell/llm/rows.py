@@ -43,10 +43,13 @@ def first_rows(docs: DataFrame, kept: DataFrame, key: Column, name: str, doc_id:
 
     A null id matches a null id.  Columns stay as they are.
     """
-    own, mark, nth = _free(docs, "_doc"), _free(docs, "_mark"), _free(docs, "_nth")
-    listed = kept.select(F.col("doc_id").alias("_key"), F.col(name).alias("_name")).distinct().alias("_right")
-    left = docs.withColumn(own, F.col(doc_id)).withColumn(mark, key).alias("_left")
-    on = F.col(f"_left.{own}").eqNullSafe(F.col("_right._key")) & (F.col(f"_left.{mark}") == F.col("_right._name"))
-    joined = left.join(listed, on, "left_semi")
-    one = joined.withColumn(nth, F.row_number().over(W.partitionBy(own, mark).orderBy(mark)))
-    return one.filter(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, none, mark, nth = (_free(docs, n) for n in ("_doc", "_none", "_mark", "_nth"))
+    keys = [own, none, mark]
+
+    def keyed(df: DataFrame, id_: Column, value: Column) -> DataFrame:
+        return df.withColumn(own, F.coalesce(id_.cast("long"), F.lit(0))).withColumn(none, id_.isNull()).withColumn(mark, value)
+
+    listed = keyed(kept, F.col("doc_id"), F.col(name)).select(*keys).distinct()
+    # the window and the join deal by the same columns, so documents move once
+    one = keyed(docs, F.col(f"`{doc_id}`"), key).withColumn(nth, F.row_number().over(W.partitionBy(*keys).orderBy(mark))).filter(F.col(nth) == 1)
+    return one.join(listed, keys, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
