@@ -302,6 +302,25 @@ def classes_by_all_pairs(spark, docs, rows):
     return {i: find(i) for i in bands}
 
 
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    """Texts of one id are documents of their own, in any order; rows without id take part."""
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 200).split(" ") for _ in range(3))
+    near = lambda words: " ".join(words[:-3] + ["changed"] * 3)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (None, near(a[:-1])), (None, " ".join(c)), (None, near(c)), (1, " ".join(a)), (5, "alone")]
+    seen = set()
+    for order in range(4):
+        rng.shuffle(rows)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + order)).collect()
+        by_text = {t: {r["class_size"] for r in got if r["text_key"] == k} for t, k in spark.createDataFrame(rows, "doc_id long, text string").select("text", near_dedup.text_key()).collect()}
+        # a, a again, near a and the one without id; b and near b; c and near c, without ids
+        assert [by_text[t] for t in (" ".join(a), near(a), near(a[:-1]), " ".join(b), near(b), " ".join(c), near(c), "alone")] == [{4}, {4}, {4}, {2}, {2}, {2}, {2}, {1}]
+        assert {r["class_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1} and sum(r["class_id"] is None for r in got) == 2
+        assert sum(r["kept"] for r in got if r["doc_id"] == 1) == 2 and sum(r["kept"] for r in got) == 4
+        seen.add(tuple(sorted((str(tuple(r)) for r in got))))
+    assert len(seen) == 1
+
+
 def test_near_duplicates_compare_all_that_share_a_band(spark):
     rows = stars_and_decoys(300)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()

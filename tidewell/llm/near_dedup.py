@@ -10,8 +10,9 @@ Jaccard of their texts.  Classes are the connected components of what holds.  In
 still has several classes and more than a block of members outside its largest, these are
 compared with another member of that one, drawn anew each turn, as long as a turn joins one in
 twenty of that bucket's.  Then every pair that shares a bucket and is of two classes is compared
-by text, block of documents by block, so the classes are those of all pairs that share a band.
-That work grows with the members outside the largest class times all members of the bucket.
+by signature, block by block, and by text where the signatures agree enough, so the classes are
+those of all pairs that share a band.  That work grows with the members outside the largest
+class times all members of the bucket.
 """
 
 from __future__ import annotations
@@ -234,51 +235,90 @@ def similar_pairs(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, idf
 
     def beside(df: DataFrame, rows: DataFrame, value: str) -> DataFrame:
         for side in ("a", "b"):
-            df = df.join(rows.select(F.col("doc_id").alias(side), F.col(value).alias(f"{value}_{side}")), side)
+            df = df.join(rows.select(F.col("node").alias(side), F.col(value).alias(f"{value}_{side}")), side)
         return df.select("a", "b", f"{value}_a", f"{value}_b")
 
     close = _kept(beside(pairs, signatures, "sig").mapInArrow(agree, "a long, b long"), "pairs")
     return _kept(beside(close, texts, "text").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
-def bucket_pairs(members: DataFrame, texts: DataFrame, idf) -> DataFrame:
+def texts_of(docs: DataFrame, nodes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, text, size): the text that stands for each node and its bytes."""
+    keys = ["_none", "_id", "text_key"]
+    wanted = nodes.select("node", F.col("rep").isNull().alias("_none"), F.coalesce("rep", F.lit(0)).alias("_id"), "text_key")
+    id_ = F.col(doc_id).cast("long")
+    body = docs.select(id_.isNull().alias("_none"), F.coalesce(id_, F.lit(0)).alias("_id"), text_key(text).alias("text_key"), whole(text).alias("text"))
+    return body.join(wanted, keys).dropDuplicates(["node"]).select("node", "text", F.octet_length("text").alias("size"))
+
+
+def bucket_pairs(members: DataFrame, signatures: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """(a, b) of all similar pairs that share a bucket and have two labels.
 
-    ``members`` has band, doc_id, label and main, the largest label of the bucket.  A bucket's
+    ``members`` has band, node, label and main, the largest label of the bucket.  A bucket's
     members outside main and those of main are dealt into blocks by hash; every block of the
-    former meets every block, so a task holds two blocks whatever the bucket.
+    former meets every block, so a task holds two blocks whatever the bucket.  They meet with
+    their signatures first; texts follow for those members only that have a pair which agrees
+    enough, and a pair is compared in the first band that it shares.
     """
     outside = F.col("label") != F.col("main")
+    block = ["band", "p", "r"]
 
     def blocks(of):
         docs, size = F.sum(F.when(of, 1)), F.sum(F.when(of, F.col("size")))
         return F.ceil(F.greatest(docs / BLOCK_DOCS, size / BLOCK_BYTES)).cast("int")
 
-    def compare(key, table):
+    def agree(key, table):
         table = table.combine_chunks()
-        p, r = key[1].as_py(), key[2].as_py()
-        own, ids, label = (table.column(c).to_numpy() for c in ("own", "doc_id", "label"))
+        band, p, r = (x.as_py() for x in key)
+        own, ids, label = (table.column(c).to_numpy() for c in ("own", "node", "label"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(own), -1)
+        here = np.argmax(bands(sig) == band, axis=1)
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == r)
         differ = label[left][:, None] != label[right][None, :]
         if p == r:
             differ &= left[:, None] < right[None, :]
-        if differ.any():
-            data, offsets = arrow_bytes(table.column("text").chunk(0))
-            i, j = np.nonzero(differ & (block_overlaps(data, offsets, idf.value, left, right) >= SIMILARITY))
-        else:
-            i = j = np.zeros(0, np.int64)
-        a, b = ids[left[i]], ids[right[j]]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    sized = members.join(texts.select("doc_id", F.octet_length("text").alias("size")), "doc_id")
+        i, j = np.nonzero(differ)
+        i, j = left[i], right[j]
+        kept = [np.zeros(0, np.int64)]
+        for at in range(0, len(i), 1 << 14):
+            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            same = sig[x] == sig[y]
+            first = np.argmax(same.reshape(len(x), BANDS, ROWS).all(2), axis=1)
+            kept.append(at + np.flatnonzero((same.mean(1) >= LEAST_AGREEMENT) & (first == here[x])))
+        kept = np.concatenate(kept)
+        used, place = np.unique(np.concatenate([i[kept], j[kept]]), return_inverse=True)
+        a, b = np.split(place.astype(np.int32), 2)
+        row = {"band": [band], "p": [p], "r": [r], "nodes": [ids[used].tolist()], "a": [a.tobytes()], "b": [b.tobytes()]}
+        types = {"band": pa.int64(), "p": pa.int32(), "r": pa.int32(), "nodes": pa.list_(pa.int64()), "a": pa.binary(), "b": pa.binary()}
+        out = pa.table({k: pa.array(v, types[k]) for k, v in row.items()})
+        return out if len(kept) else out.slice(0, 0)
+
+    def compare(key, pairs, table):
+        table = table.combine_chunks()
+        ids = table.column("node").to_numpy()
+        a, b = (np.frombuffer(pairs.column(c)[0].as_py(), np.int32) for c in ("a", "b"))
+        at = np.argsort(ids)
+        place = at[np.searchsorted(ids[at], np.array(pairs.column("nodes")[0].as_py(), np.int64))]
+        left, right = np.unique(a), np.unique(b)
+        data, offsets = arrow_bytes(table.column("text").chunk(0))
+        like = block_overlaps(data, offsets, idf.value, place[left], place[right])
+        ok = like[np.searchsorted(left, a), np.searchsorted(right, b)] >= SIMILARITY
+        x, y = ids[place[a[ok]]], ids[place[b[ok]]]
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+
+    sized = members.join(texts.select("node", "size"), "node")
     dealt = members.join(sized.groupBy("band").agg(blocks(outside).alias("n_out"), blocks(~outside).alias("n_main")), "band")
-    place = F.xxhash64("doc_id")
+    place = F.xxhash64("node")
     own = F.when(outside, F.pmod(place, "n_out")).otherwise(F.col("n_out") + F.pmod(place, "n_main")).cast("int")
     met = F.sequence(F.lit(0), F.when(outside, F.col("n_out") + F.col("n_main")).otherwise(F.col("n_out")) - 1)
-    rows = dealt.select("band", "doc_id", "label", own.alias("own"), met.alias("met")).join(texts, "doc_id")
-    rows = rows.select("band", "doc_id", "label", "own", "text", F.explode("met").alias("other"))
-    rows = rows.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("r"), "own", "doc_id", "label", "text")
-    return _kept(rows.groupBy("band", "p", "r").applyInArrow(compare, "a long, b long").distinct(), "links")
+    rows = dealt.select("band", "node", "label", own.alias("own"), met.alias("met")).join(signatures, "node")
+    rows = rows.select("band", "node", "label", "own", "sig", F.explode("met").alias("other"))
+    rows = rows.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("r"), "own", "node", "label", "sig")
+    close = _kept(rows.groupBy(*block).applyInArrow(agree, "band long, p int, r int, nodes array<long>, a binary, b binary"), "close")
+    named = [f"_{c}" for c in block]
+    bodies = close.select(*[F.col(c).alias(n) for c, n in zip(block, named)], F.explode("nodes").alias("node")).join(texts.select("node", "text"), "node")
+    links = close.groupBy(*block).cogroup(bodies.groupBy(*named)).applyInArrow(compare, "a long, b long")
+    return _kept(links, "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -312,35 +352,52 @@ def components(links: DataFrame) -> DataFrame:
     return below.union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def representatives(rows: DataFrame) -> DataFrame:
+    """(node, words, rep, text_key, sig, bands): one row per distinct word sequence.
+
+    ``node`` is a number of its own, made from the words' hash alone; ``rep`` is the smallest
+    doc_id with these words (null if none has one) and ``text_key`` tells which of its texts.
+    """
+    one = rows.groupBy("words").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("rep"), "text_key")).alias("_r"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
+    )
+    # 56 bits of the hash, and a place among the words that share them
+    prefix = F.shiftleft(F.conv(F.substring(F.hex("words"), 1, 14), 16, 10).cast("long"), 8)
+    place = F.row_number().over(W.partitionBy("_prefix").orderBy("words")) - 1
+    one = one.withColumn("_prefix", prefix).withColumn("_place", place)
+    node = F.when(F.col("_place") < 256, F.col("_prefix") + F.col("_place")).otherwise(F.raise_error(F.lit("too many word sequences share a hash")).cast("long"))
+    return one.select(node.alias("node"), "words", "_r.rep", "_r.text_key", "sig", "bands")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id, class_size, n_links, kept, text_key.
 
-    ``class_id`` is the smallest doc_id of the class; its row is kept.  Equal word sequences
-    are one class without comparison; the rest is compared by one representative each, and
-    ``n_links`` counts the representative's verified links.  Texts without words are copies of
-    each other.  Rows that repeat an id share its class and only one is kept.  A row without
-    id belongs to the class of its word sequence and is not compared further; if no row there
-    has an id, class_id is null and one of them stays.  ``text_key`` tells such rows apart.
+    ``class_id`` is the smallest doc_id of the class, and a row with that id is kept, one only
+    even if several rows have it.  Equal word sequences are one class without comparison; the
+    rest is compared by one text each, and ``n_links`` counts the verified links of a row's
+    word sequence.  Texts without words are copies of each other.  Rows that repeat an id are
+    documents of their own, each in the class of its text.  Rows without id take part like
+    others; if no row of a class has an id, class_id is null and one of them stays.
+    ``text_key`` tells rows of one id apart.  Texts of any length are compared whole; an empty
+    table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs, text))
     rows = _kept(signed(docs, idf, doc_id, text), "signed")
-    copies = rows.groupBy("words").agg(F.min("doc_id").alias("rep"))
-    chosen = rows.join(copies.select(F.col("rep").alias("doc_id"), "words"), ["doc_id", "words"], "left_semi").dropDuplicates(["doc_id"])
-    banded = _kept(chosen.filter(F.col("bands").isNotNull()).select("doc_id", "sig", F.explode("bands").alias("band")), "bands")
-    buckets = banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = _kept(banded.join(buckets, "band").select("band", "leader", "doc_id"), "shared")
-    busy = shared.select("doc_id").distinct()
-    signatures = _kept(chosen.join(busy, "doc_id", "left_semi").select("doc_id", "sig"), "signatures")
-    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
-    texts = _kept(body.join(busy, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-    to_leader = shared.filter(F.col("doc_id") != F.col("leader")).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    nodes = _kept(representatives(rows), "nodes")
+    banded = _kept(nodes.filter(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("band")), "bands")
+    buckets = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = _kept(banded.join(buckets, "band").select("band", "leader", "node"), "shared")
+    busy = _kept(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "busy")
+    signatures = busy.select("node", "sig")
+    texts = _kept(texts_of(docs, busy, doc_id, text), "texts")
+
+    to_leader = shared.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = similar_pairs(to_leader, signatures, texts, idf)
     active, turn = None, 0
     while True:
         label = components(links)
-        placed = shared.join(label, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        placed = shared.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
         classes = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
         mixed = classes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
         members = _kept(placed.join(mixed.select("band", "main"), "band"), "mixed")
@@ -349,8 +406,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if active is not None:
             large = large.join(active, "band", "left_semi")
         # another member of the main class leads, by a draw of its own each turn
-        lead = members.filter(F.col("label") == F.col("main")).join(large, "band", "left_semi").groupBy("band").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("lead"))
-        tries = _kept(others.join(lead, "band").select("band", F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")), "tries")
+        lead = members.filter(F.col("label") == F.col("main")).join(large, "band", "left_semi").groupBy("band").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("lead"))
+        tries = _kept(others.join(lead, "band").select("band", F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")), "tries")
         if tries.isEmpty():
             break
         found = similar_pairs(tries.select("a", "b").distinct(), signatures, texts, idf)
@@ -358,15 +415,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         active = _kept(won.filter("won * 20 > n").select("band"), "active")
         links = _kept(links.union(found).distinct(), "links")
         turn += 1
-    links = links.union(bucket_pairs(members, texts, idf)).distinct()
+    links = links.union(bucket_pairs(members, signatures, texts, idf)).distinct()
     label = components(links)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    known = copies.join(label, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left")
-    known = known.select("words", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    known = nodes.select("node", "words", "rep").join(label, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = known.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    sizes = rows.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
+    classes = known.join(sizes, "words").groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
+    known = _kept(known.join(classes, "label").select("words", "label", "class_id", "class_size", "n_links"), "classes")
     out = rows.select("doc_id", "text_key", "words").join(known, "words")
-    # a class without any id is known by its words
-    out = out.withColumn("_class", F.when(F.col("class_id").isNull(), F.hex("words")).otherwise(F.col("class_id").cast("string")))
-    out = out.join(out.groupBy("_class").agg(F.count(F.lit(1)).alias("class_size")), "_class")
-    first = F.row_number().over(W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("words"))).orderBy("text_key")) == 1
-    return out.select("doc_id", "class_id", "class_size", "n_links", (F.col("doc_id").eqNullSafe(F.col("class_id")) & first).alias("kept"), "text_key")
+    # of the rows that have their class's id, the first by text stays
+    own = W.partitionBy("label", "doc_id").orderBy("text_key", "words")
+    first = out.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).withColumn("nth", F.row_number().over(own))
+    rest = out.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).withColumn("nth", F.lit(0))
+    return first.union(rest).select("doc_id", "class_id", "class_size", "n_links", (F.col("nth") == 1).alias("kept"), "text_key")
