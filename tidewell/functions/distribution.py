@@ -66,7 +66,8 @@ def student_tail(t: Column, df: Column, steps: int = 400) -> Column:
 
     Uses p = 1 - I(theta) with I the integral of cos^(df-1) over
     [-theta, theta], theta = atan(|t|/sqrt(df)), by Simpson's rule on a fixed
-    grid.  Beyond 1e4 degrees of freedom the normal tail is used.
+    grid.  The power is taken through the logarithm of 1 - 2 sin^2(x/2), which
+    keeps its digits for any number of degrees of freedom.
     """
     bound = F.atan(F.abs(t) / F.sqrt(df))
     # the integrand is concentrated within a few 1/sqrt(df) of zero
@@ -80,15 +81,14 @@ def student_tail(t: Column, df: Column, steps: int = 400) -> Column:
                 F.lit(0.0),
                 lambda s, i: s
                 + F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-                * F.pow(F.greatest(F.cos(h * i), F.lit(0.0)), df - 1),
+                * F.exp((df - 1) * F.log1p(F.greatest(-2 * F.pow(F.sin(h * i / 2), F.lit(2.0)), F.lit(-1 + 1e-15)))),
             )
             * h
             / 3
         )
 
     whole = simpson(F.least(F.lit(math.pi / 2), 12.0 / F.sqrt(df)))
-    exact = F.greatest(1 - simpson(upper) / whole, F.lit(0.0))
-    return F.when(df > 1e4, 2 * normal_cdf(-F.abs(t))).otherwise(exact)
+    return F.greatest(1 - simpson(upper) / whole, F.lit(0.0))
 
 
 def gaussian_crps(y: Column, mu: Column, sigma: Column) -> Column:

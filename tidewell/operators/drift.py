@@ -25,6 +25,21 @@ def ks_statistic(df: DataFrame, value: str, is_ref: Column, by: Sequence[str] =
     return out.withColumn("ks_p", kolmogorov_tail(F.col("ks"), F.col("n_ref").cast("double"), F.col("n_new").cast("double")))
 
 
+def wasserstein(df: DataFrame, value: str, is_ref: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., wasserstein, n_ref, n_new): area between the two running shares.
+
+    Both running sums and the next distinct value are carried from bin to bin, so each gap
+    between neighbouring values is weighed where it begins; nothing is sorted globally.  A
+    group with one part only has no distance.
+    """
+    tagged = df.select(*by, value, is_ref.alias("_r"))
+    sums = {"a": F.col("_r").cast("bigint"), "b": (~F.col("_r")).cast("bigint")}
+    c = qt.cumulative_counts(tagged, value, sums, by, following="_after")
+    gap = F.abs(safe_ratio(F.col("a_cum"), F.col("a_total"), None) - safe_ratio(F.col("b_cum"), F.col("b_total"), None))
+    area = F.sum(F.when(F.col("_after").isNull() & gap.isNotNull(), 0.0).otherwise(gap * (F.col("_after") - F.col(value))))
+    return c.groupBy(*by).agg(area.alias("wasserstein"), F.max("a_total").alias("n_ref"), F.max("b_total").alias("n_new"))
+
+
 def t_test(df: DataFrame, value: str, is_ref: Column, by: Sequence[str] = ()) -> DataFrame:
     """(by..., t, t_p, and the moments of both parts): pooled two-sample test in one pass."""
     a, b = F.when(is_ref, F.col(value)), F.when(~is_ref, F.col(value))

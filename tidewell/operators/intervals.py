@@ -128,16 +128,56 @@ def calibration_band(draws: DataFrame, point: Sequence[str], levels: Sequence[fl
 
 
 def gaussian_scores(df: DataFrame, by: Sequence[str] = (), y="y", mu="mu", var="var") -> DataFrame:
-    """Sharpness, coverage of +-1.645 sigma, mean negative log-likelihood, mean CRPS."""
-    sd = F.sqrt(F.col(var))
+    """Sharpness, coverage of +-1.645 sigma, mean negative log-likelihood, mean CRPS.
+
+    Rows without truth, mean or a positive variance have no score; ``n_left_out`` counts them.
+    """
+    ok = F.coalesce(F.col(y).isNotNull() & F.col(mu).isNotNull() & (F.col(var) > 0), F.lit(False))
+    v = F.when(ok, F.col(var))
+    sd = F.sqrt(v)
     inside = F.abs(F.col(y) - F.col(mu)) <= 1.645 * sd
-    ok = F.col(y).isNotNull() & F.col(mu).isNotNull() & (F.col(var) > 0)
-    return df.where(ok).groupBy(*by).agg(
+    return df.groupBy(*by).agg(
         F.avg(sd).alias("sharpness"), F.avg(inside.cast("double")).alias("coverage_90"),
-        F.avg(dist.gaussian_nll(F.col(y), F.col(mu), F.col(var))).alias("nll"), F.avg(dist.gaussian_crps(F.col(y), F.col(mu), sd)).alias("crps"),
+        F.avg(dist.gaussian_nll(F.col(y), F.col(mu), v)).alias("nll"), F.avg(dist.gaussian_crps(F.col(y), F.col(mu), sd)).alias("crps"),
+        F.count(v).alias("n"), (F.count(F.lit(1)) - F.count(v)).alias("n_left_out"),
     )
 
 
+def sample_crps(draws: DataFrame, point: Sequence[str], y="y", yhat="yhat") -> DataFrame:
+    """(point..., y, crps, n): CRPS of each point's draws against its truth.
+
+    With the n draws in order, it is the mean of |x - y| less the sum of (2i - n - 1) x_i over
+    n^2.  Equal draws count at once, and the ranks are carried from bin to bin of the value, so
+    a point with millions of draws spreads over tasks.  A point without a truth gives NULL;
+    NULL draws do not count.
+    """
+    truth = F.coalesce(F.col(y).cast("double"), F.lit(float("nan")))  # NaN is a key like others, NULL is not
+    ranked = qt.cumulative_counts(draws.withColumn("_y", truth), yhat, {"c": F.lit(1)}, [*point, "_y"])
+    v, c = F.col(yhat), F.col("c")
+    off, spread = F.sum(c * F.abs(v - F.col("_y"))), F.sum(v * c * (2 * F.col("c_cum") - c - F.col("c_total")))
+    n = F.max("c_total")
+    out = ranked.groupBy(*point, "_y").agg(((off - spread / n) / n).alias("crps"), n.alias("n"))
+    return out.select(*point, *[F.when(~F.isnan("_y"), F.col(c)).alias(a) for c, a in (("_y", y), ("crps", "crps"))], "n")
+
+
+def heteroscedastic(train: DataFrame, calibration: DataFrame, test: DataFrame, mean, spread, features: Sequence[str], spread_features: Sequence[str] | None = None, y="y") -> DataFrame:
+    """Test rows with yhat, sigma, q, lo and hi: one model for the mean, a second one for the
+    absolute residuals of the first, and a scale from the standardised residuals of calibration."""
+    from tidewell.operators.models import on_features
+
+    first = on_features(mean, features, y, "yhat").fit(train)
+    seen = first.transform(train).withColumn("_abs_r", absolute_residual(y))
+    second = on_features(spread, list(spread_features or features), "_abs_r", "_sigma").fit(seen)
+
+    def scored(df: DataFrame) -> DataFrame:
+        return second.transform(first.transform(df)).withColumn("sigma", F.greatest("_sigma", F.lit(1e-6))).drop("_sigma")
+
+    cal = scored(calibration)
+    limit = robust_scale(cal.withColumn("_z", absolute_residual(y) / F.col("sigma")), "_z")
+    out = with_limits(clip_sigma(scored(test), cal), limit.select("q"), ())
+    return out.withColumns({"lo": F.col("yhat") - F.col("q") * F.col("sigma"), "hi": F.col("yhat") + F.col("q") * F.col("sigma")})
+
+
 # --- linear models refitted on bootstrap draws ---------------------------------
 
 

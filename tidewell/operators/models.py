@@ -108,16 +108,17 @@ class CompleteRows(Pipeline):
         return super()._fit(dataset.na.drop(subset=self.columns))
 
 
-def on_features(estimator, features: Sequence[str], label: str = "y") -> Pipeline:
+def on_features(estimator, features: Sequence[str], label: str = "y", out: str = "prediction") -> Pipeline:
     """An estimator over named columns.
 
-    It is fitted on complete rows; ``transform`` keeps every row and predicts NULL where a
-    feature is missing.
+    It is fitted on complete rows; ``transform`` keeps every row, adds the column ``out`` and
+    nothing else, and predicts NULL where a feature is missing.  So a second model can be
+    fitted on the output of a first.
     """
     stage = estimator.copy()
     stage.setFeaturesCol("features").setLabelCol(label).setPredictionCol("_predicted")
     whole = " AND ".join(f"`{f}` IS NOT NULL AND NOT isnan(`{f}`)" for f in features)
-    shown = SQLTransformer(statement=f"SELECT *, CASE WHEN {whole} THEN _predicted END AS prediction FROM __THIS__")
+    shown = SQLTransformer(statement=f"SELECT * EXCEPT (features, _predicted), CASE WHEN {whole} THEN _predicted END AS `{out}` FROM __THIS__")
     return CompleteRows([VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), stage, shown], [*features, label])
 
 
@@ -248,7 +249,7 @@ def predict_full_stack(df: DataFrame, full: Mapping, out: str = "stacked") -> Da
     """Every base scores the rows, seen or new; a missing base prediction counts as 0."""
     scored = df
     for name, model in full["models"].items():
-        scored = model.transform(scored).withColumn(name, F.coalesce("prediction", F.lit(0.0))).drop("features", "_predicted", "prediction")
+        scored = model.transform(scored).withColumn(name, F.coalesce("prediction", F.lit(0.0))).drop("prediction")
     return predict_stack(scored, full["stack"], out).drop(*full["models"])
 
 

@@ -86,27 +86,32 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {r["k"]: r["value"] for r in found.collect()}
 
 
-def cumulative_counts(df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
+def cumulative_counts(df: DataFrame, value: str, sums: Mapping[str, Column], by: Sequence[str] = (), following: str | None = None) -> DataFrame:
     """Distinct values with running totals of ``sums`` up to and including each value.
 
     Ties are combined map-side; ordering happens per (group, bin), and the bin
-    totals, one row per bin, are carried along the group.
+    totals, one row per bin, are carried along the group.  ``following`` names a column for
+    the next distinct value, which may be the first one of a later bin.
     """
     v = F.col(value).cast("double")
     rows = df.withColumn("_v", v).where("_v IS NOT NULL AND NOT isnan(_v)").withColumn("_bin", value_bin(F.col("_v")))
     vals = rows.groupBy(*by, "_bin", "_v").agg(*[F.sum(e).alias(k) for k, e in sums.items()])
-    totals = vals.groupBy(*by, "_bin").agg(*[F.sum(k).alias(k) for k in sums])
+    totals = vals.groupBy(*by, "_bin").agg(*[F.sum(k).alias(k) for k in sums], F.min("_v").alias("_first"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *by, "_bin",
         *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_b_{k}") for k in sums],
         *[F.sum(k).over(group).alias(f"{k}_total") for k in sums],
+        *([F.lead("_first").over(group.orderBy("_bin")).alias("_later")] if following else []),
     )
     run = Window.partitionBy(*by, "_bin").orderBy("_v")
     inside = vals.withColumns({f"_r_{k}": F.sum(k).over(run) for k in sums})
+    if following:
+        inside = inside.withColumn("_next", F.lead("_v").over(run))
     joined = inside.join(carried, [*by, "_bin"])
     return joined.select(
         *by, "_bin", F.col("_v").alias(value), *sums,
         *[(F.col(f"_b_{k}") + F.col(f"_r_{k}")).alias(f"{k}_cum") for k in sums], *[f"{k}_total" for k in sums],
+        *([F.coalesce("_next", "_later").alias(following)] if following else []),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.distribution import normal_quantile
 from tidewell.functions.numbers import correlation, safe_ratio
 from tidewell.operators import quantiles as qt
-from tidewell.panel import BY, over, with_position
+from tidewell.panel import BY, null_nan, over, with_position
 
 FIVE = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -122,21 +122,57 @@ def box_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     )
 
 
-def quantile_bin(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:
-    """Equal-count bins 1..bins of a whole column, right-closed, from exact cut points."""
-    cuts = {f"c{i}": i / bins for i in range(1, bins)}
-    found = {r["label"]: r["value"] for r in qt.quantiles(df, value, cuts).collect()}
-    return df.withColumn(out, F.lit(1) + sum(((F.col(value) > F.lit(found[c])).cast("int") for c in cuts), F.lit(0)))
+def quantile_bin(df: DataFrame, value: str, bins: int, out: str = "bin", by: Sequence[str] = ()) -> DataFrame:
+    """Equal-count bins 1..bins of a whole column, or of each group, right-closed, from exact cut points."""
+    cuts = {f"_c{i}": i / bins for i in range(1, bins)}
+    found = qt.attach(df, qt.quantile_columns(df, value, cuts, by), by)
+    return found.withColumn(out, F.lit(1) + sum(((F.col(value) > F.col(c)).cast("int") for c in cuts), F.lit(0))).drop(*cuts)
 
 
-def error_by_bin(df: DataFrame, bins: int = 5, y="y", yhat="yhat") -> DataFrame:
+def error_by_bin(df: DataFrame, bins: int = 5, y="y", yhat="yhat", by: Sequence[str] = ()) -> DataFrame:
     e = F.abs(F.col(y) - F.col(yhat))
-    return quantile_bin(df, y, bins).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(e).alias("mae"))
+    return quantile_bin(df, y, bins, by=by).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(e).alias("mae"))
 
 
-def error_by_season(df: DataFrame, t="t", period: int = 12, y="y", yhat="yhat") -> DataFrame:
+def error_by_season(df: DataFrame, t="t", period: int = 12, y="y", yhat="yhat", by: Sequence[str] = ()) -> DataFrame:
     place = (F.col(t) % period + 1).alias("place")
-    return df.groupBy(place).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(y) - F.col(yhat))).alias("mae"))
+    return df.groupBy(*by, place).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(y) - F.col(yhat))).alias("mae"))
+
+
+def mutual_information(df: DataFrame, features: Sequence[str], y="y", bins: int = 16) -> DataFrame:
+    """(feature, information, n) in nats, strongest first.
+
+    Every feature and the target fall into ``bins`` bins of equal width; all joint histograms
+    come from one aggregate, combined map-side to features x bins x bins rows.  Rows without
+    the feature or the target do not count for that feature; a constant tells nothing.
+    """
+    names = [*features, y]
+    ends = df.agg(*[f(null_nan(F.col(c))).alias(f"{n}_{i}") for i, c in enumerate(names) for n, f in (("a", F.min), ("b", F.max))]).first()
+
+    def place(i: int) -> Column:
+        a, b = ends[f"a_{i}"], ends[f"b_{i}"]
+        if a is None or a == b:
+            return F.when(null_nan(F.col(names[i])).isNotNull(), F.lit(0))
+        x = null_nan(F.col(names[i]))
+        nth = F.least(F.floor((x - F.lit(float(a))) / F.lit(float(b) - float(a)) * bins), F.lit(bins - 1))
+        return F.when(x.isNotNull(), nth.cast("int"))  # least() passes over NULL
+
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), place(i).alias("x")) for i, f in enumerate(features)])
+    joint = df.select(F.inline(cells), place(len(features)).alias("z")).where("x IS NOT NULL AND z IS NOT NULL")
+    joint = joint.groupBy("feature", "x", "z").agg(F.count(F.lit(1)).cast("double").alias("c"))
+
+    def total(*keys: str) -> Column:
+        return F.sum("c").over(Window.partitionBy("feature", *keys))
+
+    n = joint.withColumns({"n": total(), "cx": total("x"), "cz": total("z")})
+    told = F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("cx") * F.col("cz"))))
+    out = n.groupBy("feature").agg(F.greatest(told, F.lit(0.0)).alias("information"), F.max("n").cast("long").alias("n"))
+    return out.orderBy(F.desc("information"), "feature")
+
+
+def most_informative(df: DataFrame, features: Sequence[str], k: int, y="y", bins: int = 16) -> list[str]:
+    """The k features that tell most about the target."""
+    return [r["feature"] for r in mutual_information(df, features, y, bins).limit(k).collect()]
 
 
 def target_correlation(df: DataFrame, features: Sequence[str], y="y", by: Sequence[str] = ()) -> DataFrame:

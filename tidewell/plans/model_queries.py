@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.draws import portable_uniform
@@ -87,10 +88,11 @@ def _(spark, sf):
     return got.select(q("slope").alias("slope"), q("intercept", 3).alias("intercept"))
 
 
-@query("mlp3_linear_per_series", f"{P.ctes('wide')}, {OLS_SQL.replace('monthly', 'wide')} SELECT series_id, {sq('regr_slope(y, x)', 5)} AS slope, {sq('regr_intercept(y, x)', 2)} AS intercept, count(*) AS n FROM k GROUP BY 1 HAVING count(*) > 5")
+@query("mlp3_linear_per_series", f"{P.ctes('wide')}, {OLS_SQL.replace('monthly', 'wide')} SELECT series_id, {sq('regr_slope(y, x)', 5)} AS slope, {sq('regr_intercept(y, x)', 2)} AS intercept, count(*) AS n FROM k GROUP BY 1")
 def _(spark, sf):
     df = P.wide(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL")
-    m = gram.fit_linear(df, ["series_id"], ["lag_1"]).where("n > 5")
+    # a line needs two points
+    m = gram.fit_linear(df, ["series_id"], ["lag_1"]).withColumn("beta", F.when(F.col("n") > 1, F.col("beta")))
     return m.select("series_id", q(F.col("beta")[1], 5).alias("slope"), q(F.col("beta")[0], 2).alias("intercept"), "n")
 
 
@@ -134,7 +136,7 @@ def _(spark, sf):
     out = o
     for name, est in (("forest", models.forest(1, 1, bootstrap=False)), ("boosted", models.boosted(1, 1, 1.0))):
         fitted = models.on_features(est, ["urgent"]).fit(o)
-        out = fitted.transform(out).withColumnRenamed("prediction", name).drop("features", "_predicted")
+        out = fitted.transform(out).withColumnRenamed("prediction", name)
     return out.select("o_orderkey", q("forest", 4).alias("forest"), q("boosted", 4).alias("boosted"))
 
 
@@ -356,11 +358,11 @@ def _(spark, sf):
 
 @query(
     "mlp19_trend_only",
-    f"{P.ctes('wide')}, p AS (SELECT *, row_number() OVER w - 1 AS t FROM wide {WSQL}), m AS (SELECT series_id, regr_slope(y, t) AS b, regr_intercept(y, t) AS c, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 5) "
+    f"{P.ctes('wide')}, p AS (SELECT *, row_number() OVER w - 1 AS t FROM wide {WSQL}), m AS (SELECT series_id, regr_slope(y, t) AS b, regr_intercept(y, t) AS c, count(*) AS n FROM p GROUP BY 1) "
     f"SELECT series_id, CAST(k AS BIGINT) AS step, {sq('c + b * (n + k - 1)', 2)} AS yhat FROM m, range(1, 7) r(k)",
 )
 def _(spark, sf):
-    f = forecast.trend_season_forecast(P.wide(spark, sf), 6, orders=()).where("n > 5")
+    f = forecast.trend_season_forecast(P.wide(spark, sf), 6, orders=()).withColumn("yhat", F.when(F.col("n") > 1, F.col("yhat")))
     return f.select("series_id", F.col("step").cast("bigint").alias("step"), q("yhat", 2).alias("yhat"))
 
 
@@ -471,7 +473,11 @@ def _(spark, sf):
 
 @query("reg3_smoothed_boosting")
 def _(spark, sf):
-    m = P.monthly(spark, sf).withColumns(win.lags(ks=(1, 2, 3))).na.drop()
-    model = models.on_features(models.boosted(rounds=20, depth=3, step=0.05), ["lag_1", "lag_2", "lag_3"]).fit(m)
+    names = ["lag_1", "lag_2", "lag_3"]
+    m = P.monthly(spark, sf).withColumns(win.lags(ks=(1, 2, 3)))
+    # the first rows take the first lag that follows
+    later = Window.partitionBy("series_id").orderBy("ts").rowsBetween(0, Window.unboundedFollowing)
+    m = m.withColumns({c: F.first(c, ignorenulls=True).over(later) for c in names})
+    model = models.on_features(models.boosted(rounds=200, depth=3, step=0.05), names).fit(m)
     raw = model.transform(m).select("series_id", "ts", F.col("prediction").alias("raw"))
     return regimes.smoothed_prediction(raw).select("series_id", day("ts").alias("d"), "mu", "var")

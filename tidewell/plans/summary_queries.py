@@ -168,35 +168,35 @@ def _(spark, sf):
 
 @query(
     "agg13_box_by_month",
-    f"{P.ctes('wide')}, {P.forecasts_sql('wide')}, r AS (SELECT month(ts) AS m, y - yhat AS e FROM ml WHERE model = 'rolling'), "
-    "b AS (SELECT m, quantile_cont(e, 0.25) AS q25, median(e) AS median, quantile_cont(e, 0.75) AS q75 FROM r GROUP BY 1) "
-    f"SELECT b.m, count(*) AS n, {sq('any_value(q25)', 3)} AS q25, {sq('any_value(median)', 3)} AS median, {sq('any_value(q75)', 3)} AS q75, "
-    f"{sq('min(CASE WHEN e >= q25 - 1.5 * (q75 - q25) THEN e END)', 3)} AS low_whisker, {sq('max(CASE WHEN e <= q75 + 1.5 * (q75 - q25) THEN e END)', 3)} AS high_whisker FROM r JOIN b USING (m) GROUP BY b.m",
+    f"{P.ctes('wide')}, {P.forecasts_sql('wide')}, r AS (SELECT model, month(ts) AS m, y - yhat AS e FROM ml), "
+    "b AS (SELECT model, m, quantile_cont(e, 0.25) AS q25, median(e) AS median, quantile_cont(e, 0.75) AS q75 FROM r GROUP BY 1, 2) "
+    f"SELECT b.model, b.m, count(*) AS n, {sq('any_value(q25)', 3)} AS q25, {sq('any_value(median)', 3)} AS median, {sq('any_value(q75)', 3)} AS q75, "
+    f"{sq('min(CASE WHEN e >= q25 - 1.5 * (q75 - q25) THEN e END)', 3)} AS low_whisker, {sq('max(CASE WHEN e <= q75 + 1.5 * (q75 - q25) THEN e END)', 3)} AS high_whisker FROM r JOIN b USING (model, m) GROUP BY b.model, b.m",
 )
 def _(spark, sf):
-    r = P.forecasts(P.wide(spark, sf)).where("model = 'rolling'").select(F.month("ts").cast("bigint").alias("m"), (F.col("y") - F.col("yhat")).alias("e"))
-    b = sm.box_summary(r, "e", ["m"])
-    return b.select("m", "n", *[q(c, 3).alias(c) for c in ("q25", "median", "q75", "low_whisker", "high_whisker")])
+    r = P.forecasts(P.wide(spark, sf)).select("model", F.month("ts").cast("bigint").alias("m"), (F.col("y") - F.col("yhat")).alias("e"))
+    b = sm.box_summary(r, "e", ["model", "m"])
+    return b.select("model", "m", "n", *[q(c, 3).alias(c) for c in ("q25", "median", "q75", "low_whisker", "high_whisker")])
 
 
 @query(
     "agg14_error_by_quintile",
-    f"{P.ctes('wide')}, {P.forecasts_sql('wide')}, r AS (SELECT * FROM ml WHERE model = 'rolling'), "
-    "c AS (SELECT quantile_cont(y, 0.2) a, quantile_cont(y, 0.4) b, quantile_cont(y, 0.6) c, quantile_cont(y, 0.8) d FROM r) "
-    f"SELECT CAST(1 + (y > a)::INT + (y > b)::INT + (y > c)::INT + (y > d)::INT AS BIGINT) AS bin, count(*) AS n, {sq('avg(abs(y - yhat))', 3)} AS mae FROM r, c GROUP BY 1",
+    f"{P.ctes('wide')}, {P.forecasts_sql('wide')}, "
+    "c AS (SELECT model, quantile_cont(y, 0.2) a, quantile_cont(y, 0.4) b, quantile_cont(y, 0.6) c, quantile_cont(y, 0.8) d FROM ml GROUP BY 1) "
+    f"SELECT model, CAST(1 + (y > a)::INT + (y > b)::INT + (y > c)::INT + (y > d)::INT AS BIGINT) AS bin, count(*) AS n, {sq('avg(abs(y - yhat))', 3)} AS mae FROM ml JOIN c USING (model) GROUP BY 1, 2",
 )
 def _(spark, sf):
-    b = sm.error_by_bin(P.forecasts(P.wide(spark, sf)).where("model = 'rolling'"))
-    return b.select(F.col("bin").cast("bigint").alias("bin"), "n", q("mae", 3).alias("mae"))
+    b = sm.error_by_bin(P.forecasts(P.wide(spark, sf)), by=["model"])
+    return b.select("model", F.col("bin").cast("bigint").alias("bin"), "n", q("mae", 3).alias("mae"))
 
 
 @query(
     "agg14_error_by_season",
-    f"{P.ctes('wide')}, {P.forecasts_sql('wide')} SELECT t % 12 + 1 AS place, count(*) AS n, {sq('avg(abs(y - yhat))', 3)} AS mae FROM ml WHERE model = 'rolling' GROUP BY 1",
+    f"{P.ctes('wide')}, {P.forecasts_sql('wide')} SELECT model, t % 12 + 1 AS place, count(*) AS n, {sq('avg(abs(y - yhat))', 3)} AS mae FROM ml GROUP BY 1, 2",
 )
 def _(spark, sf):
-    b = sm.error_by_season(P.forecasts(P.wide(spark, sf)).where("model = 'rolling'"))
-    return b.select(F.col("place").cast("bigint").alias("place"), "n", q("mae", 3).alias("mae"))
+    b = sm.error_by_season(P.forecasts(P.wide(spark, sf)), by=["model"])
+    return b.select("model", F.col("place").cast("bigint").alias("place"), "n", q("mae", 3).alias("mae"))
 
 
 NUM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")

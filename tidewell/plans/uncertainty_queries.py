@@ -117,22 +117,28 @@ def _(spark, sf):
 def _(spark, sf):
     df = lag_frame(P.wide(spark, sf))
     train, cal, test = (df.where(c) for c in ("ts < '1999-06-01'", f"ts >= '1999-06-01' AND ts < '{CUT}'", f"ts >= '{CUT}'"))
-    mean_model = models.on_features(models.linear(), LAG_FEATURES).fit(train)
+    out = intervals.heteroscedastic(train, cal, test, models.linear(), models.boosted(), LAG_FEATURES)
+    return sm.interval_summary(out, [])
 
-    def mean(d):
-        return mean_model.transform(d).withColumnRenamed("prediction", "yhat").drop("features")
 
-    spread = mean(train).withColumn("abs_r", intervals.absolute_residual())
-    sigma_model = models.on_features(models.boosted(rounds=10, depth=3), LAG_FEATURES, "abs_r").fit(spread)
+HETERO_SQL = (
+    f"{P.ctes('wide')}, f AS (SELECT ts, y, lag(y) OVER w AS x, lag(y, 2) OVER w AS x2 FROM wide {WSQL}), "
+    "k AS (SELECT *, CASE WHEN ts < TIMESTAMP '1999-06-01' THEN 'train' WHEN ts < TIMESTAMP '{cut}' THEN 'cal' ELSE 'test' END AS part FROM f WHERE x2 IS NOT NULL), "
+    "m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS c FROM k WHERE part = 'train'), "
+    "r AS (SELECT k.*, c + b * x AS yhat, abs(y - c - b * x) AS e FROM k, m), "
+    "v AS (SELECT regr_slope(e, x2) AS b, regr_intercept(e, x2) AS c FROM r WHERE part = 'train'), "
+    "s AS (SELECT r.*, greatest(c + b * x2, 1e-6) AS sd FROM r, v), "
+    "l AS (SELECT 0.2 * quantile_cont(sd, 0.01) AS a, 5 * quantile_cont(sd, 0.99) AS b, quantile_cont(e / sd, 0.9) AS q FROM s WHERE part = 'cal'), "
+    "o AS (SELECT y, yhat - q * least(greatest(sd, a), b) AS lo, yhat + q * least(greatest(sd, a), b) AS hi FROM s, l WHERE part = 'test') "
+).replace("{cut}", CUT)
 
-    def both(d):
-        s = sigma_model.transform(mean(d)).withColumn("sigma", F.greatest(F.col("prediction"), F.lit(1e-6)))
-        return s.drop("prediction", "features")
 
-    scored = both(cal)
-    limit = intervals.robust_scale(scored.withColumn("z", intervals.absolute_residual() / F.col("sigma")), "z")
-    out = intervals.with_limits(intervals.clip_sigma(both(test), scored), limit.select("q"), ())
-    return sm.interval_summary(out.withColumns({"lo": F.col("yhat") - F.col("q") * F.col("sigma"), "hi": F.col("yhat") + F.col("q") * F.col("sigma")}), [])
+@query("unc6_two_linear_models", f"{HETERO_SQL} SELECT count(*) AS n, {sq('avg((y BETWEEN lo AND hi)::INT)')} AS coverage, {sq('avg(hi - lo)', 1)} AS mean_width FROM o")
+def _(spark, sf):
+    df = P.wide(spark, sf).withColumns(win.lags(ks=(1, 2))).where("lag_2 IS NOT NULL")
+    train, cal, test = (df.where(c) for c in ("ts < '1999-06-01'", f"ts >= '1999-06-01' AND ts < '{CUT}'", f"ts >= '{CUT}'"))
+    out = intervals.heteroscedastic(train, cal, test, models.linear(), models.linear(), ["lag_1"], ["lag_2"])
+    return out.agg(F.count(F.lit(1)).alias("n"), q(F.avg(F.col("y").between(F.col("lo"), F.col("hi")).cast("double"))).alias("coverage"), q(F.avg(F.col("hi") - F.col("lo")), 1).alias("mean_width"))
 
 
 Z_SQL = f"{CAL_SQL}, st AS (SELECT series_id, stddev_pop(y) AS sd FROM cal GROUP BY 1), z AS (SELECT cal.*, abs(y - yhat) / (sd + 1e-9) AS z FROM cal JOIN st USING (series_id))"
@@ -252,15 +258,15 @@ def _(spark, sf):
 @query(
     "unc15_gaussian_scores",
     f"{P.ctes('wide')}, g AS (SELECT y, avg(y) OVER w AS mu, var_samp(y) OVER w AS var FROM wide WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)), "
-    "k AS (SELECT * FROM g WHERE mu IS NOT NULL AND var > 0) "
-    f"SELECT {sq('avg(sqrt(var))', 3)} AS sharpness, {sq('avg((abs(y - mu) <= 1.645 * sqrt(var))::INT)')} AS coverage_90, "
-    f"{sq('avg(0.5 * (ln(2 * pi() * (var + 1e-9)) + (y - mu) * (y - mu) / (var + 1e-9)))', 4)} AS nll FROM k",
+    "k AS (SELECT *, CASE WHEN y IS NOT NULL AND mu IS NOT NULL AND var > 0 THEN 1 END AS ok FROM g) "
+    f"SELECT {sq('avg(sqrt(var)) FILTER (ok = 1)', 3)} AS sharpness, {sq('avg((abs(y - mu) <= 1.645 * sqrt(var))::INT) FILTER (ok = 1)')} AS coverage_90, "
+    f"{sq('avg(0.5 * (ln(2 * pi() * (var + 1e-9)) + (y - mu) * (y - mu) / (var + 1e-9))) FILTER (ok = 1)', 4)} AS nll, count(ok) AS n, count(*) - count(ok) AS n_left_out FROM k",
 )
 def _(spark, sf):
     w = Window.partitionBy("series_id").orderBy("ts").rowsBetween(-12, -1)
     df = P.wide(spark, sf).withColumns({"mu": F.avg("y").over(w), "var": F.var_samp("y").over(w)})
     s = intervals.gaussian_scores(df)
-    return s.select(q("sharpness", 3).alias("sharpness"), q("coverage_90").alias("coverage_90"), q("nll", 4).alias("nll"))
+    return s.select(q("sharpness", 3).alias("sharpness"), q("coverage_90").alias("coverage_90"), q("nll", 4).alias("nll"), "n", "n_left_out")
 
 
 @query(
@@ -327,14 +333,14 @@ def _(spark, sf):
 
 def _simpson(limit: str) -> str:
     weight = "CASE WHEN i = 0 OR i = 400 THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
-    return f"(SELECT sum({weight} * pow(greatest(cos({limit} / 400 * i), 0), dof - 1)) * ({limit} / 400) / 3 FROM range(0, 401) x(i))"
+    return f"(SELECT sum({weight} * exp((dof - 1) * ln(greatest(1 - 2 * pow(sin({limit} / 800 * i), 2), 1e-300)))) * ({limit} / 400) / 3 FROM range(0, 401) x(i))"
 
 
 SCORE_SQL = (
     f"{T_SQL}, j AS (SELECT tt.series_id, ks, t, ks * sqrt(n_ref * n_new / (n_ref + n_new)::DOUBLE) AS lam, (na + nb - 2)::DOUBLE AS dof, least(abs(ma - mb) / sa, 1) AS ms, least(abs(sa - sb) / sa, 1) AS ss FROM tt JOIN ks USING (series_id)), "
     "l AS (SELECT *, least(atan(abs(t) / sqrt(dof)), 12 / sqrt(dof)) AS up, least(pi() / 2, 12 / sqrt(dof)) AS full_up FROM j), "
-    f"pv AS (SELECT *, CASE WHEN dof > 1e4 THEN 2 * {normal_cdf_sql('tn')} ELSE greatest(1 - {_simpson('up')} / {_simpson('full_up')}, 0) END AS t_p, "
-    "CASE WHEN lam < 0.2 THEN 1 ELSE least(greatest(2 * (SELECT sum((CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) y(k)), 0), 1) END AS ks_p FROM (SELECT *, -abs(t) AS tn FROM l)) "
+    f"pv AS (SELECT *, greatest(1 - {_simpson('up')} / {_simpson('full_up')}, 0) AS t_p, "
+    "CASE WHEN lam < 0.2 THEN 1 ELSE least(greatest(2 * (SELECT sum((CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) y(k)), 0), 1) END AS ks_p FROM l) "
     f"SELECT series_id, {sq('ks_p', 5)} AS ks_p, {sq('t_p', 5)} AS t_p, {sq('((1 - ks_p) + (1 - t_p) + ms + ss) / 4', 5)} AS drift_score, (((1 - ks_p) + (1 - t_p) + ms + ss) / 4 > 0.05)::INT AS flag, (ks_p < 0.05 OR t_p < 0.05)::INT AS differs FROM pv"
 )
 
