@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.draws import portable_uniform
-from tidewell.operators import augment, drift, gram, intervals, models, monitor, quantiles, splits
+from tidewell.operators import augment, drift, gram, intervals, models, monitor, quantile_trees, quantiles, splits
 from tidewell.operators import features as feat
 from tidewell.operators import summary as sm
 from tidewell.operators import windows as win
@@ -92,6 +92,18 @@ def _(spark, sf):
     return sm.interval_summary(wide.withColumn("yhat", (F.col("lo") + F.col("hi")) / 2), [])
 
 
+@query("unc4_boosted_quantiles")
+def _(spark, sf):
+    df = lag_frame(P.wide(spark, sf))
+    train, rest = df.where(F.col("ts") < "1999-06-01"), df.where(F.col("ts") >= "1999-06-01")
+    trees = quantile_trees.fit_quantile_trees(train, LAG_FEATURES, {"lo": 0.05, "hi": 0.95}, keys=["series_id", "ts"])
+    scored = trees.predict(rest)
+    cal, test = scored.where(F.col("ts") < CUT), scored.where(F.col("ts") >= CUT)
+    delta = intervals.widen_by_conformal(cal).first()["delta"]
+    wide = test.withColumns({"lo": F.col("lo") - delta, "hi": F.col("hi") + delta})
+    return sm.interval_summary(wide.withColumn("yhat", (F.col("lo") + F.col("hi")) / 2), [])
+
+
 @query(
     "unc4_conformal_widening",
     f"{CAL_SQL} SELECT {sq('quantile_cont(greatest(yhat - 20000 - y, y - yhat - 20000, 0), 0.9)', 3)} AS delta FROM cal",
