@@ -140,12 +140,14 @@ def trainer(name: str, **kw):
 # --- time-ordered validation ------------------------------------------------------------
 
 
-def fold_predictions(df: DataFrame, features: Sequence[str], models: Mapping[str, object], k: int = 5, label: str = "y", by=BY, order=("ts",), keep: Sequence[str] = ("series_id", "ts"), parallel: int = 4) -> DataFrame:
+def fold_predictions(df: DataFrame, features: Sequence[str], models: Mapping[str, object], k: int = 5, label: str = "y", by=BY, order=("ts",), keep: Sequence[str] = ("series_id", "ts"), parallel: int = 4, folds: Callable[..., DataFrame] = splits.expanding_folds) -> DataFrame:
     """(keep..., fold, model, y, yhat) from expanding folds: every fit sees only earlier rows.
 
-    Fits are independent MLlib jobs, submitted side by side.
+    ``folds`` is ``splits.expanding_folds``, which cuts each series by its own positions, or
+    ``splits.dated_folds``, which cuts all of them at common dates.  Fits are independent MLlib
+    jobs, submitted side by side.
     """
-    folded = splits.expanding_folds(df.na.drop(subset=[*features, label]), k, by, order).persist()
+    folded = folds(df.na.drop(subset=[*features, label]), k, by, order).persist()
     jobs = [(i, name, est) for i in range(1, k + 1) for name, est in models.items()]
 
     def run(job):
@@ -163,9 +165,9 @@ def fold_predictions(df: DataFrame, features: Sequence[str], models: Mapping[str
     return out
 
 
-def linear_fold_predictions(df: DataFrame, features: Sequence[str], penalties: Mapping[str, float], k: int = 5, label: str = "y", by=BY, order=("ts",), keep=("series_id", "ts")) -> DataFrame:
+def linear_fold_predictions(df: DataFrame, features: Sequence[str], penalties: Mapping[str, float], k: int = 5, label: str = "y", by=BY, order=("ts",), keep=("series_id", "ts"), folds: Callable[..., DataFrame] = splits.expanding_folds) -> DataFrame:
     """The same for ridge models: all folds and penalties come from one aggregation."""
-    folded = splits.expanding_folds(df.na.drop(subset=[*features, label]), k, by, order)
+    folded = folds(df.na.drop(subset=[*features, label]), k, by, order)
     xs = [F.lit(1.0)] + [F.col(f) for f in features]
     sums = gram.gram_sums(folded.where("part = 'train'"), ["fold"], xs, F.col(label))
     grid = sums.select("*", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(p)).alias("penalty")) for m, p in penalties.items()])))

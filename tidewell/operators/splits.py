@@ -74,6 +74,23 @@ def expanding_folds(df: DataFrame, k: int = 5, by=BY, order=("ts",)) -> DataFram
     return out.withColumn("part", part).where(F.col("part").isNotNull() & (size > 0))
 
 
+def dated_folds(df: DataFrame, k: int = 5, by=BY, order=("ts",)) -> DataFrame:
+    """The same with cuts at dates that all series share: no fold trains on a date that it tests, or on a later one.
+
+    The distinct dates, one row per calendar step, are numbered once; fold i tests a stretch of
+    n//(k+1) of them.  ``by`` does not matter, it is there for callers that swap the two.
+    """
+    date = order[0]
+    dates = df.select(F.col(date).alias("_date")).where("_date IS NOT NULL").distinct()
+    one = Window.partitionBy(F.lit(0))
+    dates = dates.withColumns({"_at": F.row_number().over(one.orderBy("_date")) - 1, "_dates": F.count(F.lit(1)).over(one)})
+    out = df.join(dates, df[date] == F.col("_date")).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    size = F.floor(F.col("_dates") / (k + 1))
+    start = F.col("_dates") - (F.lit(k + 1) - F.col("fold")) * size
+    part = F.when(F.col("_at") < start, "train").when(F.col("_at") < start + size, "test")
+    return out.withColumn("part", part).where(F.col("part").isNotNull() & (size > 0)).drop("_date", "_at", "_dates")
+
+
 def walk_forward(df: DataFrame, points: int = 3, least_train: int = 50, least_val: int = 10, by=BY, order=("ts",)) -> DataFrame:
     """(fold, cut, part): train on everything before a cut, test on a stretch after it.
 

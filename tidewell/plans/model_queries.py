@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.draws import portable_uniform
-from tidewell.operators import agents, forecast, gram, models, regimes, relate, splits
+from tidewell.operators import agents, callables, forecast, gram, models, regimes, relate, splits
 from tidewell.operators import summary as sm
 from tidewell.operators import windows as win
 from tidewell.panel import with_position
@@ -366,6 +366,34 @@ def _(spark, sf):
     return f.select("series_id", F.col("step").cast("bigint").alias("step"), q("yhat", 2).alias("yhat"))
 
 
+DATED_SQL = (
+    f"{P.ctes('wide')}, f AS (SELECT series_id, ts, y, lag(y) OVER w AS x FROM wide {WSQL}), k AS (SELECT * FROM f WHERE x IS NOT NULL), "
+    "d AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM k)), "
+    "fo AS (SELECT k.*, CAST(r.k AS BIGINT) AS fold, i, n // 6 AS s, n - (6 - r.k) * (n // 6) AS a FROM k JOIN d USING (ts), range(1, 6) r(k)), "
+    "co AS (SELECT fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS c FROM fo WHERE i < a GROUP BY 1) "
+)
+
+
+@query("mlp8_dated_folds", f"{DATED_SQL} SELECT series_id, {sday('ts')} AS d, fo.fold, {sq('c + b * x', 3)} AS yhat FROM fo JOIN co ON fo.fold = co.fold WHERE i >= a AND i < a + s")
+def _(spark, sf):
+    df = P.wide(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL")
+    out = models.linear_fold_predictions(df, ["lag_1"], {"linear": 0.0}, folds=splits.dated_folds)
+    return out.select("series_id", day("ts").alias("d"), F.col("fold").cast("bigint").alias("fold"), q("yhat", 3).alias("yhat"))
+
+
+GIVEN_SQL = fold_sql().replace("regr_slope(y, x) AS b, regr_intercept(y, x) AS c", "avg(y) AS mean, sum(x * y) / sum(x * x) AS b").replace("y, c + b * x AS yhat", "y, mean, b * x AS through")
+
+
+@query(
+    "mlp8_given_functions",
+    f"{GIVEN_SQL} SELECT series_id, {sday('ts')} AS d, fold, model, {sq('yhat', 3)} AS yhat FROM (SELECT *, 'mean' AS model, mean AS yhat FROM pr UNION ALL SELECT *, 'origin', through FROM pr)",
+)
+def _(spark, sf):
+    df = P.monthly(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL")
+    out = callables.fold_predictions(df, ["lag_1"], [("mean", callables.mean_model), ("origin", callables.origin_model)])
+    return out.select("series_id", day("ts").alias("d"), F.col("fold").cast("bigint").alias("fold"), "model", q("yhat", 3).alias("yhat"))
+
+
 @query("mlp20_forecast_chain")
 def _(spark, sf):
     return forecast.forecast_chain(P.wide(spark, sf), 6)

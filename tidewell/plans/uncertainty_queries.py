@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.draws import portable_uniform
-from tidewell.operators import augment, drift, gram, intervals, models, monitor, quantile_trees, quantiles, splits
+from tidewell.operators import augment, callables, drift, gram, intervals, models, monitor, quantile_trees, quantiles, splits
 from tidewell.operators import features as feat
 from tidewell.operators import summary as sm
 from tidewell.operators import windows as win
@@ -214,6 +214,18 @@ def _(spark, sf):
     return boot_frame(spark, sf).select("series_id", day("ts").alias("d"), *[q(c, 1).alias(c) for c in ("p025", "p500", "p975")])
 
 
+@query(
+    "unc10_given_function",
+    f"{P.ctes('monthly')}, f AS (SELECT series_id, ts, y, lag(y) OVER w AS x FROM monthly {WSQL}), k AS (SELECT * FROM f WHERE x IS NOT NULL), "
+    f"u AS (SELECT k.*, b, {uniform_sql(42, 'series_id', 'ts', 'b')} AS u FROM k, range(1, 61) r(b)), m AS (SELECT b, sum({poisson_sql('u')} * y) / sum({poisson_sql('u')}) AS m FROM u GROUP BY 1) "
+    f"SELECT series_id, {sday('ts')} AS d, {sq('quantile_cont(m, 0.025)', 2)} AS lower, {sq('quantile_cont(m, 0.5)', 2)} AS median, {sq('quantile_cont(m, 0.975)', 2)} AS upper, count(*) AS fits FROM k, m GROUP BY series_id, ts",
+)
+def _(spark, sf):
+    df = P.monthly(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL")
+    out = callables.bootstrap_intervals(df, df, ["lag_1"], callables.mean_model, 60, draw=portable_uniform)
+    return out.select("series_id", day("ts").alias("d"), *[q(c, 2).alias(c) for c in ("lower", "median", "upper")], "fits")
+
+
 @query(
     "unc11_bootstrap_normal_bands",
     f"{BOOT_SQL} SELECT series_id, {sday('ts')} AS d, {sq('mean', 1)} AS mean, {sq('std', 1)} AS std, {sq('mean - 1.96 * std', 1)} AS ci_lo, {sq('mean + 1.96 * std', 1)} AS ci_hi, {sq('mean - 2.576 * std', 1)} AS pi_lo, {sq('mean + 2.576 * std', 1)} AS pi_hi FROM g",
