@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import distribution as dist
 from tidewell.functions.draws import gaussian, poisson_one, uniform
-from tidewell.operators import agents, augment, drift, forecast, intervals, models, monitor, summary
+from tidewell.operators import agents, augment, callables, drift, forecast, intervals, models, monitor, summary
 from tidewell.operators import windows as win
 
 LAGS = ["lag_1", "lag_2"]
@@ -274,17 +274,93 @@ def test_normal_plot(spark):
 
 
 def test_registry(panel, spark, tmp_path):
-    agent = agents.get_agent("ar1")
-    path = agent.fit(panel).save(str(tmp_path / "ar1"))
-    got = agent.load(spark, path).predict(panel)
+    path = str(tmp_path / "ar1")
+    agents.get_agent("ar1").fit(panel).save(path)
+    got = agents.PanelModel.load(path).predict(panel)
     want = forecast.ar1_forecast(panel, 1).select("series_id", "yhat")
     both = got.join(want, "series_id").toPandas()
     assert np.allclose(both["mu"].astype(float), both["yhat"].astype(float), equal_nan=True)
-    assert agents.get_agent("harmonics", k=2).fit(panel).transform(panel).count() == panel.count()
     with pytest.raises(KeyError):
         agents.get_agent("nope")
 
 
+@pytest.mark.parametrize("name", sorted(agents.REGISTRY))
+def test_component_saves_loads_and_predicts(panel, tmp_path, name):
+    fitted = agents.get_agent(name).fit(panel)
+    path = str(tmp_path / name)
+    fitted.save(path)
+    back = agents.PanelModel.load(path)
+    assert back.uid == fitted.uid and back.getOrDefault("component") == name
+
+    def rows(df):
+        return sorted(str(tuple(r)) for r in df.collect())
+
+    assert rows(back.transform(panel)) == rows(fitted.transform(panel))
+    ahead = back.predict(panel).collect()
+    assert {r["series_id"] for r in ahead} == {"a", "b", "short"} and all(r["mu"] is not None and r["mode"] in ("predict", "naive") for r in ahead)
+
+
+def test_components_in_a_pipeline(panel, tmp_path):
+    from pyspark.ml import Pipeline
+
+    stages = [agents.get_agent("profile"), agents.get_agent("harmonics", k=2), agents.get_agent("ar1")]
+    fitted = Pipeline(stages=stages).fit(panel)
+    fitted.save(str(tmp_path / "whole"))
+    Pipeline(stages=stages).save(str(tmp_path / "plan"))
+    want = sorted(str(tuple(r)) for r in fitted.transform(panel).collect())
+    assert sorted(str(tuple(r)) for r in PipelineModel.load(str(tmp_path / "whole")).transform(panel).collect()) == want
+    again = Pipeline.load(str(tmp_path / "plan")).fit(panel)
+    assert sorted(str(tuple(r)) for r in again.transform(panel).collect()) == want
+
+
+def test_each_model_is_judged_alone(framed, tmp_path):
+    good = models.on_features(models.linear(), LAGS).fit(framed)
+    text = models.on_features(models.linear(), ["code"]).fit(framed.withColumn("code", F.col("lag_1")))
+    path = str(tmp_path / "good")
+    good.save(path)
+    test = framed.drop("lag_2").withColumn("code", F.lit("x"))
+    got = {r["model"]: r for r in models.evaluate_each({"good": good, "saved": path, "text": text, "gone": str(tmp_path / "gone")}, test).collect()}
+    want = models.evaluate_models({"good": good}, test, LAGS).first()
+    for name in ("good", "saved"):
+        assert got[name]["filled"] == ["lag_2"] and got[name]["rmse"] == pytest.approx(want["rmse"]) and got[name]["eval_error"] is None
+    assert got["text"]["rmse"] is None and "code" in got["text"]["eval_error"]
+    assert got["gone"]["load_error"] and got["gone"]["eval_error"] is None
+
+
+def test_given_functions(spark, framed):
+    rows = framed.toPandas()
+
+    def broken(x, y):
+        if len(y) > 60:
+            raise RuntimeError("too many")
+        return callables.mean_model(x, y)
+
+    out = callables.fold_predictions(framed, LAGS, [("mean", callables.mean_model), ("broken", broken)], 3).toPandas()
+    assert set(out["model"]) == {"mean", "broken"} and out[out["model"] == "mean"]["error"].isna().all()
+    bad = out[out["error"].notna()]
+    assert len(bad) and set(bad["model"]) == {"broken"} and bad["yhat"].isna().all() and bad["error"].str.contains("too many").all()
+    with pytest.raises(ValueError, match="most_rows"):
+        callables.bootstrap_intervals(framed, framed, LAGS, callables.mean_model, 3, most_rows=10)
+    got = callables.bootstrap_intervals(framed, framed.limit(5), LAGS, callables.mean_model, 80).toPandas()
+    sd = rows["y"].std() / math.sqrt(len(rows))
+    assert (got["fits"] == 80).all() and ((got["median"] - rows["y"].mean()).abs() < sd).all()
+    assert ((got["upper"] - got["lower"]).between(2 * sd, 6 * sd)).all()
+
+
+def test_dated_folds_see_no_later_date(spark):
+    import datetime as dt
+
+    from tidewell.operators import splits
+
+    rows = [(k, dt.datetime(2000 + (s + i) // 12, (s + i) % 12 + 1, 1), float(i)) for k, s, n in (("long", 0, 60), ("late", 40, 20), ("early", 0, 12)) for i in range(n)]
+    folded = splits.dated_folds(spark.createDataFrame(rows, "series_id string, ts timestamp, y double"), 5).toPandas()
+    for _, g in folded.groupby("fold"):
+        assert g[g["part"] == "train"]["ts"].max() < g[g["part"] == "test"]["ts"].min()
+    assert sorted(folded["fold"].unique()) == [1, 2, 3, 4, 5]
+    late = splits.expanding_folds(spark.createDataFrame(rows, "series_id string, ts timestamp, y double"), 5).toPandas()
+    assert any(g[g["part"] == "train"]["ts"].max() > g[g["part"] == "test"]["ts"].min() for _, g in late.groupby("fold"))
+
+
 def test_sample_statistics(spark):
     rng = np.random.default_rng(7)
     d = rng.normal(size=(40, 3))

@@ -143,6 +143,64 @@ def forecast_chain(df: DataFrame, horizon: int, least_rows=(36, 12), by=BY, orde
     return joined.select(*by, "step", F.coalesce(*good.values()).alias("yhat"), method.alias("method"))
 
 
+def hour_profile_forecast(df: DataFrame, horizon: int, days: int = 7, by=BY) -> DataFrame:
+    """(by..., step, yhat): the mean of the same hour over the last days, else the last value; steps are hours."""
+    end = df.groupBy(*by).agg(F.max("ts").alias("_end"), F.max_by("y", "ts").alias("_last"))
+    recent = df.join(end, list(by)).where(F.col("ts") > F.col("_end") - F.expr(f"INTERVAL {days} DAYS"))
+    profile = recent.groupBy(*by, F.hour("ts").alias("_hour")).agg(F.avg("y").alias("_mean"))
+    steps = end.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    steps = steps.withColumn("_hour", ((F.hour("_end") + F.col("step")) % 24).cast("int"))
+    return steps.join(profile, [*by, "_hour"], "left").select(*by, "step", F.coalesce("_mean", "_last").alias("yhat"))
+
+
+#: Methods in order of preference, and what a series must have: rows, and seconds between them.
+ROUTES = (
+    ("lagged", 198, 0.0, 2 * 3600.0),  # hourly, with 30 rows beyond the longest lag
+    ("trend_season", 36, 20 * 86400.0, 45 * 86400.0),  # monthly
+    ("ar1", 12, 2 * 3600.0, math.inf),
+    ("hour_profile", 24, 0.0, 2 * 3600.0),
+    ("naive", 1, 0.0, math.inf),
+)
+
+
+def routed(df: DataFrame, routes=ROUTES, by=BY) -> DataFrame:
+    """(by..., n, gap, method): the first method whose needs a series meets; one pass."""
+    sizes = df.where("y IS NOT NULL").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("_a"), F.max("ts").alias("_b"))
+    span = F.unix_timestamp(F.col("_b").cast("timestamp")) - F.unix_timestamp(F.col("_a").cast("timestamp"))
+    sizes = sizes.withColumn("gap", F.coalesce(span / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0)))
+    method = F.coalesce(*[F.when((F.col("n") >= rows) & (F.col("gap") >= low) & (F.col("gap") <= high), F.lit(m)) for m, rows, low, high in routes])
+    return sizes.select(*by, "n", "gap", method.alias("method"))
+
+
+def routed_forecast(df: DataFrame, horizon: int, routes=ROUTES, lags: Sequence[int] = (1, 24, 168), by=BY, order=("ts",)) -> DataFrame:
+    """(by..., step, yhat, method): every series goes to the first method that can run on it.
+
+    A method is fitted on its own series only.  Where it ends without a finite value, the last
+    value is repeated and the method is called naive.
+    """
+    route = routed(df, routes, by)
+    rows = df.where("y IS NOT NULL").join(route.select(*by, "method"), list(by))
+
+    def own(method: str) -> DataFrame:
+        return rows.where(F.col("method") == method).drop("method")
+
+    made = {
+        "lagged": lambda d: linear_recursive_forecast(d, horizon, lags, 1e-6, 0.9, by, order),
+        "trend_season": lambda d: trend_season_forecast(d, horizon, by=by, order=order),
+        "ar1": lambda d: ar1_forecast(d, horizon, by=by, order=order),
+        "hour_profile": lambda d: hour_profile_forecast(d, horizon, by=by),
+        "naive": lambda d: persistence(d, horizon, by),
+    }
+    out = None
+    for method, *_ in routes:
+        part = made[method](own(method)).select(*by, F.col("step").cast("int").alias("step"), F.col("yhat").alias("_v"), F.lit(method).alias("method"))
+        out = part if out is None else out.unionByName(part)
+    last = persistence(df.where("y IS NOT NULL"), horizon, by).select(*by, F.col("step").cast("int").alias("step"), "last_y")
+    good = F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") < math.inf)
+    both = last.join(out, [*by, "step"], "left")
+    return both.select(*by, "step", F.when(good, F.col("_v")).otherwise(F.col("last_y")).alias("yhat"), F.when(good, F.col("method")).otherwise("naive").alias("method"))
+
+
 def with_fallback(df: DataFrame, prediction: str, feature: str, y="y", by=BY, order=("ts",)) -> DataFrame:
     """mu, var, mode: the prediction, else a feature column, else mean and variance of the last 12 rows."""
     naive = win.naive_forecast(df, y, 12, by, order).select(*by, F.col("mu").alias("_m"), F.col("var").alias("_v"))

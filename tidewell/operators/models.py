@@ -296,6 +296,66 @@ def evaluate_models(models: Mapping[str, object], test: DataFrame, expected: Seq
     return sm.regression_metrics(out, ["model"])
 
 
+def needed_columns(model) -> list[str]:
+    """Input columns of a pipeline's assemblers that no earlier stage makes."""
+    wanted, made = [], set()
+    for stage in getattr(model, "stages", [model]):
+        if isinstance(stage, VectorAssembler):
+            wanted += [c for c in stage.getInputCols() if c not in made]
+        for name in ("outputCol", "predictionCol"):
+            if stage.hasParam(name) and stage.isDefined(name):
+                made.add(stage.getOrDefault(name))
+        if stage.hasParam("outputCols") and stage.isDefined("outputCols"):
+            made.update(stage.getOrDefault("outputCols"))
+    return list(dict.fromkeys(wanted))
+
+
+EVALUATION = "model string, n long, mae double, mse double, rmse double, r2 double, filled array<string>, load_error string, eval_error string"
+
+
+def evaluate_each(models: Mapping[str, object], test: DataFrame, label: str = "y", parallel: int = 4) -> DataFrame:
+    """One row per model: its metrics on the table, or the text of what went wrong.
+
+    A value of ``models`` is a fitted pipeline or the path of a saved one.  Every model is a job
+    of its own, side by side with the others, and a failure stays with its model.  Columns that
+    a model misses are filled with 0, and named, only when it cannot predict without them.
+    Rows without a prediction take no part.
+    """
+    from pyspark.ml import PipelineModel
+
+    def text(failed: Exception) -> str:
+        return f"{type(failed).__name__}: {failed}".split("\n")[0][:500]
+
+    def measure(model, table: DataFrame):
+        out = model.transform(table).select(F.lit(0).alias("g"), F.col(label).alias("y"), F.col("prediction").alias("yhat")).where("yhat IS NOT NULL")
+        return sm.regression_metrics(out, ["g"]).first()
+
+    def run(item):
+        name, model = item
+        row = {"model": name, "filled": []}
+        try:
+            model = PipelineModel.load(model) if isinstance(model, str) else model
+        except Exception as failed:
+            return row | {"load_error": text(failed)}
+        try:
+            got = measure(model, test)
+        except Exception as failed:
+            missing = [c for c in needed_columns(model) if c not in test.columns]
+            if not missing:
+                return row | {"eval_error": text(failed)}
+            row["filled"] = missing
+            try:
+                got = measure(model, test.withColumns({c: F.lit(0.0) for c in missing}))
+            except Exception as again:
+                return row | {"eval_error": text(again)}
+        return row | ({c: got[c] for c in ("n", "mae", "mse", "rmse", "r2")} if got else {"eval_error": "no row has a prediction"})
+
+    with ThreadPoolExecutor(parallel) as pool:
+        rows = list(pool.map(run, models.items()))
+    names = [c.split()[0] for c in EVALUATION.split(", ")]
+    return test.sparkSession.createDataFrame([tuple(r.get(c) for c in names) for r in rows], EVALUATION)
+
+
 # --- importance --------------------------------------------------------------------------------
 
 

@@ -84,7 +84,8 @@ def wavelet_energies(df: DataFrame, y="y") -> DataFrame:
         v = pdf.sort_values("ts")["y"].to_numpy(float)
         levels = max(int(math.floor(math.log2(max(len(v), 1) / 7))), 0) if len(v) >= 14 else 0
         rows = _filter_bank(v, levels) if levels else []
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "level": [r[0] for r in rows], "energy": [r[1] for r in rows]})
+        names = np.full(len(rows), pdf["series_id"].iloc[0], dtype=object)
+        return pd.DataFrame({"series_id": names, "level": np.array([r[0] for r in rows], dtype=object), "energy": np.array([r[1] for r in rows], float)})
 
     narrow = df.select("series_id", "ts", F.col(y).alias("y")).where(F.col(y).isNotNull())
     return narrow.groupBy("series_id").applyInPandas(energies, "series_id string, level string, energy double")
@@ -184,7 +185,7 @@ def koopman_modes(df: DataFrame, y="y", lag: int = 3, by=BY, order=("ts",)) -> D
         upper = np.triu_indices(d)
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                if r.g0 is None or r.g0[0] is None:
+                if r.g0 is None or pd.isna(r.g0[0]):  # no state has a successor
                     continue
                 a = np.zeros((d, d))
                 a[upper] = np.asarray(r.g0, float)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -410,6 +410,46 @@ def _(spark, sf):
     return f.select("series_id", F.col("step").cast("bigint").alias("step"), q("yhat", 2).alias("yhat"), "method")
 
 
+MIXED = (("h:", "hourly", None), ("s:", "hourly", 5), ("d:", "daily", None), ("n:", "daily", 8), ("m:", "monthly", None))
+
+
+def mixed_panel(spark, sf):
+    """Hourly, daily and monthly series, some cut to their last days."""
+    out = None
+    for mark, name, days in MIXED:
+        df = getattr(P, name)(spark, sf)
+        if days:
+            end = df.groupBy("series_id").agg(F.max("ts").alias("end"))
+            df = df.join(end, "series_id").where(F.col("ts") > F.col("end") - F.expr(f"INTERVAL {days} DAYS")).drop("end")
+        df = df.select(F.concat(F.lit(mark), "series_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), "y")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+MIXED_SQL = (
+    P.ctes("hourly", "daily", "monthly") + ", mx AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{m}' || series_id AS series_id, CAST(ts AS TIMESTAMP) AS ts, y FROM {n}" + (f" QUALIFY ts > max(ts) OVER (PARTITION BY series_id) - INTERVAL {d} DAY" if d else "") for m, n, d in MIXED
+    )
+    + "), z AS (SELECT series_id, count(*) AS n, max(ts) AS b, max_by(y, ts) AS l, coalesce((epoch(max(ts)) - epoch(min(ts))) / nullif(count(*) - 1, 0), 0) AS gap FROM mx WHERE y IS NOT NULL GROUP BY 1), "
+    "ro AS (SELECT *, CASE WHEN n >= 198 AND gap <= 7200 THEN 'lagged' WHEN n >= 36 AND gap BETWEEN 20 * 86400 AND 45 * 86400 THEN 'trend_season' WHEN n >= 12 AND gap >= 7200 THEN 'ar1' WHEN n >= 24 AND gap <= 7200 THEN 'hour_profile' ELSE 'naive' END AS method FROM z), "
+    "lg AS (SELECT series_id, y, lag(y) OVER (PARTITION BY series_id ORDER BY ts) AS x FROM mx), "
+    "co AS (SELECT series_id, regr_slope(y, x) AS phi, regr_intercept(y, x) AS c FROM lg WHERE x IS NOT NULL GROUP BY 1), "
+    "hp AS (SELECT mx.series_id, hour(ts) AS h, avg(y) AS m FROM mx JOIN z USING (series_id) WHERE ts > b - INTERVAL 7 DAY GROUP BY 1, 2) "
+)
+
+
+@query(
+    "mlp20_routed_forecast",
+    f"{MIXED_SQL} SELECT ro.series_id, CAST(k AS BIGINT) AS step, method, {sq('CASE method WHEN ' + chr(39) + 'naive' + chr(39) + ' THEN l WHEN ' + chr(39) + 'ar1' + chr(39) + ' THEN c * (1 - pow(phi, k)) / (1 - phi) + pow(phi, k) * l WHEN ' + chr(39) + 'hour_profile' + chr(39) + ' THEN coalesce(m, l) END', 3)} AS yhat "
+    "FROM ro JOIN co USING (series_id) JOIN range(1, 13) r(k) ON true LEFT JOIN hp ON ro.series_id = hp.series_id AND hp.h = (hour(b) + k) % 24",
+)
+def _(spark, sf):
+    f = forecast.routed_forecast(mixed_panel(spark, sf), 12)
+    plain = F.when(F.col("method").isin("naive", "ar1", "hour_profile"), F.col("yhat"))  # the others have closed forms of their own queries
+    return f.select("series_id", F.col("step").cast("bigint").alias("step"), "method", q(plain, 3).alias("yhat"))
+
+
 @query("mlp21_ensemble_mean", f"{P.ctes('wide')}, {P.forecasts_sql('wide')} SELECT series_id, {sday('ts')} AS d, {sq('avg(yhat)', 3)} AS ensemble, count(*) AS members FROM ml GROUP BY series_id, ts")
 def _(spark, sf):
     e = forecast.ensemble_mean(P.forecasts(P.wide(spark, sf)), ["series_id", "ts"])
@@ -463,9 +503,22 @@ def _(spark, sf):
 def _(spark, sf):
     m = P.monthly(spark, sf)
     path = scratch_path(spark, "ar1")
-    agent = agents.get_agent("ar1")
-    agent.fit(m).save(path)
-    return agent.load(spark, path).predict(m).select("series_id", q("mu", 3).alias("mu"), "mode")
+    agents.get_agent("ar1").fit(m).save(path)
+    return agents.PanelModel.load(path).predict(m).select("series_id", q("mu", 3).alias("mu"), "mode")
+
+
+@query(
+    "mlp25_pipeline_of_components",
+    f"{P.ctes('monthly')}, {OLS_SQL}, co AS (SELECT series_id, regr_slope(y, x) AS phi, regr_intercept(y, x) AS c FROM k GROUP BY 1), "
+    "pr AS (SELECT series_id, month(ts) AS m, avg(y) AS profile FROM monthly GROUP BY 1, 2) "
+    f"SELECT f.series_id, {sday('ts')} AS d, {sq('profile', 3)} AS profile, {sq('c + phi * x', 3)} AS fitted FROM f JOIN co USING (series_id) JOIN pr ON f.series_id = pr.series_id AND month(ts) = m",
+)
+def _(spark, sf):
+    m = P.monthly(spark, sf)
+    path = scratch_path(spark, "components")
+    Pipeline(stages=[agents.get_agent("profile"), agents.get_agent("ar1")]).fit(m).save(path)
+    out = PipelineModel.load(path).transform(m)
+    return out.select("series_id", day("ts").alias("d"), q("profile", 3).alias("profile"), q("fitted", 3).alias("fitted"))
 
 
 TWO_SQL = (
@@ -499,6 +552,18 @@ def _(spark, sf):
     return m.select("model", "n", q("mae", 2).alias("mae"), q("rmse", 2).alias("rmse"))
 
 
+@query(
+    "mlp26_one_job_per_model",
+    TWO_SQL.replace("{two}", "0") + f" SELECT model, n, {sq('mae', 2)} AS mae, {sq('rmse', 2)} AS rmse, CASE model WHEN 'two' THEN 'lag_2' ELSE '' END AS filled, false AS not_loaded, false AS failed FROM e "
+    "UNION ALL VALUES ('gone', NULL, NULL, NULL, '', true, false), ('text', NULL, NULL, NULL, '', false, true)",
+)
+def _(spark, sf):
+    train, test = two_parts(spark, sf)
+    fits = two_fits(train) | {"gone": scratch_path(spark, "no-such-model"), "text": models.on_features(models.linear(), ["code"]).fit(train.withColumn("code", F.col("lag_1")))}
+    m = models.evaluate_each(fits, test.drop("lag_2").withColumn("code", F.lit("x")))
+    return m.select("model", "n", q("mae", 2).alias("mae"), q("rmse", 2).alias("rmse"), F.array_join("filled", ",").alias("filled"), F.col("load_error").isNotNull().alias("not_loaded"), F.col("eval_error").isNotNull().alias("failed"))
+
+
 @query("reg3_smoothed_boosting")
 def _(spark, sf):
     names = ["lag_1", "lag_2", "lag_3"]
