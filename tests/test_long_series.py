@@ -125,3 +125,21 @@ def test_value_bin_grows_with_value(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, v double")
     bins = [r["b"] for r in df.orderBy("i").select(quantiles.value_bin(F.col("v")).alias("b")).collect()]
     assert bins == sorted(bins)
+
+
+def test_long_change_points_equal_the_search_per_series(spark):
+    import numpy as np
+
+    from tidewell.operators import regimes
+
+    rng = np.random.default_rng(12)
+    rows, want = [], set()
+    for name, n, level in (("a", 30000, 100.0), ("b", 700, 0.0), ("c", 1, 5.0), ("d", 9, -3.0)):
+        steps = np.repeat(rng.normal(0, 2, n // 500 + 1), 500)[:n]
+        v = level + steps + rng.normal(size=n)
+        rows += [(name, i, float(x)) for i, x in enumerate(v)]
+        want |= {(name, c) for c in regimes._pelt(v, 25.0, 2, 5)}
+    df = spark.createDataFrame(rows, "series_id string, i long, y double").selectExpr("series_id", "i", "y", "timestamp_seconds(i * 60) AS ts").repartition(7)
+    got = {tuple(r) for r in regimes.long_change_points(df, 25.0, tie=("i",)).collect()}
+    assert got == want and len(want) > 20
+    assert regimes.long_change_points(df.limit(0), 25.0).count() == 0

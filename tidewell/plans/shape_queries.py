@@ -416,6 +416,24 @@ def _(spark, sf):
     return regimes.change_points(standardised(P.monthly(spark, sf)), PENALTY)
 
 
+LONG_JUMP, LONG_PENALTY = 100, 1500.0
+LONG_SQL = (
+    f"{P.ctes('raw').replace('WITH', 'WITH RECURSIVE')}, m AS (SELECT series_id, avg(y) AS m FROM raw WHERE y IS NOT NULL GROUP BY 1), "
+    "p AS (SELECT series_id, y - m AS x, row_number() OVER w AS e, sum(y - m) OVER w AS c1, sum((y - m) * (y - m)) OVER w AS c2, count(*) OVER (PARTITION BY series_id) AS n FROM raw JOIN m USING (series_id) WHERE y IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY ts, event_id)), "
+    f"k AS (SELECT series_id, e, c1, c2, row_number() OVER (PARTITION BY series_id ORDER BY e) AS i FROM (SELECT series_id, e, c1, c2 FROM p WHERE e = n OR e % {LONG_JUMP} = 0 UNION ALL SELECT DISTINCT series_id, 0, 0.0, 0.0 FROM p)), "
+    "b AS (SELECT series_id, 1::BIGINT AS i, [{'e': 0::BIGINT, 'c1': 0.0::DOUBLE, 'c2': 0.0::DOUBLE, 'f': 0.0::DOUBLE, 'cuts': []::BIGINT[]}] AS s FROM k WHERE i = 1 UNION ALL "
+    "SELECT b.series_id, k.i, list_append(b.s, {'e': k.e, 'c1': k.c1, 'c2': k.c2, 'f': o.f, 'cuts': o.cuts}) FROM b JOIN k ON k.series_id = b.series_id AND k.i = b.i + 1, "
+    f"LATERAL (SELECT u.f + k.c2 - u.c2 - pow(k.c1 - u.c1, 2) / (k.e - u.e) + {LONG_PENALTY} AS f, CASE WHEN u.e > 0 THEN list_append(u.cuts, u.e) ELSE u.cuts END AS cuts FROM (SELECT unnest(b.s) AS u) "
+    f"WHERE k.e - u.e >= 2 ORDER BY u.f + k.c2 - u.c2 - pow(k.c1 - u.c1, 2) / (k.e - u.e), u.e LIMIT 1) o) "
+    "SELECT series_id, unnest(s[-1].cuts) AS breakpoint FROM b QUALIFY i = max(i) OVER (PARTITION BY series_id)"
+)
+
+
+@query("reg1_long_series", LONG_SQL)
+def _(spark, sf):
+    return regimes.long_change_points(P.raw(spark, sf), LONG_PENALTY, tie=("event_id",), jump=LONG_JUMP)
+
+
 CUT_GAIN = 9000.0
 SEGMENT_SQL = (
     f"{P.ctes('raw').replace('WITH', 'WITH RECURSIVE')}, p AS (SELECT series_id, y, row_number() OVER w - 1 AS t, sum(y) OVER w - y AS c FROM raw WINDOW w AS (PARTITION BY series_id ORDER BY ts, event_id)), "
