@@ -209,3 +209,21 @@ def test_gram_is_least_squares(spark):
     assert np.allclose(beta[1:], want[1:], rtol=1e-3)
     m = 1.0 * gram.predict_linear(df, gram.fit_linear(df, ["g"], ["a", "b", "c"]), ["g"], ["a", "b", "c"]).agg(F.avg(F.abs(F.col("yhat") - F.col("y")))).first()[0]
     assert m < 2.0
+
+
+def test_quantiles_of_values_that_share_a_bin(spark):
+    """A million distinct values within 0.01 per cent, and a value that half of the rows have."""
+    import numpy as np
+
+    from tidewell.operators import quantiles
+
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("near").alias("k"), (1.7e9 + F.pmod(F.xxhash64("id"), F.lit(170_000_000)) / 1000.0).alias("v"))
+    half = spark.range(200_000).select(F.lit("half").alias("k"), F.when(F.col("id") % 2 == 0, 5.0).otherwise(5.0 + F.col("id") * 1e-9).alias("v"))
+    both = df.unionByName(half)
+    probs = {"a": 0.001, "b": 0.25, "c": 0.5, "d": 0.9}
+    got = {(r["k"], r["label"]): r["value"] for r in quantiles.order_stats(both, "v", {k: (lambda m, p=p: F.lit(p) * (m - 1)) for k, p in probs.items()}, ["k"], most_in_bin=500).collect()}
+    for k in ("near", "half"):
+        v = both.where(F.col("k") == k).toPandas()["v"].to_numpy()
+        for label, p in probs.items():
+            assert got[(k, label)] == pytest.approx(np.quantile(v, p), rel=1e-15)
