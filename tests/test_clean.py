@@ -116,3 +116,19 @@ def test_sources_and_sinks(spark, make_panel, tmp_path):
 def test_role_precedence(spark):
     df = spark.createDataFrame([("stack_lgb.bin",), ("XGB.bin",), ("rf_x",), ("catboost",), ("meta1",), ("ridge",)], "n string")
     assert [r[0] for r in df.select(readers.role_of(F.col("n"))).collect()] == ["lgb", "xgb", "rf", "cat", "meta", "other"]
+
+
+@pytest.mark.parametrize("name_bytes", [1 << 20, 0])
+def test_contains_join_by_scan_and_by_pieces(spark, name_bytes):
+    import random
+
+    from tidewell.operators import relate
+
+    rng = random.Random(5)
+    names = ["abcdef", "abcdefgh", "bcdefa", "été-été", "日本語日本語", "a" * 20, "nowhere", None, "", "x\ny\nz\nx"]
+    texts = ["".join(rng.choice(["abcdef", "gh", "a", "b", "été-", "日本語", " ", "x\ny\nz\n"]) for _ in range(rng.randint(0, 30))) for _ in range(80)] + ["a" * 25, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(3)
+    found = relate.contains_join(rows, "k", "text", spark.createDataFrame([(n,) for n in names * 2], "name string"), "name", 6, name_bytes)
+    want = {(i, n) for i, t in enumerate(texts) for n in names if t and n and n in t}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 60

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +28,70 @@ def concat_columns(left: DataFrame, right: DataFrame, by=BY, order=("ts",)) -> D
     return a.join(b, [*by, "t"], "left")
 
 
-def contains_join(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, q: int = 6) -> DataFrame:
-    """Distinct (key, name) pairs in which ``text`` holds ``name`` as a substring.
+#: Bytes of names that may travel with the job; beyond that, pieces of the texts meet them in a join.
+NAME_BYTES = 32 << 20
+
+
+def contains_join(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, q: int = 6, name_bytes: int = NAME_BYTES) -> DataFrame:
+    """Distinct (key, name) pairs in which ``text`` holds ``name`` as a substring."""
+    names = names.select(F.col(name).cast("string").alias(name)).where(F.length(name) > 0).distinct()
+    size = names.agg(F.sum(F.octet_length(name)), F.min(F.octet_length(name))).first()
+    if size[0] is None:
+        return rows.select(key).limit(0).withColumn(name, F.lit(None).cast("string"))
+    if size[0] <= name_bytes:
+        return _scan(rows, key, text, [r[0] for r in names.collect()], name, min(q, size[1]))
+    return _pieces_join(rows, key, text, names, name, q)
+
+
+def _scan(rows: DataFrame, key: str, text: str, names: Sequence[str], name: str, q: int) -> DataFrame:
+    """One pass over the texts: only places whose next ``q`` bytes begin a name are looked at."""
+    known = [n.encode() for n in names]
+
+    def starts_of(data: np.ndarray) -> np.ndarray:
+        h = np.zeros(max(0, len(data) - q + 1), np.uint64)
+        for j in range(q):
+            h = h * np.uint64(0x100000001B3) + data[j : j + len(h)]
+        return h * np.uint64(0x9E3779B97F4A7C15)
+
+    lengths: dict[int, set[int]] = {}
+    for n in known:
+        lengths.setdefault(int(starts_of(np.frombuffer(n[:q], np.uint8))[0]), set()).add(len(n))
+    shared = rows.sparkSession.sparkContext.broadcast((frozenset(known), lengths))
+    kind = rows.schema[key].dataType
+
+    def find(batches):
+        wanted, sizes = shared.value
+        first = np.zeros(1 << 16, bool)
+        first[[h >> 48 for h in sizes]] = True
+        for batch in batches:
+            column = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            raw = column.buffers()[2]
+            data = np.frombuffer(raw, np.uint8) if raw is not None and len(column) else np.zeros(0, np.uint8)
+            places, found = [], []
+            for row in range(len(column)):
+                own = data[offsets[row] : offsets[row + 1]]
+                h = starts_of(own)
+                hits = np.flatnonzero(first[h >> np.uint64(48)])
+                if len(hits):
+                    body = own.tobytes()
+                    here = {piece for at, start in zip(hits.tolist(), h[hits].tolist()) for n in sizes.get(start, ()) if (piece := body[at : at + n]) in wanted}
+                    places += [row] * len(here)
+                    found += sorted(here)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array([f.decode() for f in found], pa.string())], [key, name])
+
+    return rows.select(key, F.col(text).cast("string")).mapInArrow(find, f"`{key}` {kind.simpleString()}, `{name}` string").distinct()
+
+
+def _pieces_join(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, q: int) -> DataFrame:
+    """For more names than may travel with the job.
 
     Every place in a text gives the piece that starts there.  Pieces meet the
     names' first letters (an equi-join that drops almost all places), then the
     piece cut to each length known for those letters must equal a name.  Each
     place and length meets at most one name, so no pair is tried in vain.
     """
-    names = names.select(name).where(F.length(name) > 0).distinct()
     spread = names.agg(F.min(F.length(name)).alias("lo"), F.max(F.length(name)).alias("hi")).first()
-    if spread["lo"] is None:
-        return rows.select(key).limit(0).withColumn(name, F.lit(None).cast("string"))
     q = min(q, spread["lo"])
     starts = names.groupBy(F.substr(F.col(name), F.lit(1), F.lit(q)).alias("_start")).agg(F.collect_set(F.length(name)).alias("_lengths"))
     pieces = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{q},{spread['hi']}}}))"), F.lit(1)))
