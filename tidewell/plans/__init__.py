@@ -8,7 +8,7 @@ from tidewell.plans import registry
 
 MODULES = (
     "window_queries", "clean_queries", "summary_queries", "shape_queries",
-    "uncertainty_queries", "model_queries", "source_queries", "stream_queries", "report_queries",
+    "uncertainty_queries", "model_queries", "source_queries", "stream_queries", "report_queries", "exact_queries",
 )
 
 
