@@ -39,6 +39,30 @@ def gram_sums(df: DataFrame, by: Sequence[str], xs: Sequence[Column], y: Column,
     return agg.select(*by, "n", "sum_w", "yy", xtx.alias("xtx"), xty.alias("xty"))
 
 
+def weighted_sums(df: DataFrame, weights: Column, xs: Sequence[Column], y: Column, out: str = "b") -> DataFrame:
+    """The same sums for many weightings of the same rows: one row per place (from 1) of the array ``weights``.
+
+    No row is copied: a batch multiplies its weights with its products as matrices and passes on
+    one line per weighting.
+    """
+    p = len(xs)
+    base = df.select(weights.cast("array<double>").alias("_w"), *[x.cast("double").alias(f"_x{i}") for i, x in enumerate(xs)], y.cast("double").alias("_y"))
+    names = ["n", "sum_w", "yy", *[f"_g{i}_{j}" for i in range(p) for j in range(i, p)], *[f"_r{i}" for i in range(p)]]
+
+    def add(batches):
+        for pdf in batches:
+            if len(pdf):
+                w = np.vstack(pdf["_w"].to_numpy())
+                x, t = pdf[[f"_x{i}" for i in range(p)]].to_numpy(float), pdf["_y"].to_numpy(float)
+                cells = [t * t, *[x[:, i] * x[:, j] for i in range(p) for j in range(i, p)], *[x[:, i] * t for i in range(p)]]
+                sums = np.column_stack([(w > 0).sum(0), w.sum(0), w.T @ np.column_stack(cells)])
+                yield pd.DataFrame({out: np.arange(1, w.shape[1] + 1, dtype=np.int32)} | {c: sums[:, i] for i, c in enumerate(names)})
+
+    agg = base.mapInPandas(add, f"{out} int, " + ", ".join(f"{c} double" for c in names)).groupBy(out).agg(*[F.sum(c).alias(c) for c in names])
+    xtx = F.array(*[F.col(f"_g{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)])
+    return agg.select(out, F.col("n").cast("bigint").alias("n"), "sum_w", "yy", xtx.alias("xtx"), F.array(*[F.col(f"_r{i}") for i in range(p)]).alias("xty"))
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(xtx: pd.Series, xty: pd.Series, penalty: pd.Series) -> pd.Series:
     """Scaled pseudo-inverse solve of each row's normal equations."""

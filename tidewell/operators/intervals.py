@@ -120,10 +120,19 @@ def calibration_curve(draws: DataFrame, point: Sequence[str], levels: Sequence[f
 
 
 def calibration_band(draws: DataFrame, point: Sequence[str], levels: Sequence[float], n_boot: int = 200, seed: int = 42, y="y", draw: Draw = uniform) -> DataFrame:
-    """Bootstrap 95 % band of the calibration curve: Poisson weights per point and draw."""
-    flags = level_flags(draws, point, levels, y).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    weighted = flags.withColumn("w", poisson_one(seed, [*point, "b"], draw))
-    curves = weighted.groupBy("level", "b").agg((F.sum(F.col("w") * F.col("inside")) / F.nullif(F.sum("w"), F.lit(0))).alias("coverage"))
+    """Bootstrap 95 % band of the calibration curve: Poisson weights per point and draw.
+
+    A point carries its weights as an array; a batch passes on one line per level and draw.
+    """
+    flags = level_flags(draws, point, levels, y).where("inside IS NOT NULL").select("level", "inside", draw_weights(n_boot, seed, point, draw).cast("array<double>").alias("w"))
+
+    def add(batches):
+        for pdf in batches:
+            for level, part in pdf.groupby("level"):
+                w = np.vstack(part["w"].to_numpy())
+                yield pd.DataFrame({"level": level, "b": np.arange(1, n_boot + 1, dtype=np.int32), "hit": w.T @ part["inside"].to_numpy(float), "all": w.sum(0)})
+
+    curves = flags.mapInPandas(add, "level double, b int, hit double, all double").groupBy("level", "b").agg((F.sum("hit") / F.nullif(F.sum("all"), F.lit(0.0))).alias("coverage"))
     return curves.groupBy("level").agg(F.percentile("coverage", F.lit(0.025)).alias("lower"), F.percentile("coverage", F.lit(0.975)).alias("upper"))
 
 
@@ -182,9 +191,15 @@ def heteroscedastic(train: DataFrame, calibration: DataFrame, test: DataFrame, m
 
 
 def bootstrap_models(train: DataFrame, features: Sequence[str], n_boot: int = 100, seed: int = 42, keys: Sequence[str] = ("series_id", "ts"), y="y", draw: Draw = uniform) -> DataFrame:
-    """(b, beta): one least-squares fit per draw, all from a single aggregation."""
-    copies = train.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("w", poisson_one(seed, [*keys, "b"], draw))
-    return gram.fit_linear(copies.where("w > 0"), ["b"], features, y, weight=F.col("w")).select("b", "beta")
+    """(b, beta): one least-squares fit per draw, all from one pass in which a row carries its draws as an array."""
+    xs = [F.lit(1.0)] + [F.col(f) for f in features]
+    sums = gram.weighted_sums(train.na.drop(subset=[*features, y]), draw_weights(n_boot, seed, keys, draw), xs, F.col(y))
+    return gram.solve(sums).select("b", "beta")
+
+
+def draw_weights(n_boot: int, seed: int, keys: Sequence[str], draw: Draw = uniform) -> Column:
+    """Poisson counts of a row in draws 1..n_boot, by its keys."""
+    return F.transform(F.sequence(F.lit(1), F.lit(n_boot)), lambda b: poisson_one(seed, [*keys, b], draw))
 
 
 def bootstrap_draws(models: DataFrame, df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:

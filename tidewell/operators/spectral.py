@@ -114,23 +114,27 @@ def fit_damped(df: DataFrame, y="y", modes: int = 2, period: int = 12, decays: S
     """Damped cosine sum with fixed frequencies 2 pi (m+1)/period.
 
     Every decay combination is one least-squares problem in cosine and sine
-    terms; all of them are summed up in the same aggregation and the one with
-    the lowest error is kept.  Returns (series_id, mean, sse, params).
+    terms; one aggregation sums the products of all of them, no row is copied,
+    and the combination with the lowest error is kept.  Returns (series_id, mean, sse, params).
     """
     rows = with_position(df.where(F.col(y).isNotNull()), by, order)
     rows = rows.withColumn("mean", F.avg(y).over(Window.partitionBy(*by)))
-    grid = [[]]
-    for _ in range(modes):
-        grid = [g + [d] for g in grid for d in decays]
-    cells = F.explode(F.array(*[F.array(*[F.lit(float(d)) for d in g]) for g in grid]))
-    exploded = rows.withColumn("decay", cells)
-    xs = []
+    # a cosine and a sine per mode and decay; every combination of decays is a part of their sums
+    xs, place = [], {}
     for m in range(modes):
-        damp = F.exp(-F.col("decay")[m] * F.col("t"))
         angle = F.lit(2 * math.pi * (m + 1) / period) * F.col("t")
-        xs += [damp * F.cos(angle), damp * F.sin(angle)]
-    sums = gram.gram_sums(exploded, [*by, "mean", "decay"], xs, F.col(y) - F.col("mean"))
-    fitted = gram.solve(sums)
+        for d in decays:
+            damp = F.exp(F.lit(-float(d)) * F.col("t"))
+            place[m, d] = len(xs)
+            xs += [damp * F.cos(angle), damp * F.sin(angle)]
+    sums = gram.gram_sums(rows, [*by, "mean"], xs, F.col(y) - F.col("mean"))
+    grid = [[]]
+    for _ in range(modes):
+        grid = [g + [float(d)] for g in grid for d in decays]
+    cells = [F.struct(F.array(*[F.lit(d) for d in g]).alias("decay"), F.array(*[F.lit(place[m, d] + i) for m, d in enumerate(g) for i in (0, 1)]).alias("_at")) for g in grid]
+    each = sums.select(*by, "mean", "yy", F.col("xtx").alias("_all"), F.col("xty").alias("_any"), F.inline(F.array(*cells)))
+    part = F.flatten(F.transform("_at", lambda i: F.transform("_at", lambda j: F.get("_all", i * len(xs) + j))))
+    fitted = gram.solve(each.withColumns({"xtx": part, "xty": F.transform("_at", lambda i: F.get("_any", i))}))
     err = gram.sse(F.col("beta"), F.col("xtx"), F.col("xty"), F.col("yy"), 2 * modes)
     best = (
         fitted.withColumn("sse", F.greatest(err, F.lit(0.0)))
