@@ -125,6 +125,54 @@ def test_quality_rules_certify_and_hold(spark):
     assert all(r["kept"] for r in few), "too few labels certify nothing"
 
 
+def test_quality_rules_are_the_certified_ones(spark):
+    """Cutoffs from exact tails over distinct texts, and every verdict that follows from them."""
+    import math
+    from fractions import Fraction
+
+    rng = random.Random(21)
+    rows, marks = [], []
+    for i in range(6000):
+        noise = rng.choice([0, 0, 0, 0, 1, 3]) if i % 4 else rng.choice([2, 6, 12])
+        words = [f"w{rng.randint(0, 10**6)}" + "#" * (noise if rng.random() < 0.4 else 0) for _ in range(60)]
+        lang = ("en", None)[i % 2]
+        text = " ".join(words) + ("\nsame line here" * rng.randint(0, 2))
+        rows += [(3 * i + c, text, lang) for c in range(1 if rng.random() < 0.9 else 3)]
+    rows.append((rows[5][0], rows[6][1], "en"))  # a repeated id
+    marks = [(i, int(i // 3 % 4 > 0), 0) for i, _, _ in rows if rng.random() < 0.9] + [(None, 1, 0), (7, None, 0)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
+
+    def values(text):
+        n, chars, symbols, dup, rep, failed = base(text)
+        lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+        return failed, {"symbol_share": symbols / chars, "dup_line_share": dup / lines, "repeat_share": rep / n, "mean_word": chars / n}
+
+    good = {i for i, q, _ in marks if q == 1}
+    held = collections.defaultdict(dict)
+    for i, t, lang in rows:
+        if i in good and not values(t)[0]:
+            held[lang][t] = values(t)[1]
+    rules, limits = quality_rules.CUTOFFS, {}
+    risk, level = Fraction(2, 100) / len(rules), 0.05 / (len(held) * len(rules))
+    for lang, texts in held.items():
+        n = len(texts)
+        for rule, cuts in rules.items():
+            for cut in cuts:
+                k = sum(v[rule] > cut for v in texts.values())
+                tail = float(sum(math.comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1))) if k < 60 else 1.0
+                if k >= n or tail > level:
+                    break
+                limits[lang, rule] = cut
+    assert len(limits) > 4
+    want = collections.Counter()
+    for i, t, lang in rows:
+        failed, v = values(t)
+        broken = tuple(sorted(r for r in rules if (lang, r) in limits and v[r] > limits[lang, r]))
+        want[(i, failed, not failed and not broken, broken)] += 1
+    assert collections.Counter((r["doc_id"], r["base_failed"], r["kept"], tuple(r["rejected_by"])) for r in got) == want
+    assert sum(not r["kept"] and not r["base_failed"] for r in got) > 50
+
+
 # --- mixing ----------------------------------------------------------------------------
 
 
@@ -418,6 +466,7 @@ def test_language_model(spark):
             assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), total)
             assert got[i]["base_score"] == pytest.approx(sum(np.log10((counts[w] + 1) / (total + distinct + 1)) for w in tokens), rel=1e-9)
             assert got[i]["score"] == pytest.approx(want[i], rel=1e-5, abs=1e-6)
+            assert got[i]["bits_per_byte"] == pytest.approx(-got[i]["score"] * np.log2(10) / (len(t.encode()) + 1), rel=1e-12)
 
 
 def test_language_model_edges(docs, plain, nothing):
@@ -536,6 +585,26 @@ def test_substrings(docs, plain):
         assert multiset(got) == want, "a narrow sketch only costs work"
 
 
+def test_substrings_of_repeated_and_missing_ids(spark):
+    """Rows of one id are ordered by text, rows without id come last: the same for any order of the rows."""
+    rng = random.Random(3)
+    shared = prose(rng, 30)
+    rows = [(i, f"{prose(rng, 3)} {shared} {prose(rng, 2)}") for i in (5, 5, 5, 2, None, None)] + [(5, shared), (None, shared), (None, shared)]
+    first = {t for i, t in rows if i == 2}
+    seen = set()
+    for turn in range(4):
+        rng.shuffle(rows)
+        got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + turn), 10, blocks=1 + turn % 2, texts=True).collect()
+        assert {r["kept_text"] for r in got if r["n_removed"] == 0} == first
+        seen.add((turn % 2, tuple(sorted(str(tuple(r)) for r in got))))
+    assert len(seen) == 2 or len({s for _, s in seen}) == 1
+    # among the rows of one id, the one with the smallest text keeps what no smaller id has
+    two = [(7, "b " + shared), (7, "a " + shared)]
+    for order in (two, two[::-1]):
+        got = substrings.dedup_substrings(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), 10, texts=True).collect()
+        assert {r["kept_text"] for r in got} == {"a " + shared, "b"}
+
+
 def test_suffixes(docs, plain):
     texts = [t.encode() for _, t in plain]
     count = collections.Counter(t[p : p + 200] for t in texts for p in range(len(t) - 199))

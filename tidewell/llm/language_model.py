@@ -31,7 +31,7 @@ GRAMS, TOKENS = 1, 2
 END = np.uint64(0x454E44)
 #: Subtrees of one nearest context byte are spread over so many groups by the second byte.
 SPREAD = 4
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
 def is_held_out(doc_id) -> bool:
@@ -217,12 +217,15 @@ def _top_levels(parts: list[tuple[int, np.ndarray]]) -> dict[int, np.ndarray]:
 
 
 def score_documents(docs: DataFrame, depth: int = 5, blocks: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Documents with crc32(doc_id as text) mod 7 = 2 are held out of training (a null id counts
     as the empty text).  ``score`` is the log10 probability of the whole text under the trees,
     ``base_score`` that of its words and one end under smoothed word counts.  A null text is
     empty and has the end only.  Without training documents every bit has probability 1/2.
+    ``bits_per_byte`` is the code length of the lower-cased bytes and the closing zero byte,
+    over their number; probabilities travel as float32.  Rows that repeat an id or a text are
+    documents of their own, and an empty table gives no rows.
     """
     if not 2 <= depth <= 7:
         raise ValueError("depth must be from 2 to 7")
@@ -328,6 +331,7 @@ def score_documents(docs: DataFrame, depth: int = 5, blocks: int | None = None,
         return pa.table({
             "doc_id": t.ids, "held_out": pa.array(t.held_out), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(known),
             "train_tokens": pa.array(np.full(len(sizes), total, np.int64)), "base_score": pa.array(base), "score": pa.array(score),
+            "bits_per_byte": pa.array(-score * math.log2(10) / np.diff(ends)),
         })
 
     mail = rounds.first_round(dealt, ask)

@@ -83,11 +83,12 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float, alpha: float, stratum: str = "_stratum") -> DataFrame:
     """(_stratum, rule, cutoff): the strictest certified cutoff; strata and rules without one are absent.
 
-    Every labelled good document that the base rules pass counts as holdout: the cutoffs are
-    fixed beforehand, so nothing was fitted to it.
+    Every distinct text with a good label that the base rules pass counts as holdout, once in
+    its stratum: copies are no trials of their own.  The cutoffs are fixed beforehand, so
+    nothing was fitted to it.
     """
     good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("_lid")).distinct()
-    held = measured.filter(~F.col("base_failed")).join(good, F.col("_id") == F.col("_lid"), "left_semi")
+    held = measured.filter(~F.col("base_failed")).join(good, F.col("_id") == F.col("_lid"), "left_semi").dropDuplicates([stratum, "_mark"])
     counts = [F.sum((v > c).cast("long")).alias(f"{r}@{i}") for r, v in rule_values().items() for i, c in enumerate(CUTOFFS[r])]
     totals = held.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *counts)
     grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("nth"), F.lit(c).alias("cutoff"), F.coalesce(F.col(f"`{r}@{i}`"), F.lit(0)).alias("k")) for r in CUTOFFS for i, c in enumerate(CUTOFFS[r])])
@@ -105,11 +106,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, alpha:
 
     The stratum is a column with few values (a language); null is a stratum of its own.
     Labels with a null id or quality are ignored, an empty table gives no rows, and a text
-    without words fails the base rules.
+    without words fails the base rules.  Rows that repeat an id are judged each by their own
+    text; a label holds for all of them.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("-")).alias("_stratum"), F.col(text).alias("_text"))
     path = scratch_path(docs.sparkSession, "measures")
-    measures(rows, "_text").drop("_text").withColumn("base_failed", base_failed()).write.parquet(path)
+    measures(rows, "_text").withColumn("_mark", F.xxhash64(F.coalesce(F.col("_text").cast("string"), F.lit("")))).drop("_text").withColumn("base_failed", base_failed()).write.parquet(path)
     measured = docs.sparkSession.read.parquet(path)
     certified = cutoffs(measured, labels, risk, alpha)
     limits = certified.groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_limits"))

@@ -53,13 +53,13 @@ def _rules_sql() -> str:
         "t AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: {'i': i, 'k': ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]})) AS s FROM w), "
         "r AS (SELECT doc_id, s.i AS i, count(*) OVER (PARTITION BY doc_id, s.k) > 1 AS again FROM t), "
         "c AS (SELECT doc_id, sum(least(3, i - before))::BIGINT AS n_repeat_words FROM (SELECT doc_id, i, lag(i, 1, -9) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r WHERE again) GROUP BY 1), "
-        "m AS (SELECT w.doc_id, coalesce('=' || lang, '-') AS g, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, "
+        "m AS (SELECT w.doc_id, x, coalesce('=' || lang, '-') AS g, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, "
         f"(length(x) - length(regexp_replace(x, '[{quality_rules.SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, "
         "coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)), "
         "b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m), "
-        "v AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, g, base_failed, '{r}' AS rule, {e} AS v FROM b" for r, e in rules.items()) + ")), "
+        "v AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, g, x, base_failed, '{r}' AS rule, {e} AS v FROM b" for r, e in rules.items()) + ")), "
         f"cuts(rule, nth, cutoff) AS (VALUES {grid}), "
-        "h AS (SELECT v.* FROM v WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)), "
+        "h AS (SELECT DISTINCT g, x, rule, v FROM v WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)), "
         "q AS (SELECT g, rule, nth, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM h JOIN cuts USING (rule) GROUP BY ALL), "
         f"ok AS (SELECT *, (CASE WHEN k >= n THEN 1 ELSE {tail} END) <= {ALPHA} / ((SELECT count(DISTINCT g) FROM q) * {len(rules)}) AS ok FROM q), "
         "held AS (SELECT *, bool_and(ok) OVER (PARTITION BY g, rule ORDER BY nth) AS so_far FROM ok), "

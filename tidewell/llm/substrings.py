@@ -23,12 +23,24 @@ NO_ID = (1 << 63) - 1
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+def in_order(ids: np.ndarray, texts) -> np.ndarray:
+    """Rows by id; rows that repeat one by their text, so the order in which they came does not matter."""
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.diff(ids[order], prepend=ids[order[0]] - 1 if len(ids) else 0))
+    for a, b in zip(starts, np.append(starts[1:], len(order))):
+        if b - a > 1:
+            own = order[a:b]
+            known = texts.take(pa.array(own)).to_pylist()
+            order[a:b] = own[sorted(range(b - a), key=known.__getitem__)]
+    return order
+
+
 class Windows:
     """The word windows of a block, documents in order of their id."""
 
     def __init__(self, table: pa.Table, width: int, widths: tuple[int, type]):
         ids = table.column("_id").to_numpy(zero_copy_only=False) if table.column("_id").null_count == 0 else np.array([NO_ID if x is None else x for x in table.column("_id").to_pylist()], np.int64)
-        self.order = np.argsort(ids, kind="stable")
+        self.order = in_order(ids, table.column("_text"))
         table = table.take(pa.array(self.order))
         self.table, self.width = table, width
         self.ids = ids[self.order].astype(np.int64)
@@ -141,8 +153,10 @@ def dedup_substrings(docs: DataFrame, width: int = 20, depth: int = 2, slack_bit
 
     A word goes if a window of ``width`` words covers it whose sequence starts earlier, in a
     smaller doc_id or before in the same document.  A null text has no words; a text shorter
-    than the window loses none.  Rows without id count as last; rows that repeat an id are
-    taken in the order they are read.  Kept words are joined by one space.
+    than the window loses none.  Rows that repeat an id are
+    ordered by their text.  Rows without id count as last, among themselves by the hash block
+    of their text and then by text.  Kept words are joined by one space.  An empty table gives
+    no rows; a block of documents meets in one task, a longer text alone.
     """
     dealt, replies, bits, widths = removed_windows(docs, width, depth, slack_bits, blocks, doc_id, text)
 
