@@ -521,6 +521,44 @@ def test_classifier_edges(spark, docs, labels, plain):
     assert all(r["kept"] for r in unlabelled) and len(unlabelled) == len(plain)
 
 
+def test_site_posteriors_follow_from_the_evidence(docs, labels):
+    """Rates, prior strengths and verdicts again, in NumPy, from each document's own evidence."""
+    got = classifier.classify(docs, labels).collect()
+    key = {(r[0], r[1] or ""): (r[3], r[2]) for r in fixture_rows()}
+    known = docs.select("doc_id", classifier.text_key().alias("k"), F.coalesce("text", F.lit("")).alias("t")).distinct().collect()
+    text = {(r["doc_id"], r["k"]): r["t"] for r in known}
+    sites = [key[(r["doc_id"], text[(r["doc_id"], r["text_key"])])] for r in got]
+    e = np.array([r["evidence"] for r in got])
+    p = 1 / (1 + np.exp(-e))
+    mean = np.clip(p.mean(), 1e-4, 1 - 1e-4)
+
+    def sums(names):
+        _, code = np.unique([repr(n) for n in names], return_inverse=True)
+        n, total = np.bincount(code), np.bincount(code, p)
+        return code, n, total, np.bincount(code, p * p) - total**2 / n
+
+    def strength(n, total, within, centre):
+        k, whole = len(n), n.sum()
+        if k < 2 or whole <= k:
+            return 1e3
+        inner = max(within.sum(), 1e-9) / (whole - k)
+        outer = ((n * (total / n - centre) ** 2).sum() - (k - 1) * inner) / max(whole - (n * n).sum() / whole, 1e-9)
+        return min(max(inner / outer if outer > 0 else 1e6, 1.0), 1e6)
+
+    host, n_h, s_h, w_h = sums([h for h, _ in sites])
+    path, n, s, w = sums(sites)
+    of = np.zeros(len(n), int)
+    of[path] = host
+    a, b = strength(n_h, s_h, w_h, mean), strength(n, s, w, (s_h / n_h)[of])
+    inside = lambda v: np.clip(v, 1e-4, 1 - 1e-4)
+    p_host = inside((s_h[host] - p + a * mean) / (n_h[host] - 1 + a))
+    p_path = inside((s[path] - p + b * p_host) / (n[path] - 1 + b))
+    p_bad = 1 / (1 + np.exp(-(e + np.log(p_path / (1 - p_path)) - np.log(mean / (1 - mean)))))
+    for name, want in (("p_host", p_host), ("p_path", p_path), ("p_bad", p_bad)):
+        np.testing.assert_allclose([r[name] for r in got], want, rtol=1e-6, atol=1e-9)
+    assert [r["kept"] for r in got] == (p_bad < 0.5).tolist() and len({round(x, 6) for x in p_path}) > 5
+
+
 # --- tokens ----------------------------------------------------------------------------
 
 
