@@ -29,6 +29,8 @@ _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8
 #: Kinds of bytes whose shares are measures.
 _KINDS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*", "|", "!", "<>{}[]", ".,;:?")
 MOST_WORDS = 400
+#: Sites whose sums may travel to the documents, some 100 bytes each; more of them are joined.
+MOST_SITES = 100_000
 #: Log-odds of every document where labels of one kind are missing.
 KEEP = -8.0
 
@@ -208,9 +210,11 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = 2000, threshol
     host_strength = _strength(hosts.withColumnsRenamed({"n_h": "n", "s_h": "s"}), F.lit(mean))
     sites = paths.join(hosts.drop("within"), "host")
     path_strength = _strength(sites, F.col("s_h") / F.col("n_h"))
+    kept_sites = sites.drop("within")
 
     # the document itself is left out of its sites
-    near = scored.join(sites.drop("within"), ["host", "path"])
+    few = kept_sites.count() <= MOST_SITES
+    near = scored.join(F.broadcast(kept_sites) if few else kept_sites, ["host", "path"])
     p_host = (F.col("s_h") - F.col("p") + host_strength * mean) / (F.col("n_h") - 1 + host_strength)
     p_path = (F.col("s") - F.col("p") + path_strength * F.col("p_host")) / (F.col("n") - 1 + path_strength)
     inside = lambda p: F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
