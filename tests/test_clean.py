@@ -1,6 +1,7 @@
 """Cleaning, schema detection, joins and splits on small messy inputs."""
 
 import datetime as dt
+import shutil
 
 import numpy as np
 import pytest
@@ -132,3 +133,17 @@ def test_contains_join_by_scan_and_by_pieces(spark, name_bytes):
     want = {(i, n) for i, t in enumerate(texts) for n in names if t and n and n in t}
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
+
+
+def test_inventory_lists_tables_kept_as_folders(spark, tmp_path):
+    rows = spark.range(100).withColumnRenamed("id", "doc_id")
+    rows.repartition(3).write.parquet(str(tmp_path / "labels.parquet"))
+    rows.limit(5).coalesce(1).write.parquet(str(tmp_path / "one"))
+    shutil.copy(next((tmp_path / "one").glob("part-*")), tmp_path / "nation.parquet")
+    got = {r["name"]: r for r in readers.inventory(spark, str(tmp_path), "*.parquet").collect()}
+    assert set(got) == {"labels.parquet", "nation.parquet"}  # not the parts, nor the folder that is no table
+    parts = list((tmp_path / "labels.parquet").glob("part-*"))
+    assert got["labels.parquet"]["size"] == sum(p.stat().st_size for p in parts)
+    first = readers.first_match(readers.inventory(spark, str(tmp_path), "*.parquet"), [r"^none", r"^la.*\.parquet$"]).first()
+    assert spark.read.parquet(first["path"]).count() == 100
+    assert readers.inventory(spark, str(tmp_path), "{nat,oth}*.parquet").first()["name"] == "nation.parquet"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,16 +64,30 @@ def header_columns(spark: SparkSession, path: str) -> list[str]:
 
 
 def inventory(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
-    """(name, path, size, modified) of the files below a folder; contents are not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(path)
-    )
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")
-    )
+    """(name, path, size, modified) of the files below a folder; contents are not read.
+
+    A table that a writer left as a folder of part files, told by its extension, is one entry
+    with the size of its parts; ``recursive`` lists the files in it instead.
+    """
+    def listed(glob: str, deep: bool) -> DataFrame:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(deep).lower()).load(path)
+        return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+    files = listed(pattern, recursive)
+    if not recursive:
+        root = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", path).rstrip("/")
+        table = rf"^(.*?{re.escape(root)}/[^/]+({'|'.join(map(re.escape, FORMATS))}))/"
+        # the pattern is for the names of entries, so parts of any name count
+        parts = listed("*", True).withColumn("path", F.regexp_extract("path", table, 1)).where("path <> ''")
+        parts = parts.where(F.element_at(F.split("path", "/"), -1).rlike(_glob_regex(pattern)))
+        files = files.unionByName(parts.groupBy("path").agg(F.sum("size").alias("size"), F.max("modified").alias("modified")))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "size", "modified")
+
+
+def _glob_regex(pattern: str) -> str:
+    """A file name pattern with ``* ? [] {}`` as a regular expression."""
+    out = re.sub(r"[.^$+()|\\]", lambda m: "\\" + m.group(), pattern).replace("*", ".*").replace("?", ".").replace("[!", "[^")
+    return "^" + re.sub(r"\{([^}]*)\}", lambda m: f"(?:{m.group(1).replace(',', '|')})", out) + "$"
 
 
 def union_tables(spark: SparkSession, paths: Sequence[str], tag: str = "source_file") -> DataFrame:
