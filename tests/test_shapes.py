@@ -227,3 +227,37 @@ def test_quantiles_of_values_that_share_a_bin(spark):
         v = both.where(F.col("k") == k).toPandas()["v"].to_numpy()
         for label, p in probs.items():
             assert got[(k, label)] == pytest.approx(np.quantile(v, p), rel=1e-15)
+
+
+def test_shared_passes_reach_the_fits_of_mllib(spark):
+    from pyspark.ml.clustering import KMeans
+
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(c, 1, (100, 2)) for c in (0, 4, 9)])
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "a list<double>".replace("list", "array")).select(array_to_vector("a").alias("z")).cache()
+    got = clustering.fit_kmeans_each(df, (2, 3), restarts=3)
+    for k in (2, 3):
+        fits = [KMeans(k=k, seed=42 + i, featuresCol="z", maxIter=50).fit(df) for i in range(3)]
+        best = min(fits, key=lambda m: m.summary.trainingCost)
+        assert got[k].cost == pytest.approx(best.summary.trainingCost, rel=1e-9)
+        assert np.allclose(got[k].clusterCenters(), best.clusterCenters())
+        old = [r["prediction"] for r in best.transform(df).collect()]
+        assert [r["label"] for r in got[k].transform(df).collect()] == old
+
+
+def test_normalising_works_out_mean_and_deviation_once(spark):
+    from tidewell.functions import arrays
+
+    df = spark.createDataFrame([([1.0, 2.0, 6.0],), ([4.0, 4.0],), (None,)], "a array<double>").select(arrays.z_norm(F.col("a")).alias("z"))
+    assert df._jdf.queryExecution().analyzed().toString().count("aggregate(") <= 3
+    rows = [r["z"] for r in df.collect()]
+    assert rows[0] == pytest.approx([(v - 3) / np.std([1, 2, 6]) for v in (1, 2, 6)]) and rows[1:] == [[0.0, 0.0], None]
+
+
+def test_spread_bounds_the_rows_of_a_partition(spark):
+    from tidewell.session import spread
+
+    one = spark.range(1000).coalesce(1).cache()
+    assert spread(one, 100).rdd.getNumPartitions() == 10 and spread(one, 100).count() == 1000
+    assert spread(one).rdd.getNumPartitions() == 1
+    assert spread(spark.range(0, 100, 1, 300)).rdd.getNumPartitions() == 32
