@@ -63,3 +63,14 @@ def test_best_split_is_the_brute_force_one():
         return g[left].sum() ** 2 / left.sum() + g[~left].sum() ** 2 / (~left).sum()
 
     assert (f, b) == max(((f, b) for f in range(2) for b in range(5)), key=lambda s: gain(*s)) == (1, 2)
+
+
+def test_tables_of_cells_give_the_trees_of_rows(bent, monkeypatch):
+    from tidewell.operators import quantile_trees as qtr
+
+    seen = {}
+    for cells in (0, qtr.CELLS):
+        monkeypatch.setattr(qtr, "CELLS", cells)
+        monkeypatch.setattr(qtr, "KEEP", 2)
+        seen[cells] = fit_quantile_trees(bent.where("i < 2000"), ["x", "z"], TAUS, rounds=5, step=0.2).to_json()
+    assert len(set(seen.values())) == 1

@@ -25,6 +25,8 @@ from tidewell.session import scratch_path
 
 #: Rounds after which the predictions so far are written, and residual bins per octave.
 KEEP, RESIDUAL_BINS = 10, 256
+#: Combinations of feature bins for which predictions are tables; with more, rows carry theirs.
+CELLS = 1 << 18
 
 
 def _leaf_of(x: np.ndarray, tree: Mapping, depth: int) -> np.ndarray:
@@ -125,14 +127,23 @@ def fit_quantile_trees(df: DataFrame, features: Sequence[str], taus: Mapping[str
 
     xs, ps = [f"x{i}" for i in range(k)], [f"p{i}" for i in range(len(names))]
 
+    # rows with equal bins have equal predictions, so a row needs no more than its cell
+    tabled = bins**k <= CELLS
+    sides = bins ** np.arange(k)
+    every = np.arange(bins**k)[:, None] // sides % bins if tabled else None
+    base = {t: np.full(bins**k, first[t]) for t in names} if tabled else {}
+
     def encode(batches):
         for pdf in batches:
             x = _binned(pdf[[f"_f{i}" for i in range(k)]].to_numpy(float), edges).astype(np.int16)
+            if tabled:
+                yield pd.DataFrame({"h": pdf["h"], "y": pdf["y"], "cell": (x @ sides).astype(np.int32)})
+                continue
             yield pd.DataFrame({"h": pdf["h"], "y": pdf["y"]} | {c: x[:, i] for i, c in enumerate(xs)} | {c: start[i] for i, c in enumerate(ps)})
 
     row = F.xxhash64(F.lit(seed), *(keys or [*features, y]))
     raw = whole.select(row.alias("h"), *[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)], F.col(y).cast("double").alias("y"))
-    layout = "h long, y double, " + ", ".join([f"{c} short" for c in xs] + [f"{c} double" for c in ps])
+    layout = "h long, y double, cell int" if tabled else "h long, y double, " + ", ".join([f"{c} short" for c in xs] + [f"{c} double" for c in ps])
 
     def kept(rows: DataFrame) -> DataFrame:
         path = scratch_path(spark, "boosting")
@@ -146,16 +157,36 @@ def fit_quantile_trees(df: DataFrame, features: Sequence[str], taus: Mapping[str
         x, p = pdf[xs].to_numpy(np.int64), pdf[ps].to_numpy(float)
         return x, pdf["y"].to_numpy(float), p + np.column_stack([_total(x, trees[t], depth) for t in names])
 
+    def drawn(pdf: pd.DataFrame, turn: int) -> np.ndarray:
+        draw = (pdf["h"].to_numpy().view(np.uint64) ^ np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (draw >> np.uint64(11)).astype(float) / 2.0**53 < share
+
     for turn in range(rounds):
         grown = {t: {"feature": [-1] * (2**depth - 1), "cut": [0] * (2**depth - 1), "value": [0.0] * 2**depth} for t in names}
         old = {t: list(v) for t, v in recent.items()}
+        now = {t: base[t] + _total(every, old[t], depth) for t in base}
         for level in range(depth):
             nodes, open_ = 2**level, {t: dict(g) for t, g in grown.items()}
 
+            def count_cells(batches, level=level, nodes=nodes, open_=open_, now=now, turn=turn):
+                n, below = np.zeros(bins**k, np.int64), {t: np.zeros(bins**k, np.int64) for t in names}
+                for pdf in batches:
+                    use = drawn(pdf, turn)
+                    cell, target = pdf["cell"].to_numpy()[use], pdf["y"].to_numpy(float)[use]
+                    n += np.bincount(cell, minlength=bins**k)
+                    for t in names:
+                        below[t] += np.bincount(cell[target < now[t][cell]], minlength=bins**k)
+                for i, t in enumerate(names):
+                    node = _leaf_of(every, open_[t], level) - (nodes - 1)
+                    place = ((node[:, None] * k + np.arange(k)) * bins + every).reshape(-1)
+                    # counts stay below 2**53, where doubles are exact
+                    all_, low = (np.bincount(place, np.repeat(c, k), nodes * k * bins).astype(np.int64) for c in (n, below[t]))
+                    held = np.flatnonzero(all_)
+                    yield pd.DataFrame({"t": i, "cell": held, "n": all_[held], "below": low[held]})
+
             def count(batches, level=level, nodes=nodes, open_=open_, old=old, turn=turn):
                 for pdf in batches:
-                    draw = (pdf["h"].to_numpy().view(np.uint64) ^ np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-                    pdf = pdf[(draw >> np.uint64(11)).astype(float) / 2.0**53 < share]
+                    pdf = pdf[drawn(pdf, turn)]
                     x, target, p = seen(pdf, old)
                     for i, t in enumerate(names):
                         node = _leaf_of(x, open_[t], level) - (nodes - 1)
@@ -165,7 +196,7 @@ def fit_quantile_trees(df: DataFrame, features: Sequence[str], taus: Mapping[str
                         held = np.flatnonzero(n)
                         yield pd.DataFrame({"t": i, "cell": held, "n": n[held], "below": below[held]})
 
-            table = state.mapInPandas(count, "t int, cell long, n long, below long").groupBy("t", "cell").agg(F.sum("n").alias("n"), F.sum("below").alias("below")).toPandas()
+            table = state.mapInPandas(count_cells if tabled else count, "t int, cell long, n long, below long").groupBy("t", "cell").agg(F.sum("n").alias("n"), F.sum("below").alias("below")).toPandas()
             for i, t in enumerate(names):
                 own = table[table["t"] == i]
                 n, below = np.zeros(nodes * k * bins), np.zeros(nodes * k * bins)
@@ -174,12 +205,17 @@ def fit_quantile_trees(df: DataFrame, features: Sequence[str], taus: Mapping[str
                 for j, (f, b) in enumerate(_best_splits(below.reshape(shape), n.reshape(shape), taus[t], least)):
                     grown[t]["feature"][nodes - 1 + j], grown[t]["cut"][nodes - 1 + j] = f, b
 
-        def residuals(batches, grown=grown, old=old):
+        def residuals(batches, grown=grown, old=old, now=now):
+            leaves = {t: _leaf_of(every, grown[t], depth) for t in now}
             for pdf in batches:
-                x, target, p = seen(pdf, old)
+                if tabled:
+                    cell, target = pdf["cell"].to_numpy(), pdf["y"].to_numpy(float)
+                else:
+                    x, target, p = seen(pdf, old)
                 for i, t in enumerate(names):
-                    r = target - p[:, i]
-                    part = pd.DataFrame({"leaf": _leaf_of(x, grown[t], depth) - (2**depth - 1), "bin": _residual_bin(r), "r": r})
+                    r = target - (now[t][cell] if tabled else p[:, i])
+                    leaf = leaves[t][cell] if tabled else _leaf_of(x, grown[t], depth)
+                    part = pd.DataFrame({"leaf": leaf - (2**depth - 1), "bin": _residual_bin(r), "r": r})
                     part = part.groupby(["leaf", "bin"])["r"].agg(["size", "min", "max"]).reset_index()
                     yield pd.DataFrame({"t": i, "leaf": part["leaf"], "bin": part["bin"], "n": part["size"], "lo": part["min"], "hi": part["max"]})
 
@@ -196,6 +232,10 @@ def fit_quantile_trees(df: DataFrame, features: Sequence[str], taus: Mapping[str
             model.trees[t].append(grown[t])
         if (turn + 1) % KEEP == 0 and turn + 1 < rounds:
             old = {t: list(v) for t, v in recent.items()}
+            if tabled:
+                base = {t: base[t] + _total(every, old[t], depth) for t in names}
+                recent = {t: [] for t in names}
+                continue
 
             def forward(batches, old=old):
                 for pdf in batches:
