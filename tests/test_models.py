@@ -428,3 +428,9 @@ def test_short_series_are_forecast_too(spark, make_panel):
     assert sorted(got.series_id.unique()) == ["long", "short"] and got.yhat.notna().all()
     model = models.inner(models.on_features(models.linear(), ["lag_1", "lag_3"]).fit(panel.withColumns(win.lags(ks=(1, 3)))))
     assert forecast.recursive_forecast(panel, model, 2, (1, 3)).count() == 4
+
+
+def test_median_imputer_takes_the_lower_middle_value(spark):
+    df = spark.createDataFrame([(1.0, None), (9.0, 2.0), (3.0, 8.0), (None, float("nan")), (7.0, 5.0)], "a double, b double")
+    got = models.MedianImputer(strategy="median", inputCols=["a", "b"], outputCols=["c", "d"]).fit(df)
+    assert tuple(got.surrogateDF.first()) == (3.0, 5.0)

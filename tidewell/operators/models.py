@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.draws import Draw, uniform
 from tidewell.operators import clean, gram, splits
+from tidewell.operators import quantiles as qt
 from tidewell.operators import summary as sm
 from tidewell.panel import BY, with_position
 
@@ -23,6 +24,22 @@ from tidewell.panel import BY, with_position
 # --- preprocessing ------------------------------------------------------------------
 
 
+class MedianImputer(Imputer):
+    """MLlib's imputer with exact medians (the lower of two middle values) from counts.
+
+    MLlib's own exact median keeps every value of a column in one sketch on the driver.
+    """
+
+    def _fit(self, dataset: DataFrame):
+        names = self.getInputCols()
+        long = dataset.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in names])).alias("s"))
+        # middle of n rows at a relative error of zero
+        found = qt.order_stats(long.select("s.k", "s.v"), "v", {"median": lambda n: F.ceil(n / 2) - 1}, ["k"]).collect()
+        middle = {r["k"]: r["value"] for r in found}
+        row = dataset.sparkSession.createDataFrame([tuple(middle.get(c) for c in names)], ", ".join(f"`{c}` double" for c in names))
+        return super()._fit(row)
+
+
 def preprocessing(numeric: Sequence[str], categorical: Sequence[str], out: str = "features") -> Pipeline:
     """Impute and standardise numbers, index and one-hot categories, assemble.
 
@@ -31,7 +48,7 @@ def preprocessing(numeric: Sequence[str], categorical: Sequence[str], out: str =
     """
     filled = [f"{c}_filled" for c in numeric]
     stages = [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=filled, relativeError=0.0),
+        MedianImputer(strategy="median", inputCols=list(numeric), outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="_num", handleInvalid="keep"),
         StandardScaler(withMean=True, withStd=True, inputCol="_num", outputCol="_num_scaled"),
     ]
