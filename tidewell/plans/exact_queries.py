@@ -17,6 +17,7 @@ from tidewell.plans.registry import day, q, query, sday, sq, table
 from tidewell.plans.shape_queries import WIN_SQL, W, windows_of
 from tidewell.plans.uncertainty_queries import fold_sql, is_ref
 from tidewell.plans.window_queries import WSQL
+from tidewell.session import scratch_path, spread
 
 # --- clusters --------------------------------------------------------------------------
 
@@ -37,7 +38,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Groups that gaps of a thousand widths part have the best silhouette at their own number."""
     c = table(spark, sf, "customer").withColumn("z", array_to_vector(F.array(F.ascii("c_mktsegment") * 1e7 + F.col("c_acctbal"))))
-    c = c.select("c_custkey", "z").persist()
+    c = spread(c.select("c_custkey", "z")).persist()
     chosen = clustering.choose_k(c, (3, 4, 5, 6), keys=["c_custkey"])
     out = c.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(chosen["silhouette"]).cast("bigint").alias("best_silhouette"))
     return out
@@ -130,9 +131,8 @@ def _(spark, sf):
     f"SELECT model, {sq('rmse', 2)} AS rmse, (SELECT min_by(model, rmse) FROM r) AS best, {sq('(SELECT min(rmse) FROM r)', 2)} AS saved_rmse FROM r",
 )
 def _(spark, sf):
-    from tidewell.session import scratch_path
-
-    df = P.wide(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL")
+    # fits and scores go over the rows many times
+    df = spread(P.wide(spark, sf).withColumns(win.lags(ks=(1,))).where("lag_1 IS NOT NULL").persist()).persist()
     train, test = df.where(F.col("ts") < TRAIN_END), df.where(F.col("ts") >= TRAIN_END)
     path = scratch_path(spark, "best-line")
     board, name, _ = models.best_on_holdout(train, test, ["lag_1"], {"line": models.linear(), "origin": models.linear(fitIntercept=False)}, path=path)
