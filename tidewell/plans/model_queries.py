@@ -16,13 +16,14 @@ from tidewell.plans.clean_queries import SEASONAL_SQL
 from tidewell.plans.registry import day, q, query, sday, sq, table, uniform_sql
 from tidewell.plans.uncertainty_queries import LAG_FEATURES, fold_sql, lag_frame
 from tidewell.plans.window_queries import WSQL
-from tidewell.session import scratch_path
+from tidewell.session import scratch_path, spread
 
 TRAIN_END = "2000-01-01"
 
 
 def parts(spark, sf, panel=P.monthly):
-    df = lag_frame(panel(spark, sf))
+    # fits and scores go over the rows many times; trees hold a row in every task's memory
+    df = spread(lag_frame(panel(spark, sf)).persist()).persist()
     return df.where(F.col("ts") < TRAIN_END), df.where(F.col("ts") >= TRAIN_END)
 
 
@@ -262,7 +263,7 @@ def _(spark, sf):
 
 @query("mlp13_importance_table")
 def _(spark, sf):
-    df = lag_frame(P.wide(spark, sf))
+    df = spread(lag_frame(P.wide(spark, sf)).persist()).persist()
     return models.importance_table(models.on_features(models.forest(20, 4), LAG_FEATURES).fit(df), LAG_FEATURES, df, 3)
 
 

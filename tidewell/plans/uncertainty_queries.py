@@ -14,6 +14,7 @@ from tidewell.panel import with_position
 from tidewell.plans import panels as P
 from tidewell.plans.registry import day, normal_cdf_sql, normal_quantile_sql, poisson_sql, q, query, sday, sq, table, uniform_sql
 from tidewell.plans.window_queries import WSQL
+from tidewell.session import spread
 
 CUT = "2000-06-01"
 
@@ -127,7 +128,7 @@ def _(spark, sf):
 
 @query("unc6_heteroscedastic_interval")
 def _(spark, sf):
-    df = lag_frame(P.wide(spark, sf))
+    df = spread(lag_frame(P.wide(spark, sf)).persist()).persist()
     train, cal, test = (df.where(c) for c in ("ts < '1999-06-01'", f"ts >= '1999-06-01' AND ts < '{CUT}'", f"ts >= '{CUT}'"))
     out = intervals.heteroscedastic(train, cal, test, models.linear(), models.boosted(), LAG_FEATURES)
     return sm.interval_summary(out, [])
@@ -147,7 +148,7 @@ HETERO_SQL = (
 
 @query("unc6_two_linear_models", f"{HETERO_SQL} SELECT count(*) AS n, {sq('avg((y BETWEEN lo AND hi)::INT)')} AS coverage, {sq('avg(hi - lo)', 1)} AS mean_width FROM o")
 def _(spark, sf):
-    df = P.wide(spark, sf).withColumns(win.lags(ks=(1, 2))).where("lag_2 IS NOT NULL")
+    df = spread(P.wide(spark, sf).withColumns(win.lags(ks=(1, 2))).where("lag_2 IS NOT NULL").persist()).persist()
     train, cal, test = (df.where(c) for c in ("ts < '1999-06-01'", f"ts >= '1999-06-01' AND ts < '{CUT}'", f"ts >= '{CUT}'"))
     out = intervals.heteroscedastic(train, cal, test, models.linear(), models.linear(), ["lag_1"], ["lag_2"])
     return out.agg(F.count(F.lit(1)).alias("n"), q(F.avg(F.col("y").between(F.col("lo"), F.col("hi")).cast("double"))).alias("coverage"), q(F.avg(F.col("hi") - F.col("lo")), 1).alias("mean_width"))
