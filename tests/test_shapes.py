@@ -97,6 +97,28 @@ def test_choose_k_scores_all_rows(spark):
         assert score == pytest.approx(np.mean(s), abs=1e-9)
 
 
+@pytest.mark.parametrize("width", [1, 2])
+def test_choose_k_has_no_sample(spark, width, monkeypatch):
+    rng = np.random.default_rng(7)
+    # a group of three among 2303 rows: a sample would miss it, or weigh it wrongly; rows come twice
+    x = np.vstack([rng.normal(m, s, (n, width)) for m, s, n in ((0, 1, 1200), (9, 1, 1100), (60, 0.1, 2))])
+    x = np.vstack([x, x[-1:]])
+    monkeypatch.setattr(clustering, "BLOCK", 500)
+    monkeypatch.setattr(clustering, "ROWS_PER_PART", 1000)
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "a array<double>").repartition(3).select(array_to_vector("a").alias("z")).cache()
+    got = clustering.choose_k(df, (2, 3, 4), restarts=2)
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    fits = clustering.fit_kmeans_each(df, (2, 3, 4), 2)
+    for k, score in zip(got["ks"], got["scores"]):
+        lab = np.linalg.norm(x[:, None] - fits[k].centers[None], axis=2).argmin(1)
+        mean = np.stack([d[:, lab == g].sum(1) / max((lab == g).sum(), 1) for g in range(k)], 1)
+        size = np.bincount(lab, minlength=k)[lab]
+        own = mean[np.arange(len(x)), lab] * size / np.maximum(size - 1, 1)
+        mean[np.arange(len(x)), lab] = np.inf
+        s = np.where(size == 1, 0, (mean.min(1) - own) / np.maximum(own, mean.min(1)))
+        assert score == pytest.approx(s.mean(), abs=1e-9)
+
+
 def test_reduction_inverts_centroids(make_panel):
     rng = np.random.default_rng(3)
     w = sequences.sliding_windows(make_panel({"a": rng.normal(size=60)}), 6)
