@@ -50,6 +50,18 @@ def test_saved_as_text(bent, trees):
     assert sums[0] == sums[1]
 
 
+def test_rounds_group_no_rows(bent, monkeypatch):
+    frame, calls = type(bent), []
+    group = frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda self, *a: (calls.append(a), group(self, *a))[1])
+    number = []
+    for rounds in (1, 3):
+        fit_quantile_trees(bent.where("i < 2000"), ["x", "z"], TAUS, rounds=rounds)
+        number.append(len(calls))
+    # those of the first fit, twice: more rounds add no shuffle
+    assert number[1] == 2 * number[0]
+
+
 def test_best_split_is_the_brute_force_one():
     rng = np.random.default_rng(1)
     x, low = rng.integers(0, 6, (400, 2)), rng.random(400)

@@ -95,7 +95,7 @@ def _(spark, sf):
 
 @query("unc4_boosted_quantiles")
 def _(spark, sf):
-    df = lag_frame(P.wide(spark, sf))
+    df = lag_frame(P.wide(spark, sf)).persist()  # read for bins, start, trees, limits and test
     train, rest = df.where(F.col("ts") < "1999-06-01"), df.where(F.col("ts") >= "1999-06-01")
     trees = quantile_trees.fit_quantile_trees(train, LAG_FEATURES, {"lo": 0.05, "hi": 0.95}, keys=["series_id", "ts"])
     scored = trees.predict(rest)
