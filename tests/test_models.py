@@ -434,3 +434,26 @@ def test_median_imputer_takes_the_lower_middle_value(spark):
     df = spark.createDataFrame([(1.0, None), (9.0, 2.0), (3.0, 8.0), (None, float("nan")), (7.0, 5.0)], "a double, b double")
     got = models.MedianImputer(strategy="median", inputCols=["a", "b"], outputCols=["c", "d"]).fit(df)
     assert tuple(got.surrogateDF.first()) == (3.0, 5.0)
+
+
+@pytest.mark.parametrize("n", [900, 25000])
+def test_boosting_on_cells_gives_the_trees_of_rows(spark, n):
+    rng = np.random.default_rng(n)
+    x = np.column_stack([rng.normal(50, 20, n), rng.integers(0, 9, n), rng.gamma(2, 3, n)])
+    y = x[:, 0] * (x[:, 1] > 4) + np.abs(x[:, 2] - 5) + rng.normal(size=n)
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "a double, b double, c double, y double").repartition(3).cache()
+    odd = spark.createDataFrame([(None, 1.0, 2.0, 3.0), (1.0, float("nan"), 2.0, 3.0), (1.0, 1.0, 2.0, None)], df.schema)
+    names, rows = ["a", "b", "c"], df.unionByName(odd)
+    plain, cells = (models.on_features(e, names).fit(rows) for e in (models.boosted(rounds=6), models.BoostedOnCells(rounds=6)))
+    both = cells.transform(plain.transform(rows).withColumnRenamed("prediction", "was"))
+    assert both.columns == ["a", "b", "c", "y", "was", "prediction"]
+    got = both.toPandas()
+    assert got["was"].isna().sum() == got["prediction"].isna().sum() == 2
+    assert np.allclose(got["was"], got["prediction"], rtol=1e-9, equal_nan=True)
+
+
+def test_boosting_on_cells_falls_back_to_rows(spark, monkeypatch):
+    monkeypatch.setattr(models, "CELLS", 4)
+    df = spark.createDataFrame([(float(i), float(i % 7)) for i in range(60)], "a double, y double")
+    fits = [models.on_features(e, ["a"]).fit(df).transform(df).orderBy("a").toPandas()["prediction"] for e in (models.boosted(rounds=2), models.BoostedOnCells(rounds=2))]
+    assert np.allclose(*fits)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, MinMaxScaler, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+import numpy as np
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.feature import Bucketizer, Imputer, MinMaxScaler, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -114,6 +116,88 @@ def boosted(rounds: int = 50, depth: int = 4, step: float = 0.1, seed: int = 42,
     return GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, **kw)
 
 
+#: Most combinations of feature bins for which boosting goes over them in place of rows.
+CELLS = 1 << 18
+
+
+class BoostedOnCells:
+    """MLlib's boosted trees from one pass over the rows, for ``on_features``.
+
+    MLlib cuts features into bins before it boosts, so rows of equal bins (a cell) have equal
+    predictions in every round.  The squared loss of a cell needs its number of rows and their
+    mean label, no more: the trees of the cells, weighted, are those of the rows.
+    """
+
+    def __init__(self, **kw):
+        self.trees = boosted(**kw)
+
+
+class _CellBoosting(Estimator):
+    def __init__(self, trees: GBTRegressor, features: Sequence[str], label: str, out: str):
+        super().__init__()
+        self.trees, self.features, self.label, self.out = trees, list(features), label, out
+
+    def _fit(self, dataset: DataFrame):
+        rows = dataset.na.drop(subset=[*self.features, self.label])
+        cuts = _tree_cuts(rows, self.features, self.trees.getMaxBins(), self.trees.getSeed())
+        plain = self.trees.getSubsamplingRate() == 1.0 and self.trees.getMinInstancesPerNode() == 1 and self.trees.getMinWeightFractionPerNode() == 0.0
+        if not plain or math.prod(len(c) + 1 for c in cuts) > CELLS:
+            return on_features(self.trees, self.features, self.label, self.out).fit(dataset)
+        bins = [f"_bin{i}" for i in range(len(cuts))]
+        # a row lies left of a cut if it is not above it; buckets are closed on the left
+        edges = [[-math.inf, *[float(np.nextafter(c, math.inf)) for c in cut], math.inf] if len(cut) else [-math.inf, float(np.finfo(float).max), math.inf] for cut in cuts]
+        bucketed = Bucketizer(splitsArray=edges, inputCols=self.features, outputCols=bins, handleInvalid="keep")
+        # sums are no categories to MLlib, as buckets are
+        cells = bucketed.transform(rows).groupBy(*[(F.col(b) + 0.0).alias(b) for b in bins]).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg(F.col(self.label).cast("double")).alias("_label"))
+        cells = cells.repartition(1).sortWithinPartitions(*bins).persist()
+        before = PipelineModel([bucketed, VectorAssembler(inputCols=bins, outputCol="features", handleInvalid="keep")])
+        # with so many bins MLlib takes every bin of every cell, and no sample of cells
+        most = max(self.trees.getMaxBins(), math.isqrt(cells.count()) + 1)
+        stage = self.trees.copy().setMaxBins(most).setFeaturesCol("features").setLabelCol("_label").setWeightCol("_n").setPredictionCol("_predicted")
+        fitted = stage.fit(VectorAssembler(inputCols=bins, outputCol="features").transform(cells).select("features", "_label", "_n"))
+        cells.unpersist()
+        whole = " AND ".join(f"`{f}` IS NOT NULL AND NOT isnan(`{f}`)" for f in self.features)
+        shown = SQLTransformer(statement=f"SELECT * EXCEPT (features, _predicted, {', '.join(bins)}), CASE WHEN {whole} THEN _predicted END AS `{self.out}` FROM __THIS__")
+        return PipelineModel([before, fitted, shown])
+
+
+def _tree_cuts(rows: DataFrame, features: Sequence[str], max_bins: int, seed: int) -> list[list[float]]:
+    """The cuts that MLlib's trees choose from: with the rows, bins and seed given, the same as theirs.
+
+    As there, they are ends of about equally many rows, of all rows up to the square of
+    ``max_bins`` (10,000 at least) and else of as many drawn ones.
+    """
+    spark, n = rows.sparkSession, rows.count()
+    bins = min(max_bins, n)
+    share = min(1.0, max(bins * bins, 10_000) / max(n, 1))
+    values = rows.select(*[F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(features)])
+    if share < 1:
+        # a draw of the RDD, which is what MLlib draws
+        draw = spark.sparkContext._jvm.org.apache.spark.util.random.XORShiftRandom(seed).nextInt()
+        drawn = values._jdf.toJavaRDD().sample(False, share, draw)
+        values = DataFrame(spark._jsparkSession.createDataFrame(drawn, values._jdf.schema()), spark)
+    held, expected, out = np.array(values.collect(), float).reshape(-1, len(features)), share * n, []
+    for column in held.T:
+        value, count = np.unique(column[column != 0], return_counts=True)
+        # zeros are not counted but inferred from the number expected
+        missing = expected - count.sum()
+        if len(value) and missing > np.finfo(float).eps * count.sum() * 100:
+            at = int(np.searchsorted(value, 0.0))
+            value, count = np.insert(value, at, 0.0), np.insert(count.astype(float), at, missing)
+        middle = (value[:-1] + value[1:]) / 2
+        if len(middle) < bins:
+            out.append(middle.tolist())
+            continue
+        stride = expected / bins
+        cut, target, sums = [], stride, np.cumsum(count)
+        for i in range(1, len(value)):
+            if abs(sums[i - 1] - target) < abs(sums[i] - target):
+                cut.append(float(middle[i - 1]))
+                target += stride
+        out.append(cut)
+    return out
+
+
 class CompleteRows(Pipeline):
     """A pipeline fitted on the rows that have all of the named columns."""
 
@@ -132,6 +216,8 @@ def on_features(estimator, features: Sequence[str], label: str = "y", out: str =
     nothing else, and predicts NULL where a feature is missing.  So a second model can be
     fitted on the output of a first.
     """
+    if isinstance(estimator, BoostedOnCells):
+        return _CellBoosting(estimator.trees, features, label, out)
     stage = estimator.copy()
     stage.setFeaturesCol("features").setLabelCol(label).setPredictionCol("_predicted")
     whole = " AND ".join(f"`{f}` IS NOT NULL AND NOT isnan(`{f}`)" for f in features)

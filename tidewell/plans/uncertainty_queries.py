@@ -130,7 +130,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = spread(lag_frame(P.wide(spark, sf)).persist()).persist()
     train, cal, test = (df.where(c) for c in ("ts < '1999-06-01'", f"ts >= '1999-06-01' AND ts < '{CUT}'", f"ts >= '{CUT}'"))
-    out = intervals.heteroscedastic(train, cal, test, models.linear(), models.boosted(), LAG_FEATURES)
+    out = intervals.heteroscedastic(train, cal, test, models.linear(), models.BoostedOnCells(), LAG_FEATURES)
     return sm.interval_summary(out, [])
 
 
