@@ -127,6 +127,19 @@ def test_reduction_inverts_centroids(make_panel):
     assert np.allclose(clustering.to_window_space(model, first["z"].toArray()), first["window"])
 
 
+def test_reduction_holds_windows_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(rng.normal(size=4).tolist(),) for _ in range(90)], "window array<double>").repartition(40)
+    held = spark.sparkContext._jsc.getPersistentRDDs
+    for rows, most in ((10, 32), (200_000, 8)):
+        # once dealt to more partitions, once to fewer
+        monkeypatch.setattr(clustering, "spread", lambda d, n=most if rows > 10 else 60: d.coalesce(n) if n < 40 else d.repartition(n))
+        before = set(held())
+        _, z = clustering.reduce_windows(df.where(f"size(window) < {rows}"), components=2)
+        assert z.count() == 90
+        assert len(set(held()) - before) == 1
+
+
 def test_strongest_frequencies(make_panel):
     t = np.arange(120)
     got = spectral.top_frequencies(make_panel({"s": 5 * np.sin(2 * np.pi * t / 12) + 2 * np.cos(2 * np.pi * t / 30)}), 2).orderBy("rank").collect()
